@@ -13,6 +13,8 @@ text, and equal rows get equal results; null ids are kept; an empty benchmark or
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.llm.store import materialise
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD_CHARS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -164,6 +166,7 @@ def decontaminate(
     marks = marks.select(
         F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key"), F.col("spans").alias("_hit_spans")
     ).dropDuplicates(["_hit_id", "_hit_key"])
+    marks = broadcast_if_small(materialise(marks, "contaminated"), most_broadcast)
     same = documents["doc_id"].eqNullSafe(marks["_hit_id"]) & (F.xxhash64(documents["text"]) == marks["_hit_key"])
     if remove == "documents":
         return documents.join(marks, same, "left_anti")

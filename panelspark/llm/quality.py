@@ -9,7 +9,7 @@ with probability ``tail``. The statistics have heavier tails than normal ones, h
 distances of junk start at many times those of the worst good document.
 
 Sources with fewer than ``min_group`` documents are pooled per language, languages that stay smaller are pooled
-together, and where even that is too small no document is an outlier.
+together, and a pool with fewer than four documents per statistic has no outliers.
 
 Defined cases: null and empty texts have no words and fail the base rules; null language or source is a value of its
 own; equal rows get equal verdicts; a group without spread uses the floors of ``FLOORS``; empty tables give no rows.
@@ -207,10 +207,10 @@ def _cuts(binned: DataFrame, share: float, name: str) -> DataFrame:
     return reached.groupBy("_group").agg(F.min("_bin").alias(name))
 
 
-def outlier_distances(vectors: DataFrame, share: float, steps: int, min_group: int) -> DataFrame:
+def outlier_distances(vectors: DataFrame, share: float, steps: int) -> DataFrame:
     """``vectors`` with ``_distance``: the scaled squared distance from its group's estimate, null without one."""
     good = vectors.where(~base_failed())
-    estimate = materialise(_estimate(good).where(F.col("_n") >= min_group), "mcd0")
+    estimate = materialise(_estimate(good).where(F.col("_n") >= 4 * P), "mcd0")
     for step in range(1, steps + 1):
         near = good.join(broadcast_if_small(estimate, 100_000), "_group").withColumn("_bin", _bin(_distance()))
         cuts = broadcast_if_small(materialise(_cuts(near, share, "_cut"), f"cuts{step}"), 100_000)
@@ -224,12 +224,12 @@ def outlier_distances(vectors: DataFrame, share: float, steps: int, min_group: i
 
 
 def judge(
-    documents: DataFrame, share: float = 0.75, tail: float = 1e-30, steps: int = 3, min_group: int = 100
+    documents: DataFrame, share: float = 0.5, tail: float = 1e-30, steps: int = 3, min_group: int = 100
 ) -> DataFrame:
     """``documents`` without its text, with the counts, ``base_failed``, ``distance`` and ``kept``."""
     grouped_docs = grouped(documents, min_group)
     vectors = materialise(with_statistics(grouped_docs), "statistics")
-    out = outlier_distances(vectors, share, steps, min_group)
+    out = outlier_distances(vectors, share, steps)
     cutoff = chi2_beyond(tail, P)
     kept = ~base_failed() & (F.coalesce("_distance", F.lit(0.0)) <= cutoff)
     return out.withColumn("base_failed", base_failed()).withColumn("kept", kept).withColumnRenamed("_distance", "distance")
@@ -244,5 +244,6 @@ def keep_good(documents: DataFrame) -> DataFrame:
     """``documents`` that pass the base rules and are no outliers; the same columns."""
     keyed = documents.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("_key"))
     bad = judge(keyed).where("NOT kept").select(F.col("doc_id").alias("_bad_id"), F.col("_key").alias("_bad_key"))
+    bad = broadcast_if_small(materialise(bad.distinct(), "rejected"), 1_000_000)
     same = documents["doc_id"].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(documents["text"]) == bad["_bad_key"])
     return documents.join(bad, same, "left_anti")

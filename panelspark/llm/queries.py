@@ -12,6 +12,7 @@ from panelspark.llm.langid import language_digest
 from panelspark.llm.linededup import line_digest
 from panelspark.llm.mixing import mix_sources
 from panelspark.llm.quality import quality_digest
+from panelspark.llm.substring import repeated_passages
 from panelspark.llm.tokencounts import encoded_lengths, length_histogram
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -56,6 +57,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(encoded_lengths(table(spark, sf_dir, "documents")))
 
@@ -144,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_jaccard_join": op9_jaccard_join,
 }
