@@ -9,6 +9,7 @@ from panelspark.llm.chat import chat_digest, format_chat
 from panelspark.llm.decontaminate import contamination, is_contaminated
 from panelspark.llm.jaccard import jaccard_components
 from panelspark.llm.langid import language_digest
+from panelspark.llm.licenses import TEMPLATES, license_digest
 from panelspark.llm.linededup import line_digest
 from panelspark.llm.mixing import mix_sources
 from panelspark.llm.quality import quality_digest
@@ -69,6 +70,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=5, percent=80)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(
        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -126,6 +131,43 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM m GROUP BY doc_id
 """
 
+OP10_SQL = r"""
+WITH t(i, license, t) AS (VALUES """ + ", ".join(
+    f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(TEMPLATES)
+) + r"""),
+f AS (SELECT doc_id, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'),
+        CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 10 AS VARCHAR)) AS dir, coalesce(text, '') AS text FROM documents),
+fw AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM f),
+tw AS (SELECT i, license, w, count(*) AS tf FROM (SELECT i, license,
+        unnest(list_filter(string_split_regex(lower(t), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM t) GROUP BY ALL),
+v AS (SELECT w, ln((1 + (SELECT count(*) FROM f)) / (1.0 + count(DISTINCT doc_id))) + 1 AS idf
+      FROM (SELECT DISTINCT w FROM tw) LEFT JOIN fw USING (w) GROUP BY w),
+tv AS (SELECT i, license, w, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY i)) AS x FROM tw JOIN v USING (w)),
+l AS (SELECT doc_id, unnest(p) AS unit, unnest(range(len(p))) AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM f)
+      UNION ALL SELECT doc_id, text, -1 FROM f),
+lw AS (SELECT doc_id, no, w, count(*) AS tf FROM (SELECT doc_id, no,
+        unnest(list_filter(string_split_regex(lower(unit), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM l) GROUP BY ALL),
+lv AS (SELECT doc_id, no, w, tf * coalesce(idf, ln(1 + (SELECT count(*) FROM f)) + 1) AS y FROM lw LEFT JOIN v USING (w)),
+n AS (SELECT doc_id, no, sqrt(sum(y * y)) AS norm FROM lv GROUP BY ALL),
+c AS (SELECT doc_id, no, license, round(sum(x * y) / any_value(norm), 6) AS cosine
+      FROM lv JOIN tv USING (w) JOIN n USING (doc_id, no) GROUP BY doc_id, no, license, i),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, no < 0 ORDER BY cosine DESC, no, license) AS r
+      FROM c WHERE cosine >= CASE WHEN no < 0 THEN 0.6 ELSE 0.7 END),
+own AS (SELECT doc_id, license, cosine, CASE WHEN no < 0 THEN 'file' ELSE 'header' END AS origin FROM (SELECT *,
+        row_number() OVER (PARTITION BY doc_id ORDER BY no >= 0) AS q FROM b WHERE r = 1) WHERE q = 1),
+g AS (SELECT dir, license, cosine FROM (SELECT dir, license, cosine,
+        row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, dir || '/' || doc_id) AS r
+        FROM own JOIN f USING (doc_id) WHERE origin = 'file') WHERE r = 1),
+up AS (SELECT d.dir, g.dir AS from_dir, g.license, g.cosine,
+        row_number() OVER (PARTITION BY d.dir ORDER BY length(g.dir) DESC) AS r
+        FROM (SELECT DISTINCT dir FROM f) d JOIN g ON d.dir = g.dir OR starts_with(d.dir, g.dir || '/'))
+SELECT doc_id, f.dir || '/' || doc_id AS path, coalesce(own.license, up.license) AS license,
+       coalesce(own.cosine, up.cosine) AS cosine,
+       coalesce(origin, CASE WHEN up.dir IS NOT NULL THEN 'inherited' ELSE 'none' END) AS origin,
+       CASE WHEN own.doc_id IS NULL THEN from_dir END AS from_dir
+FROM f LEFT JOIN own USING (doc_id) LEFT JOIN (SELECT * FROM up WHERE r = 1) up ON up.dir = f.dir
+"""
+
 OP9_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(
        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -152,10 +194,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
     "op4_chat_format": OP4_SQL,
     "op6_line_dedup": OP6_SQL,
     "op9_jaccard_join": OP9_SQL,
+    "op10_license_scan": OP10_SQL,
 }
