@@ -1,8 +1,6 @@
 """All registered queries of the library and their oracle SQL."""
 
-from collections.abc import Callable
+from panelspark.plans import evaluation, events, market, texts
+from panelspark.plans.registering import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "evaluation", "events", "market", "texts"]
