@@ -69,8 +69,8 @@ def prob_buckets(df: DataFrame, y: str, p: str, edges: list[float]) -> DataFrame
     made = F.array(*(F.struct(F.lit(a).alias("low"), F.lit(b).alias("high"), F.lit(b == edges[-1]).alias("last")) for a, b in zip(edges, edges[1:])))
     buckets = df.sparkSession.range(1).select(F.explode(made).alias("b")).select("b.*")
     inside = (F.col(p) >= F.col("low")) & ((F.col(p) < F.col("high")) | (F.col("last") & (F.col(p) == F.col("high"))))
-    found = df.join(F.broadcast(buckets), inside).groupBy("low").agg(F.count("*").alias("n"), F.avg(y).alias("rate"))
-    return buckets.join(found, "low", "left").select("low", "high", F.coalesce("n", F.lit(0)).alias("n"), "rate")
+    found = df.select(p, y).join(F.broadcast(buckets), inside).groupBy(F.col("low").alias("_low")).agg(F.count("*").alias("n"), F.avg(y).alias("rate"))
+    return buckets.join(found, F.col("low") == F.col("_low"), "left").select("low", "high", F.coalesce("n", F.lit(0)).alias("n"), "rate")
 
 
 def threshold_table(df: DataFrame, y: str, p: str, by: list[str], steps: int = 50) -> DataFrame:
