@@ -9,8 +9,9 @@ Copies of one set are one point. Then:
    symmetric differences, to the empty set and to each single shingle) it must have a size in a window and share one
    of the point's ``n - o + 1`` first shingles, so each point is replicated to those boundary regions and no others.
    Widely held shingles come last in the order, so that boundaries avoid crowded regions.
-3. **Recursion.** Boundary regions with more than ``crowd`` points are divided again by a second shared shingle.
-   Pairs already in one component are skipped; all others that pass an exact bound are verified on the whole sets.
+3. **Recursion.** Crowded regions are divided again: partners share several boundary shingles, so each point leaves its
+   most crowded ones and still meets every partner in a rarer one. Regions of one component are done; in the others
+   all pairs of different components that pass exact bounds are verified on the whole sets.
 
 Document pivots alone do not divide such data: almost every pair of unrelated texts is at distance 1, so all points
 lie on every boundary. Hence the single shingles as pivots of step 2.
@@ -24,17 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelspark.llm import textkit
 from panelspark.llm.components import connected_components
+from panelspark.llm.decontaminate import broadcast_if_small
 from panelspark.llm.store import materialise
 
 NULL_ID = -(1 << 63)
 LOCAL_SEEN = 8
 HOT_DOCS = 64
 MOST_HOT = 1 << 21
+MOST_IDS = 1_000_000  # so many ids are broadcast at most, 8 MB; beyond, Spark shuffles the texts instead
+SKETCH = 16
 
 
 def document_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -58,18 +63,20 @@ def overlap_needed(n: int, percent: int) -> int:
 
 def extra(n: int) -> int:
     """Shared shingles that a longer boundary must hold: lets most false candidates fail an exact count."""
-    return 2 + n // 50
+    return 2 + n // 20
 
 
-def boundary(shingles: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set, widely held ones last, of which partners share ``extra`` at least."""
+def boundary(shingles: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, bool]:
+    """The first shingles of a set, widely held ones last, of which partners share ``extra`` at least; and whether all
+    that are not widely held are among them."""
     n = len(shingles)
-    need = overlap_needed(n, percent)
+    need, plain = overlap_needed(n, percent), n
     if len(hot) and n:
         at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
         common = hot[at] == shingles
-        shingles = np.concatenate([shingles[~common], shingles[common]])
-    return shingles[: min(n, n - need + min(extra(n), need))]
+        shingles, plain = np.concatenate([shingles[~common], shingles[common]]), n - int(common.sum())
+    out = shingles[: min(n, n - need + min(extra(n), need))]
+    return out, plain <= len(out)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -119,7 +126,7 @@ def widely_held(seen: DataFrame, total: int) -> np.ndarray:
 
 
 def boundaries(documents: DataFrame, hot: np.ndarray, k: int, percent: int) -> DataFrame:
-    """``doc_id, n, first`` (the few smallest shingles) and ``bound`` (the boundary, in order)."""
+    """``doc_id, n, first`` (the ``SKETCH`` smallest shingles) and ``bound`` and ``full`` (the boundary, in order)."""
     held = documents.sparkSession.sparkContext.broadcast(hot)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,14 +139,15 @@ def boundaries(documents: DataFrame, hot: np.ndarray, k: int, percent: int) -> D
                 [
                     pa.array(_ids(batch.column(0))),
                     pa.array(np.array([len(x) for x in sets], dtype=np.int64)),
-                    pa.ListArray.from_arrays(*_offsets([x[:4] for x in sets])),
-                    pa.ListArray.from_arrays(*_offsets(bounds)),
+                    pa.ListArray.from_arrays(*_offsets([x[:SKETCH] for x in sets])),
+                    pa.ListArray.from_arrays(*_offsets([x for x, _ in bounds])),
+                    pa.array([full for _, full in bounds], pa.bool_()),
                 ],
-                names=["doc_id", "n", "first", "bound"],
+                names=["doc_id", "n", "first", "bound", "full"],
             )
 
     return documents.select("doc_id", "text").mapInArrow(
-        read, "doc_id long, n long, first array<bigint>, bound array<bigint>"
+        read, "doc_id long, n long, first array<bigint>, bound array<bigint>, full boolean"
     )
 
 
@@ -154,12 +162,13 @@ def whole_sets(documents: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             )
 
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
-    wanted = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
+    wanted = docs.join(broadcast_if_small(ids, MOST_IDS), docs["doc_id"] == ids["id"], "left_semi")
     return wanted.mapInArrow(read, "doc_id long, shingles array<bigint>").dropDuplicates(["doc_id", "shingles"])
 
 
 def verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets are near enough."""
+    pairs = materialise(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = materialise(whole_sets(documents, ids, k), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
@@ -171,10 +180,10 @@ def verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> Da
     ).distinct()
 
 
-def pivot_pairs(points: DataFrame, pivots: int, least: int) -> DataFrame:
-    """Pairs (point, pivot): the pivots of a shingle are the ``pivots`` points first in as many hash orders. A pair is
-    kept if the boundaries, which are the smallest shingles of each, agree in ``least`` percent of their common reach."""
-    held = points.select("doc_id", F.explode("first").alias("token"))
+def pivot_pairs(points: DataFrame, tokens: int, pivots: int) -> DataFrame:
+    """Pairs (point, pivot): the pivots of a shingle are the points first in ``pivots`` hash orders among those that
+    have it among their first ``tokens``. Pairs whose sketches agree in less than half are left to the boundaries."""
+    held = points.select("doc_id", F.explode(F.slice("first", 1, tokens)).alias("token"))
     orders = [
         F.min(F.struct((F.xxhash64(F.lit(i), "doc_id") if i else F.col("doc_id")).alias("rank"), "doc_id")).alias(f"p{i}")
         for i in range(pivots)
@@ -183,105 +192,100 @@ def pivot_pairs(points: DataFrame, pivots: int, least: int) -> DataFrame:
     by_token = by_token.select("token", F.array_distinct(F.array(*(F.col(f"p{i}.doc_id") for i in range(pivots)))).alias("ps"))
     pairs = held.join(by_token, "token").select("doc_id", F.explode("ps").alias("p")).where("doc_id <> p")
     pairs = pairs.select(F.greatest("doc_id", "p").alias("a"), F.least("doc_id", "p").alias("b")).distinct()
-    x = points.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bound").alias("x"))
-    y = points.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bound").alias("y"))
+    x = points.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("first").alias("x"))
+    y = points.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("first").alias("y"))
     near = pairs.join(x, "a").join(y, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
     shared = F.size(F.array_intersect("x", "y"))
-    return near.where(F.lit(100) * shared >= F.lit(least) * F.least(F.size("x"), F.size("y"))).select("a", "b")
+    return near.where(F.lit(2) * shared >= F.least(F.size("x"), F.size("y"))).select("a", "b")
 
 
-def _meet(crowd: int | None, percent: int):
-    """Over rows (token, doc_id, part, n) sorted by token: pairs of one token from different components whose sizes
-    are in the window; or, with ``b`` null, the rows of tokens with more than ``crowd`` points."""
+def _meet(percent: int):
+    """Over rows (token, doc_id, part, n, rest, full) sorted by token: pairs of one token from different components that
+    can reach the threshold by their sizes and by what of each the other can hold at all."""
 
-    def pairs_of(ids: np.ndarray, parts: np.ndarray, ns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out_a, out_b = [], []
+    def pairs_of(ids, parts, ns, rest, full) -> tuple[np.ndarray, np.ndarray]:
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(0, len(ids), 512):
             for j in range(0, i + 1, 512):
                 a, b = slice(i, i + 512), slice(j, j + 512)
-                low = np.minimum(ns[a][:, None], ns[b][None, :])
-                high = np.maximum(ns[a][:, None], ns[b][None, :])
-                ok = (parts[a][:, None] != parts[b][None, :]) & (100 * low >= percent * high)
-                ok &= ids[a][:, None] > ids[b][None, :] if i == j else True
+                both = full[a][:, None] & full[b][None, :]
+                most = np.where(both, np.minimum(rest[a][:, None], rest[b][None, :]), np.minimum(ns[a][:, None], ns[b][None, :]))
+                ok = (parts[a][:, None] != parts[b][None, :]) & (ids[a][:, None] != ids[b][None, :])
+                ok &= (100 + percent) * most >= percent * (ns[a][:, None] + ns[b][None, :])
+                if i == j:
+                    ok &= np.tri(len(ids[a]), k=-1, dtype=bool)
                 p, q = np.nonzero(ok)
                 one, two = ids[a][p], ids[b][q]
                 out_a.append(np.maximum(one, two))
                 out_b.append(np.minimum(one, two))
         return np.concatenate(out_a), np.concatenate(out_b)
 
-    def batch_of(a: np.ndarray, b: np.ndarray | None, token: np.ndarray) -> pa.RecordBatch:
-        second = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)
-        return pa.RecordBatch.from_arrays([pa.array(a), second, pa.array(token)], names=["a", "b", "token"])
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64)] * 4
+        kept = [np.zeros(0, np.int64)] * 5 + [np.zeros(0, bool)]
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
             cols = [np.concatenate(x) for x in zip(kept, new, strict=True)]
-            token = cols[0]
-            if not len(token):
+            if not len(cols[0]):
                 continue
-            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            yield from runs(cols, starts[:-1], starts[1:])
+            starts = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+            yield runs(cols, starts[:-1], starts[1:])
             kept = [x[starts[-1] :] for x in cols]
         if len(kept[0]):
-            yield from runs(kept, np.array([0]), np.array([len(kept[0])]))
-
-    def runs(cols: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        token, ids, parts, ns = cols
-        if not len(starts):
-            return
-        upto = int(ends[-1])
-        mixed = np.minimum.reduceat(parts[:upto], starts) != np.maximum.reduceat(parts[:upto], starts)
-        size = ends - starts
-        two = starts[mixed & (size == 2)]
-        one, other = two, two + 1
-        low, high = np.minimum(ns[one], ns[other]), np.maximum(ns[one], ns[other])
-        ok = (100 * low >= percent * high) & (ids[one] != ids[other])
-        one, other = one[ok], other[ok]
-        if len(one):
-            yield batch_of(np.maximum(ids[one], ids[other]), np.minimum(ids[one], ids[other]), token[one])
-        for s, e in zip(starts[mixed & (size > 2)].tolist(), ends[mixed & (size > 2)].tolist(), strict=True):
-            if crowd is not None and e - s > crowd:
-                yield batch_of(ids[s:e], None, token[s:e])
-                continue
-            a, b = pairs_of(ids[s:e], parts[s:e], ns[s:e])
-            if len(a):
-                yield batch_of(a, b, np.full(len(a), token[s]))
+            yield runs(kept, np.array([0]), np.array([len(kept[0])]))
+
+    def runs(cols: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        several = ends - starts > 1
+        found = [pairs_of(*(x[s:e] for x in cols[1:])) for s, e in zip(starts[several].tolist(), ends[several].tolist(), strict=True)]
+        a, b = (np.unique(np.stack([np.concatenate([f[i] for f in found]) for i in (0, 1)]), axis=1) if found
+                else np.zeros((2, 0), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return read
 
 
-def meetings(rows: DataFrame, crowd: int | None, percent: int) -> DataFrame:
-    sorted_rows = rows.select("token", "doc_id", "part", "n").repartition("token").sortWithinPartitions("token", "doc_id")
-    return sorted_rows.mapInArrow(_meet(crowd, percent), "a long, b long, token long")
+def fewest(n: Column, percent: int) -> Column:
+    """What boundaries of partners share at least, if the smaller set has ``n`` shingles."""
+    return F.least(F.lit(2) + F.floor(n / 20), F.floor((F.lit(percent) * n + 99) / 100))
+
 
+def boundary_pairs(points: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that can be partners at all.
 
-def boundary_pairs(points: DataFrame, parts: DataFrame, crowd: int, percent: int) -> DataFrame:
-    """Pairs of different components that can be partners at all."""
+    The boundary shingles that several points hold are ordered by how many do. Partners share ``fewest`` of them at
+    least, so each point may leave out that many less one, its most crowded ones, and still meets every partner in
+    another: this is a second, exact division of the crowded regions by their rarer shingles. A boundary that reaches
+    the widely held shingles is ``full``: it has all others of its set, so what no other boundary has, no full
+    partner can hold, and ``rest`` bounds the overlap."""
     placed = points.join(parts, points["doc_id"] == parts["id"], "left").select(
-        "doc_id", "n", "bound", F.coalesce("component", "doc_id").alias("part")
+        "doc_id", F.coalesce("component", "doc_id").alias("part"), "bound"
     )
-    rows = placed.select("doc_id", "part", "n", F.explode("bound").alias("token"))
-    met = materialise(meetings(rows, crowd, percent), "meetings")
-    pairs = met.where("b is not null").select("a", "b")
-    crowded = met.where("b is null").select(F.col("a").alias("c_id"), F.col("token").alias("c_token"))
-    if not crowded.isEmpty():
-        inner = placed.join(crowded, placed["doc_id"] == crowded["c_id"])
-        after = F.expr("filter(transform(bound, (t, i) -> struct(t, i)), s -> s.i >= array_position(bound, c_token))")
-        inner = inner.select("doc_id", "part", "n", "c_token", F.explode(after).alias("s"))
-        inner = inner.select("doc_id", "part", "n", F.xxhash64("c_token", "s.t").alias("token"))
-        pairs = pairs.unionByName(meetings(inner, None, percent).select("a", "b"))
+    rows = placed.select("doc_id", "part", F.explode("bound").alias("token"))
+    region = Window.partitionBy("token")
+    rows = rows.withColumns({
+        "crowd": F.count("*").over(region), "mixed": F.min("part").over(region) != F.max("part").over(region)
+    })
+    shared = materialise(rows.where("crowd > 1"), "shared")
+    sizes = points.select(F.col("doc_id").alias("id"), "n", F.size("bound").alias("b"), "full")
+    held = shared.groupBy("doc_id").agg(F.count("*").alias("m"))
+    known = held.join(sizes, held["doc_id"] == sizes["id"]).select(
+        "id", "n", "full", (F.col("n") - F.when(F.col("full"), F.col("b") - F.col("m")).otherwise(0)).alias("rest")
+    )
+    able = known.where(F.lit(100) * F.col("rest") >= F.lit(percent) * F.col("n"))
+    order = Window.partitionBy("doc_id").orderBy(F.desc("crowd"), F.desc("token"))
+    ranked = shared.withColumn("r", F.row_number().over(order)).where("mixed")
+    ranked = ranked.join(able, ranked["doc_id"] == able["id"])
+    least = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
+    ranked = ranked.where(F.col("r") > fewest(least, percent) - 1)
+    ranked = ranked.select("token", "doc_id", "part", "n", "rest", "full").repartition("token").sortWithinPartitions("token", "doc_id")
+    pairs = ranked.mapInArrow(_meet(percent), "a long, b long").distinct()
     x = points.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bound").alias("x"))
     y = points.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bound").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    needed = F.lit(2) + F.floor(F.least("na", "nb") / 50)
-    least = F.floor((F.lit(percent) * F.least("na", "nb") + 99) / 100)
-    return pairs.distinct().join(x, "a").join(y, "b").where(shared >= F.least(needed, least)).select("a", "b").distinct()
+    both = pairs.join(x, "a").join(y, "b")
+    return both.where(F.size(F.array_intersect("x", "y")) >= fewest(F.least("na", "nb"), percent)).select("a", "b").distinct()
 
 
 def jaccard_components(
-    documents: DataFrame, k: int = 5, percent: int = 80, pivots: int = 4, crowd: int = 256
+    documents: DataFrame, k: int = 5, percent: int = 80, pivots: int = 4
 ) -> DataFrame:
     """Per document row ``doc_id, n_shingles, component_id``: documents are linked when
     ``100 * intersection >= percent * union``; the component is the smallest doc_id that links reach."""
@@ -293,12 +297,11 @@ def jaccard_components(
     classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cls"))
     classes = materialise(classes, "classes")
     bounds = boundaries(docs, hot, k, percent)
-    reps = classes.select("cls").distinct()
-    points = bounds.where("n > 0").join(reps, bounds["doc_id"] == reps["cls"], "left_semi")
-    points = materialise(points.dropDuplicates(["doc_id", "bound"]), "points")
-    near = materialise(verified(pivot_pairs(points, pivots, 60), docs, k, percent), "near")
+    reps = broadcast_if_small(classes.select("cls").distinct(), MOST_IDS)
+    points = materialise(bounds.where("n > 0").join(reps, bounds["doc_id"] == reps["cls"], "left_semi"), "points")
+    near = materialise(verified(pivot_pairs(points, 4, pivots), docs, k, percent), "near")
     parts = connected_components(near)
-    far = verified(boundary_pairs(points, parts, crowd, percent), docs, k, percent)
+    far = verified(boundary_pairs(points, parts, percent), docs, k, percent)
     links = parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(far)
     found = connected_components(links)
     member = rows.join(classes, ["n", "s1", "s2"], "left")
@@ -314,4 +317,5 @@ def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``documents`` with one document of each component: the one with the smallest doc_id. Empty texts stay."""
     found = jaccard_components(documents, k, percent)
     drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop_id")).distinct()
+    drop = broadcast_if_small(materialise(drop, "copies"), MOST_IDS)
     return documents.join(drop, documents["doc_id"] == drop["_drop_id"], "left_anti")
