@@ -117,7 +117,8 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
     rows = df.withColumns({"_x": ranked(x), "_y": ranked(y)})
     flat = (F.max(x) == F.min(x)) | (F.max(y) == F.min(y))
-    return rows.groupBy(*by).agg(F.when(flat, 0.0).otherwise(F.corr("_x", "_y")).alias("rho"), flat.alias("constant"))
+    correlation = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))
+    return rows.groupBy(*by).agg(F.when(flat, 0.0).otherwise(correlation).alias("rho"), flat.alias("constant"))
 
 
 def by_score(score: str, by: list[str]) -> Window:

@@ -99,7 +99,8 @@ def d9(spark, d):
 
 
 @q("d10_prob_buckets", """, e(low, high) AS (VALUES (0.0, 0.1), (0.1, 0.15), (0.15, 0.3), (0.3, 0.99), (0.99, 1.0))
-SELECT low, high, count(p) AS n, round(avg(hit), 6) AS rate FROM e LEFT JOIN scored ON p >= low AND (p < high OR (high = 1.0 AND p = 1.0)) GROUP BY 1, 2""")
+SELECT e.low, e.high, count(p) AS n, round(avg(hit), 6) AS rate FROM e LEFT JOIN (SELECT p, hit FROM scored) ON p >= e.low
+  AND (p < e.high OR (e.high = 1.0 AND p = 1.0)) GROUP BY 1, 2""")
 def d10(spark, d):
     return stats.prob_buckets(scored(spark, d), "hit", "p", [0.0, 0.1, 0.15, 0.3, 0.99, 1.0]).select("low", "high", "n", r("rate"))
 
