@@ -297,3 +297,71 @@ def i6(spark, d):
         every = every.unionByName(t)
     out = fitted.predict_ridge(every, models, columns, ["fold"]).withColumn("score", F.round("prediction", 9))
     return stats.ranking_metrics(out, "hit", "score", ["column"]).select("column", r("average_precision"), r("roc_auc"))
+
+
+@query("f8_rank_importance")
+def f8(spark, d):
+    """Columns by how much average precision falls without them, ties by name."""
+    rows = i6(spark, d)
+    base = rows.where("column = 'none'").select(F.col("average_precision").alias("base"))
+    drops = rows.where("column <> 'none'").crossJoin(F.broadcast(base))
+    return drops.select("column", F.round(F.col("base") - F.col("average_precision"), 6).alias("importance")).orderBy(F.desc("importance"), "column")
+
+
+@query("h4_sim_ratio")
+def h4(spark, d):
+    """Title similarity of documents of one source and language that follow each other."""
+    from pyspark.sql.window import Window
+
+    before = F.lag("title").over(Window.partitionBy("source", "lang").orderBy("id"))
+    rows = news(spark, d).select("id", T.norm_title(F.col("title")).alias("a"), T.norm_title(before).alias("b"))
+    return rows.select("id", F.round(T.sim_ratio("a", "b"), 6).alias("ratio"))
+
+
+@query("i8_walk_forward")
+def i8(spark, d):
+    """A class-balanced logistic per fold on purged training rows, and the metrics of its evaluation year."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+
+    columns = ["volatility_log_return_20", "return_log_1", "rsi_14", "atr_14_normalized"]
+    rows = fitted.ml_rows(assigned(spark, d).withColumn("label", (F.col("primary") >= 1.5).cast("double")).drop("prediction"), columns).persist()
+    model, out = LogisticRegression(weightCol="weight", regParam=1e-3), []
+    for fold in ("1999", "2000", "2001"):
+        part = rows.where(F.col("fold") == fold)
+        fit = model.fit(fitted.balanced(part.where("role = 'train'"), "label"))
+        out.append(fit.transform(part.where("role = 'evaluation'")))
+    scored_rows = out[0].unionByName(out[1]).unionByName(out[2])
+    scored_rows = scored_rows.withColumns({"p": F.round(vector_to_array("probability")[1], 6), "hit": F.col("label").cast("int")})
+    return stats.binary_metrics(scored_rows, "hit", "p", 0.5, ["fold"]).select("fold", "n", r("average_precision", 4), r("mcc", 4), r("brier", 4))
+
+
+@query("i13_reaction_study")
+def i13(spark, d):
+    """Ridge on one-hot classes and confidence for the size of the reaction, per horizon, on later events."""
+    labels = reactions.reaction_labels(A.publications(spark, d), A.quotes(spark, d), {"next_session": 1, "3d": 3}, 0.05, 0.25, ZONE, 13, 30)
+    kinds = [f"c{i}" for i in range(7)]
+    rows = labels.where("reason IS NULL").select(
+        "horizon", "ticker", F.col("effective").alias("session"), "confidence", F.abs("abnormal").alias("y"),
+        *((F.col("event_class") == k).cast("double").alias(k) for k in kinds[1:]),
+    )
+    cut = F.lit("2024-01-17").cast("date")
+    models = fitted.fit_ridge(rows.where(F.col("session") < cut), ["confidence", *kinds[1:]], F.log1p("y"), [100.0], ["horizon"])
+    out = fitted.predict_ridge(rows.where(F.col("session") >= cut), models, ["confidence", *kinds[1:]], ["horizon"]).withColumn("score", F.round("prediction", 9))
+    return stats.regression_metrics(out, "y", "prediction", ["horizon"]).join(stats.spearman(out, "score", "y", ["horizon"]), "horizon").select(
+        "horizon", "n", r("mae"), r("rmse"), r("rho"))
+
+
+@query("i14_freeze_model")
+def i14(spark, d):
+    """The alpha with the least mean error over the folds, refitted on all training rows of the last one, as an artifact."""
+    columns = [c for c in features.FEATURE_NAMES if c != "zero_volume_flag"]
+    rows = assigned(spark, d).drop("prediction").withColumn("y", F.col("primary")).persist()
+    models = fitted.fit_ridge(rows.where("role = 'train'"), columns, F.log1p("y"), [1.0, 10.0, 100.0], ["fold"])
+    tried = fitted.predict_ridge(rows.where("role = 'evaluation'"), models, columns, ["fold"])
+    errors = stats.regression_metrics(tried, "y", "prediction", ["fold", "alpha"]).groupBy("alpha").agg(F.avg("mae").alias("mae"))
+    chosen = stats.first_by(errors, [], [F.round("mae", 9), F.col("alpha")]).select("alpha")
+    final = models.where("fold = '2001'").join(chosen, "alpha")
+    names = F.array(*map(F.lit, columns))
+    return final.select("alpha", r("intercept"), F.explode(F.arrays_zip(names.alias("name"), F.col("coefficients").alias("value"))).alias("c")).select(
+        "alpha", "intercept", "c.name", F.round("c.value", 8).alias("coefficient"))
