@@ -40,6 +40,7 @@ HOT_DOCS = 64
 MOST_HOT = 1 << 21
 MOST_IDS = 1_000_000  # so many ids are broadcast at most, 8 MB; beyond, Spark shuffles the texts instead
 SKETCH = 16
+SLICES = 64
 
 
 def document_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -66,17 +67,19 @@ def extra(n: int) -> int:
     return 2 + n // 20
 
 
-def boundary(shingles: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, bool]:
-    """The first shingles of a set, widely held ones last, of which partners share ``extra`` at least; and whether all
-    that are not widely held are among them."""
+def boundary(shingles: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, bool, int, bytes]:
+    """The first shingles of a set, widely held ones last, of which partners share ``extra`` at least; whether all that
+    are not widely held are among them, how many those are, and how many widely held ones lie in each slice of the
+    hash range: distances to ``SLICES`` further pivots, which bound what two sets can share."""
     n = len(shingles)
-    need, plain = overlap_needed(n, percent), n
+    need, plain, slices = overlap_needed(n, percent), n, np.zeros(SLICES, np.int64)
     if len(hot) and n:
         at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
         common = hot[at] == shingles
+        slices = np.bincount((shingles[common] >> np.uint64(58)).astype(np.int64), minlength=SLICES)
         shingles, plain = np.concatenate([shingles[~common], shingles[common]]), n - int(common.sum())
     out = shingles[: min(n, n - need + min(extra(n), need))]
-    return out, plain <= len(out)
+    return out, plain <= len(out), plain, slices.astype(np.int32).tobytes()
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -140,14 +143,16 @@ def boundaries(documents: DataFrame, hot: np.ndarray, k: int, percent: int) -> D
                     pa.array(_ids(batch.column(0))),
                     pa.array(np.array([len(x) for x in sets], dtype=np.int64)),
                     pa.ListArray.from_arrays(*_offsets([x[:SKETCH] for x in sets])),
-                    pa.ListArray.from_arrays(*_offsets([x for x, _ in bounds])),
-                    pa.array([full for _, full in bounds], pa.bool_()),
+                    pa.ListArray.from_arrays(*_offsets([x[0] for x in bounds])),
+                    pa.array([x[1] for x in bounds], pa.bool_()),
+                    pa.array([x[2] for x in bounds], pa.int64()),
+                    pa.array([x[3] for x in bounds], pa.binary()),
                 ],
-                names=["doc_id", "n", "first", "bound", "full"],
+                names=["doc_id", "n", "first", "bound", "full", "plain", "slices"],
             )
 
     return documents.select("doc_id", "text").mapInArrow(
-        read, "doc_id long, n long, first array<bigint>, bound array<bigint>, full boolean"
+        read, "doc_id long, n long, first array<bigint>, bound array<bigint>, full boolean, plain long, slices binary"
     )
 
 
@@ -181,13 +186,12 @@ def verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> Da
 
 
 def pivot_pairs(points: DataFrame, tokens: int, pivots: int) -> DataFrame:
-    """Pairs (point, pivot): the pivots of a shingle are the points first in ``pivots`` hash orders among those that
-    have it among their first ``tokens``. Pairs whose sketches agree in less than half are left to the boundaries."""
-    held = points.select("doc_id", F.explode(F.slice("first", 1, tokens)).alias("token"))
-    orders = [
-        F.min(F.struct((F.xxhash64(F.lit(i), "doc_id") if i else F.col("doc_id")).alias("rank"), "doc_id")).alias(f"p{i}")
-        for i in range(pivots)
-    ]
+    """Pairs (point, pivot): the pivots of a shingle, among the points that have it among their first ``tokens``, are
+    the one with the fewest shingles of its own (the middle of a group of copies), the smallest, and the first ones in
+    some hash orders. Pairs whose sketches agree in less than half are left to the boundaries."""
+    held = points.select("doc_id", "plain", F.explode(F.slice("first", 1, tokens)).alias("token"))
+    ranks = [F.col("plain"), F.col("doc_id"), *(F.xxhash64(F.lit(i), "doc_id") for i in range(2, pivots))]
+    orders = [F.min(F.struct(rank.alias("rank"), "doc_id")).alias(f"p{i}") for i, rank in enumerate(ranks)]
     by_token = held.groupBy("token").agg(F.count("*").alias("held"), *orders).where("held > 1")
     by_token = by_token.select("token", F.array_distinct(F.array(*(F.col(f"p{i}.doc_id") for i in range(pivots)))).alias("ps"))
     pairs = held.join(by_token, "token").select("doc_id", F.explode("ps").alias("p")).where("doc_id <> p")
@@ -200,10 +204,11 @@ def pivot_pairs(points: DataFrame, tokens: int, pivots: int) -> DataFrame:
 
 
 def _meet(percent: int):
-    """Over rows (token, doc_id, part, n, rest, full) sorted by token: pairs of one token from different components that
+    """Over rows (token, doc_id, part, n, rest, full, plain, slices) sorted by token: pairs of one token from different components that
     can reach the threshold by their sizes and by what of each the other can hold at all."""
 
-    def pairs_of(ids, parts, ns, rest, full) -> tuple[np.ndarray, np.ndarray]:
+    def pairs_of(ids, parts, ns, rest, full, plain, slices) -> tuple[np.ndarray, np.ndarray]:
+        own, table = rest - (ns - plain), None  # own: shingles that are not widely held and may be shared
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(0, len(ids), 512):
             for j in range(0, i + 1, 512):
@@ -215,15 +220,23 @@ def _meet(percent: int):
                 if i == j:
                     ok &= np.tri(len(ids[a]), k=-1, dtype=bool)
                 p, q = np.nonzero(ok)
-                one, two = ids[a][p], ids[b][q]
+                p, q = p + i, q + j
+                if len(p):
+                    if table is None:
+                        table = np.frombuffer(b"".join(slices.tolist()), dtype=np.int32).reshape(-1, SLICES)
+                    wide = np.minimum(table[p], table[q]).sum(axis=1)
+                    few = np.where(full[p] & full[q], np.minimum(own[p], own[q]), np.minimum(plain[p], plain[q]))
+                    near = (100 + percent) * (wide + few) >= percent * (ns[p] + ns[q])
+                    p, q = p[near], q[near]
+                one, two = ids[p], ids[q]
                 out_a.append(np.maximum(one, two))
                 out_b.append(np.minimum(one, two))
         return np.concatenate(out_a), np.concatenate(out_b)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64)] * 5 + [np.zeros(0, bool)]
+        kept = [np.zeros(0, np.int64)] * 5 + [np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, object)]
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
             cols = [np.concatenate(x) for x in zip(kept, new, strict=True)]
             if not len(cols[0]):
                 continue
@@ -265,10 +278,10 @@ def boundary_pairs(points: DataFrame, parts: DataFrame, percent: int) -> DataFra
         "crowd": F.count("*").over(region), "mixed": F.min("part").over(region) != F.max("part").over(region)
     })
     shared = materialise(rows.where("crowd > 1"), "shared")
-    sizes = points.select(F.col("doc_id").alias("id"), "n", F.size("bound").alias("b"), "full")
+    sizes = points.select(F.col("doc_id").alias("id"), "n", F.size("bound").alias("b"), "full", "plain", "slices")
     held = shared.groupBy("doc_id").agg(F.count("*").alias("m"))
     known = held.join(sizes, held["doc_id"] == sizes["id"]).select(
-        "id", "n", "full", (F.col("n") - F.when(F.col("full"), F.col("b") - F.col("m")).otherwise(0)).alias("rest")
+        "id", "n", "full", "plain", "slices", (F.col("n") - F.when(F.col("full"), F.col("b") - F.col("m")).otherwise(0)).alias("rest")
     )
     able = known.where(F.lit(100) * F.col("rest") >= F.lit(percent) * F.col("n"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("crowd"), F.desc("token"))
@@ -276,7 +289,7 @@ def boundary_pairs(points: DataFrame, parts: DataFrame, percent: int) -> DataFra
     ranked = ranked.join(able, ranked["doc_id"] == able["id"])
     least = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
     ranked = ranked.where(F.col("r") > fewest(least, percent) - 1)
-    ranked = ranked.select("token", "doc_id", "part", "n", "rest", "full").repartition("token").sortWithinPartitions("token", "doc_id")
+    ranked = ranked.select("token", "doc_id", "part", "n", "rest", "full", "plain", "slices").repartition("token").sortWithinPartitions("token", "doc_id")
     pairs = ranked.mapInArrow(_meet(percent), "a long, b long").distinct()
     x = points.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bound").alias("x"))
     y = points.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bound").alias("y"))
