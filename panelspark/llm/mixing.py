@@ -82,24 +82,25 @@ def plan_phases(blocks: dict[str, int], weights: dict[str, float], resolution: i
 
 def mix_sources(
     documents: DataFrame, weights: dict[str, float] | None = None, size: Column | None = None, block: int = 65_536,
-    resolution: int = 1000, bucket_rows: int = 4096, max_sources: int = 10_000,
+    resolution: int = 1000, bucket_rows: int = 1024, max_sources: int = 10_000,
 ) -> DataFrame:
     """``documents`` with ``block, release, deadline, slot, place``; sorting by (slot, place) gives the mixture.
 
-    A source's running size is summed in two levels, hash buckets of about ``bucket_rows`` rows and rows inside a
-    bucket, so no task holds a whole source. The driver sees one size per source, ``max_sources`` at most."""
+    A source's running size is summed in two levels, hash buckets of about ``bucket_rows`` of its rows and rows inside
+    a bucket, so no task holds a whole source. The driver sees one size per source, ``max_sources`` at most."""
     spark = documents.sparkSession
     rows = documents.withColumns({
         "_source": F.coalesce(F.col("source"), F.lit(NO_SOURCE)),
         "_size": F.coalesce((F.length("text") if size is None else size).cast("long"), F.lit(0).cast("long")),
         "_hash": F.xxhash64("doc_id"),
     })
-    n_buckets = max(1, -(-documents.count() // bucket_rows))
-    rows = rows.withColumn("_bucket", F.pmod("_hash", F.lit(n_buckets)).cast("int"))
-    sums = rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum"))
-    totals = sums.groupBy("_source").agg(F.sum("_sum").alias("n")).limit(max_sources + 1).collect()
+    totals = rows.groupBy("_source").agg(F.sum("_size").alias("n"), F.count("*").alias("rows")).limit(max_sources + 1).collect()
     if len(totals) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
+    n_buckets = json.dumps({r["_source"]: -(-r["rows"] // bucket_rows) for r in totals})
+    n_buckets = F.element_at(F.from_json(F.lit(n_buckets), "map<string,bigint>"), F.col("_source"))
+    rows = rows.withColumn("_bucket", F.pmod("_hash", n_buckets).cast("int"))
+    sums = rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum"))
     sizes = {r["_source"]: max(1, -(-r["n"] // block)) for r in totals}
     if weights is None:
         targets = {r["_source"]: math.sqrt(max(1, r["n"])) for r in totals}
