@@ -283,6 +283,37 @@ def test_repeated_passages(spark):
     assert 70 <= fuzzy_row["end"] - fuzzy_row["start"] <= 92 and 3 <= fuzzy_row["edits"] <= 6
 
 
+@pytest.mark.parametrize("local_seen", [8, 1])
+def test_interleaved_partial_holders_hide_no_passage(spark, monkeypatch, local_seen):
+    """Full holders of a passage between holders of its halves: each seed's first and previous holder is a partial one."""
+    monkeypatch.setattr(substring, "LOCAL_SEEN", local_seen)
+    rng = random.Random(17)
+    own = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    passage = own(60)
+    parts = [passage[:42], passage[18:], passage[9:51], passage[:49], passage[11:]]
+    texts = []
+    for i in range(90):
+        middle = passage if i % 6 == 5 else parts[i % 6]
+        texts.append(own(20) + middle + own(20) + (middle if i < 12 else []) + own(9))
+    texts = [" ".join(x) for x in texts]
+    got = substring.repeated_passages(docs_of(spark, texts).repartition(3)).collect()
+    covered = defaultdict(set)
+    for r in got:
+        covered[r["doc_id"]].update(range(r["start"], r["end"]))
+        covered[r["other_id"]].update(range(r["other_start"], r["other_end"]))
+        assert r["end"] - r["start"] >= 50 and r["edits"] == 0
+    windows, want = defaultdict(set), defaultdict(set)
+    for d, t in enumerate(texts):
+        w = t.split()
+        for i in range(len(w) - 49):
+            windows[tuple(w[i : i + 50])].add((d, i))
+    for at in windows.values():
+        if len({d for d, _ in at}) > 1:
+            for d, i in at:
+                want[d].update(range(i, i + 50))
+    assert len(want) == 15 and covered == want
+
+
 def test_chaining_against_brute_force():
     rng = random.Random(12)
     for _ in range(200):
