@@ -26,14 +26,17 @@ def split_leakage(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count_distinct("split").alias("n_splits")).where("n_splits > 1")
 
 
-def near_dup_pairs(df: DataFrame, k: int = 5, least: float = 0.7, most: int = 100) -> DataFrame:
-    """Pairs of different texts with a shingle Jaccard of ``least``: joined on shingles, of which postings of more than
-    ``most`` texts make no candidates; the measure itself is on whole sets."""
+def near_dup_pairs(df: DataFrame, k: int = 5, least: float = 0.7) -> DataFrame:
+    """Pairs of different texts with a shingle Jaccard of ``least``. Partners share ``least`` of either set, hence one of each
+    set's rarest shingles, as many as may be missing and one more: only these are joined. The measure is on whole sets."""
     sets = df.withColumn("s", T.shingles(F.col("text"), k)).where(F.size("s") > 0)
-    posts = sets.select("id", F.explode("s").alias("g"))
-    rare = posts.groupBy("g").agg(F.count("*").alias("n")).where(f"n BETWEEN 2 AND {most}").select("g")
-    held = posts.join(rare, "g")
-    pairs = held.alias("a").join(held.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")))
+    posts = sets.select("id", F.size("s").alias("m"), F.explode("s").alias("g"))
+    counts = posts.groupBy("g").agg(F.count("*").alias("n"))
+    rarest = Window.partitionBy("id").orderBy("n", "g")
+    held = posts.join(counts, "g").withColumn("r", F.row_number().over(rarest))
+    held = held.where((F.col("r") <= F.col("m") - F.ceil(F.col("m") * least - 1e-9) + 1) & (F.col("n") > 1))
+    near = F.least("a.m", "b.m") >= F.greatest("a.m", "b.m") * least - 1e-9
+    pairs = held.alias("a").join(held.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")) & near)
     pairs = pairs.select(F.col("a.id").alias("left"), F.col("b.id").alias("right")).distinct()
     both = pairs.join(sets.select(F.col("id").alias("left"), F.col("s").alias("x")), "left").join(sets.select(F.col("id").alias("right"), F.col("s").alias("y")), "right")
     inter = F.size(F.array_intersect("x", "y"))

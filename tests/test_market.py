@@ -195,3 +195,13 @@ def test_votes_abstain_and_conflict(spark):
     got = {r["input_id"]: r for r in newsroom.aggregate_votes(votes, weights).collect()}
     assert got["a"]["label"] == "POSITIVE" and got["b"]["label"] == "AMBIGUOUS" and got["c"]["label"] is None
     assert (got["b"]["agreement"], got["b"]["entropy"], got["b"]["reason"]) == (0.5, 1.0, "VOTE_CONFLICT")
+
+
+def test_near_dup_pairs_of_widely_held_shingles(spark):
+    base = "the same headline stands in very many of these short texts"
+    texts = [f"{base} {i:03d}" for i in range(120)] + [f"another text of its own {i}" * 2 for i in range(3)]
+    sets = [(lambda c: {c[i : i + 5] for i in range(len(c) - 4)})(t.replace(" ", "")) for t in texts]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
+            if 0.7 <= len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 1}
+    got = newsroom.near_dup_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()
+    assert len(want) > 7000 and {(r["left"], r["right"]) for r in got} == want and len(got) == len(want)
