@@ -267,21 +267,23 @@ def boundary_pairs(points: DataFrame, parts: DataFrame, percent: int) -> DataFra
     The boundary shingles that several points hold are ordered by how many do. Partners share ``fewest`` of them at
     least, so each point may leave out that many less one, its most crowded ones, and still meets every partner in
     another: this is a second, exact division of the crowded regions by their rarer shingles. A boundary that reaches
-    the widely held shingles is ``full``: it has all others of its set, so what no other boundary has, no full
-    partner can hold, and ``rest`` bounds the overlap."""
+    the widely held shingles is ``full``: it has all others of its set, so what of those no other boundary has, no full
+    partner can hold, and ``rest`` bounds the overlap. A widely held one may lie beyond the partner's boundary, so it
+    always counts as shared here."""
     placed = points.join(parts, points["doc_id"] == parts["id"], "left").select(
-        "doc_id", F.coalesce("component", "doc_id").alias("part"), "bound"
+        "doc_id", F.coalesce("component", "doc_id").alias("part"), "bound", "plain"
     )
-    rows = placed.select("doc_id", "part", F.explode("bound").alias("token"))
+    rows = placed.select("doc_id", "part", "plain", F.posexplode("bound").alias("at", "token"))
+    rows = rows.select("doc_id", "part", "token", (F.col("at") < F.col("plain")).alias("rare"))
     region = Window.partitionBy("token")
     rows = rows.withColumns({
         "crowd": F.count("*").over(region), "mixed": F.min("part").over(region) != F.max("part").over(region)
     })
     shared = materialise(rows.where("crowd > 1"), "shared")
-    sizes = points.select(F.col("doc_id").alias("id"), "n", F.size("bound").alias("b"), "full", "plain", "slices")
-    held = shared.groupBy("doc_id").agg(F.count("*").alias("m"))
+    sizes = points.select(F.col("doc_id").alias("id"), "n", "full", "plain", "slices")
+    held = shared.groupBy("doc_id").agg(F.count_if("rare").alias("m"))
     known = held.join(sizes, held["doc_id"] == sizes["id"]).select(
-        "id", "n", "full", "plain", "slices", (F.col("n") - F.when(F.col("full"), F.col("b") - F.col("m")).otherwise(0)).alias("rest")
+        "id", "n", "full", "plain", "slices", (F.col("n") - F.when(F.col("full"), F.col("plain") - F.col("m")).otherwise(0)).alias("rest")
     )
     able = known.where(F.lit(100) * F.col("rest") >= F.lit(percent) * F.col("n"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("crowd"), F.desc("token"))

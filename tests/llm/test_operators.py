@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -413,6 +414,20 @@ def test_jaccard_far_pairs_alone(spark):
         assert {(r["b"], r["a"]) for r in pairs.collect()} == {(i, i + 1) for i in range(0, 40, 2)}
 
 
+def test_jaccard_far_pairs_of_widely_held_sets(spark):
+    """Sets of widely held shingles only, and the same sets with new shingles: those lie on the boundary, the others beyond."""
+    rng = random.Random(18)
+    own = lambda n: " ".join(f"w{rng.randrange(1 << 40)}" for _ in range(n))
+    bases = [own(84) for _ in range(8, 21)]
+    texts = [t for d, base in zip(range(8, 21), bases, strict=True) for t in (base, base + " " + own(d))]
+    docs = docs_of(spark, texts)
+    hot = np.unique(np.concatenate(list(jaccard.document_sets(pa.array(bases), 5))))
+    bounds = jaccard.boundaries(docs, hot, 5, 80)
+    none = spark.createDataFrame([], "id long, component long")
+    pairs = jaccard.verified(jaccard.boundary_pairs(bounds, none, 80), docs, 5, 80)
+    assert {(r["b"], r["a"]) for r in pairs.collect()} == {(i, i + 1) for i in range(0, 26, 2)}
+
+
 # ---- 10 licences
 
 def test_license_scan_inherits_from_the_nearest_directory(spark):
