@@ -6,6 +6,7 @@ The vocabulary file's path is a parameter; every executor reads it from there.
 """
 
 import base64
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -18,6 +19,8 @@ from pyspark.sql.window import Window
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which this vocabulary's texts are cut before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# White space as the pattern has it, in runs so long that matching them by it could overflow the stack.
+LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{4096,}")
 STRETCH = 1 << 16
 _encoders: dict[str, object] = {}
 
@@ -31,13 +34,24 @@ def encoder(path: str):
     return _encoders[path]
 
 
+def n_tokens(encoding, text: str) -> int:
+    """The exact length of the encoded text. Of a run of white space the pattern makes one piece, without the last
+    character if something follows; long runs are cut out as such pieces and merged without the pattern."""
+    n, done = 0, 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        n += len(encoding.encode_ordinary(text[done : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end]))
+        done = end
+    return n + len(encoding.encode_ordinary(text[done:]))
+
+
 def encoded_lengths(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``n_tokens`` of each row's whole text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encoding = encoder(path)
         for batch in batches:
-            n = np.array([len(encode(t)) if t else 0 for t in batch.column(0).to_pylist()], dtype=np.int64)
+            n = np.array([n_tokens(encoding, t) if t else 0 for t in batch.column(0).to_pylist()], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(n)], names=["n_tokens"])
 
     return documents.select("text").mapInArrow(read, "n_tokens long")

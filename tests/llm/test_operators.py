@@ -355,6 +355,17 @@ def test_length_histogram_and_round_trip(spark):
     assert tokencounts.length_histogram(tokencounts.encoded_lengths(docs_of(spark, []))).count() == 0
 
 
+def test_very_long_runs_of_white_space(spark):
+    encoding = tokencounts.encoder(tokencounts.VOCABULARY)
+    for n in (4095, 4096, 4097, 9000):
+        for run in (" " * n, "\n" * n, " \u3000\t" * (n // 3 + 1), " " * n + "\n"):
+            for text in (run, "a" + run, run + "b", "a" + run + "b c", run + "'s" + run + "7", "x\x1c" + run + "\x1c"):
+                assert tokencounts.n_tokens(encoding, text) == len(encoding.encode_ordinary(text))
+    long = " " * 3_000_000
+    got = tokencounts.encoded_lengths(docs_of(spark, ["word" + long + "word", "word" + long, "word"])).collect()
+    assert min(r["n_tokens"] for r in got) >= 1 and sum(r["n_tokens"] > 10_000 for r in got) == 2
+
+
 # ---- 9 Jaccard
 
 def jaccard_by_hand(texts):
