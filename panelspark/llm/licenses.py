@@ -149,6 +149,7 @@ def scan_licenses(
     governed = materialise(governed, "governed")
     parts = F.split("dir", "/", -1)
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    above = F.array_distinct(F.concat(F.array(F.lit("")), above))  # the root of relative paths
     dirs = light.select("dir").where("dir IS NOT NULL").distinct()
     up = dirs.select("dir", F.posexplode(above).alias("depth", "up"))
     up = up.join(broadcast_if_small(governed, 1_000_000), up["up"] == governed["from_dir"])

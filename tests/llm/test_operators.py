@@ -453,6 +453,12 @@ def test_license_scan_inherits_from_the_nearest_directory(spark):
                    7: (None, "none", None), 8: (None, "none", None), 9: ("GPL-3.0", "inherited", "a/b")}
 
 
+def test_license_at_the_root_of_relative_paths(spark):
+    rows = [(1, "LICENSE", licenses.TEMPLATES[12][1]), (2, "src/a/x", "code"), (3, "y", "code"), (4, None, "code")]
+    out = licenses.scan_licenses(spark.createDataFrame(rows, "file_id long, path string, text string"))
+    assert {r["file_id"]: r["license"] for r in out.collect()} == {1: "MIT", 2: "MIT", 3: "MIT", 4: None}
+
+
 def test_anchors_lose_nothing():
     rng = random.Random(16)
     vectors = []
