@@ -3,141 +3,156 @@
 Each source's documents, in hash order, are cut into blocks of ``block`` units of size. Block j of a source with weight
 w gets the release time ``floor(j / w)`` and the deadline ``ceil((j + 1) / w)``; earliest deadline first among the
 released blocks fills one slot after the other. Every block then lies inside its window, so after any number of slots
-each source is less than one block away from its share. Weights are multiples of ``1 / resolution``, hence the order of
-slots repeats after ``resolution`` of them, and only that cycle is worked out; a block's slot follows by arithmetic.
-When a source ends, the others go on with their weights scaled up: a new phase. Every document is placed.
+each source is less than one block away from its share. Weights are held exactly, as whole numbers in the proportions
+asked for, so releases and deadlines are exact too, and the order of slots repeats after as many slots as the weights'
+sum; no more than one such cycle, or the slots up to a source's end where these are fewer, is worked out by the driver.
+A block's slot follows by arithmetic. When a source ends, the others go on in their proportions: a new phase. Every
+document is placed.
+
+What the driver works out is at most one entry per block of the mixture, whatever the weights. Let ``block`` grow with
+the corpus (64 MB rather than 64 kB at 100 TB); without weights the targets are whole parts of about ``parts``, so the
+cycle is as short.
 
 Defined cases: a null source is a source of its own; null and empty texts have size 0 and stay with the block they fall
-into; repeated rows are placed side by side; a source without a weight gets none unless weights are left out, when
-they follow the square root of the source's size; an empty table gives no rows.
+into; repeated rows are placed side by side; a source without a positive weight gets no slot, so its documents go; if
+weights are left out, they follow the square root of the source's size; columns of the input named like one of
+``PLACED`` are replaced, any other name may be there; an empty table gives no rows.
 """
 
 import heapq
 import json
 import math
+from decimal import Decimal
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PHASES = (
-    "array<struct<source:string,phases:array<struct<first:bigint,share:bigint,start:bigint,"
-    "cycle:bigint,places:array<bigint>>>>>"
-)
+from panelspark.llm.decontaminate import broadcast_if_small
+
+PLAN = "array<struct<source:string,first:bigint,last:bigint,share:bigint,start:bigint,cycle:bigint,places:array<bigint>>>"
 NO_SOURCE = "\0"
 PLACED = ("block", "release", "deadline", "slot", "place")  # these replace columns of the input with such names
+MOST_BLOCKS = 1_000_000  # so many block rows are broadcast at most; beyond, Spark shuffles the join
 
+Weight = int | float | Decimal | Fraction
 
-def shares(weights: dict[str, float], resolution: int) -> dict[str, int]:
-    """Whole parts of ``resolution``, at least one each, by largest remainders."""
-    total = sum(weights.values())
-    exact = {s: max(w / total * resolution, 1e-12) for s, w in weights.items()}
-    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (math.floor(exact[s]) - exact[s], s))
-    i = 0
-    while sum(out.values()) < resolution:
-        out[order[i % len(order)]] += 1
-        i += 1
-    while sum(out.values()) > resolution:
-        out[max(out, key=lambda s: (out[s], s))] -= 1
-    return out
+
+def whole_weights(weights: dict[str, Weight]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of ``weights``; a float counts as the decimal fraction that it prints as."""
+    exact = {s: Fraction(repr(w)) if isinstance(w, float) else Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    whole = {s: int(x * scale) for s, x in exact.items()}
+    return {s: w // math.gcd(*whole.values()) for s, w in whole.items()}
 
 
-def pfair_cycle(parts: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in one cycle: earliest deadline first among the released blocks."""
-    cycle = sum(parts.values())
+def usual_weights(sizes: dict[str, int], parts: int) -> dict[str, int]:
+    """The targets if none are given: square roots of the sizes, in whole parts of which the largest source has ``parts``."""
+    roots = {s: math.sqrt(max(1, n)) for s, n in sizes.items()}
+    top = max(roots.values(), default=1.0)
+    return {s: max(1, round(parts * x / top)) for s, x in roots.items()}
+
+
+def pfair_slots(weights: dict[str, int], n: int) -> dict[str, list[int]]:
+    """Each source's slots among the first ``n``: earliest deadline first among the released blocks."""
+    total = sum(weights.values())
     released: list[tuple[int, str, int]] = []
-    waiting = [(0, s, 0) for s in sorted(parts)]
+    waiting = [(0, s, 0) for s in sorted(weights)]
     heapq.heapify(waiting)
-    places: dict[str, list[int]] = {s: [] for s in parts}
-    for slot in range(cycle):
+    places: dict[str, list[int]] = {s: [] for s in weights}
+    for slot in range(n):
         while waiting and waiting[0][0] <= slot:
             _, s, j = heapq.heappop(waiting)
-            heapq.heappush(released, (-(-(j + 1) * cycle // parts[s]), s, j))
+            heapq.heappush(released, (-(-(j + 1) * total // weights[s]), s, j))
         _, s, j = heapq.heappop(released)
         places[s].append(slot)
-        if j + 1 < parts[s]:
-            heapq.heappush(waiting, ((j + 1) * cycle // parts[s], s, j + 1))
+        heapq.heappush(waiting, ((j + 1) * total // weights[s], s, j + 1))
     return places
 
 
-def plan_phases(blocks: dict[str, int], weights: dict[str, float], resolution: int) -> dict[str, list[dict]]:
-    """The phases of each source: from which block on which share, start slot, cycle and places hold."""
-    out: dict[str, list[dict]] = {s: [] for s in blocks}
-    done, start = dict.fromkeys(blocks, 0), 0
-    while active := {s: w for s, w in weights.items() if done[s] < blocks[s]}:
-        parts = shares(active, max(resolution, len(active)))
-        cycle, places = sum(parts.values()), pfair_cycle(parts)
-        ends = []
-        for s in active:
-            last = blocks[s] - done[s] - 1
-            ends.append(last // parts[s] * cycle + places[s][last % parts[s]] + 1)
-            out[s].append({"first": done[s], "share": parts[s], "start": start, "cycle": cycle, "places": places[s]})
-        end = min(ends)
+def plan_phases(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
+    """Per phase and source: which of its blocks (``first`` to ``last``) have which share of the cycle, from which start
+    slot on, and the slots of the first ``share`` blocks, or of all if they are fewer."""
+    out: list[dict] = []
+    done, start = dict.fromkeys(weights, 0), 0
+    active = {s: w for s, w in weights.items() if blocks[s]}
+    while active:
+        shared = math.gcd(*active.values())
+        parts = {s: w // shared for s, w in active.items()}
+        cycle = sum(parts.values())
+        left = {s: blocks[s] - done[s] for s in active}
+        soonest = min(-(-left[s] * cycle // parts[s]) for s in active)  # some source ends by then
+        places = pfair_slots(parts, min(cycle, soonest))
+
+        def slot_of(s: str, j: int) -> int:
+            turn, at = divmod(j, parts[s])
+            return turn * cycle + places[s][at] if at < len(places[s]) else soonest
+
+        end = min(slot_of(s, left[s] - 1) for s in active) + 1
+        turns, rest = divmod(end, cycle)
         for s in active:
-            done[s] += end // cycle * parts[s] + sum(p < end % cycle for p in places[s])
+            n = turns * parts[s] + sum(p < rest for p in places[s])
+            if n:
+                out.append({"source": s, "first": done[s], "last": done[s] + n - 1, "share": parts[s], "start": start,
+                            "cycle": cycle, "places": places[s][:n]})
+            done[s] += n
         start += end
+        active = {s: w for s, w in active.items() if done[s] < blocks[s]}
     return out
 
 
+def block_table(documents: DataFrame, phases: list[dict]) -> DataFrame:
+    """``of, block, release, deadline, slot``: one row per block of the mixture."""
+    plan = documents.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(phases)), PLAN)).alias("p")).select("p.*")
+    each = plan.select("*", F.explode(F.sequence("first", "last")).alias("block")).withColumn("j", F.col("block") - F.col("first"))
+    at = F.element_at("places", (F.col("j") % F.col("share") + 1).cast("int"))
+    return each.select(
+        F.col("source").alias("of"), "block",
+        (F.col("start") + F.expr("(j * cycle) div share")).alias("release"),
+        (F.col("start") + F.expr("((j + 1) * cycle + share - 1) div share")).alias("deadline"),
+        (F.col("start") + F.expr("j div share") * F.col("cycle") + at).alias("slot"),
+    )
+
+
 def mix_sources(
-    documents: DataFrame, weights: dict[str, float] | None = None, size: Column | None = None, block: int = 65_536,
-    resolution: int = 1000, bucket_rows: int = 1024, max_sources: int = 10_000,
+    documents: DataFrame, weights: dict[str, Weight] | None = None, size: Column | None = None, block: int = 65_536,
+    parts: int = 1000, bucket_rows: int = 1024,
 ) -> DataFrame:
     """``documents`` with ``block, release, deadline, slot, place``; sorting by (slot, place) gives the mixture.
 
     A source's running size is summed in two levels, hash buckets of about ``bucket_rows`` of its rows and rows inside
-    a bucket, so no task holds a whole source. The driver sees one size per source, ``max_sources`` at most."""
-    spark = documents.sparkSession
-    rows = documents.withColumns({
-        "_source": F.coalesce(F.col("source"), F.lit(NO_SOURCE)),
-        "_size": F.coalesce((F.length("text") if size is None else size).cast("long"), F.lit(0).cast("long")),
-        "_hash": F.xxhash64("doc_id"),
-    })
-    totals = rows.groupBy("_source").agg(F.sum("_size").alias("n"), F.count("*").alias("rows")).limit(max_sources + 1).collect()
-    if len(totals) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    n_buckets = json.dumps({r["_source"]: -(-r["rows"] // bucket_rows) for r in totals})
-    n_buckets = F.element_at(F.from_json(F.lit(n_buckets), "map<string,bigint>"), F.col("_source"))
-    rows = rows.withColumn("_bucket", F.pmod("_hash", n_buckets).cast("int"))
-    sums = rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum"))
-    sizes = {r["_source"]: max(1, -(-r["n"] // block)) for r in totals}
+    a bucket, so no task holds a whole source. The driver sees one size per source."""
+    own = [c for c in documents.columns if c not in PLACED]
+    rows = documents.select(
+        F.struct(*own).alias("row"), F.coalesce(F.col("source"), F.lit(NO_SOURCE)).alias("of"),
+        F.coalesce((F.length("text") if size is None else size).cast("long"), F.lit(0).cast("long")).alias("size"),
+        F.xxhash64("doc_id").alias("hash"),
+    )
+    totals = rows.groupBy("of").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
+    sizes = {r["of"]: r["n"] for r in totals}
+    blocks = {s: max(1, -(-n // block)) for s, n in sizes.items()}
     if weights is None:
-        targets = {r["_source"]: math.sqrt(max(1, r["n"])) for r in totals}
+        targets = usual_weights(sizes, parts)
     else:
         named = {NO_SOURCE if s is None else s: w for s, w in weights.items()}
-        targets = {s: named.get(s, 0.0) for s in sizes}
-        targets = {s: w for s, w in targets.items() if w > 0}
-        rows = rows.where(F.col("_source").isin(*targets))
-    phases = plan_phases({s: sizes[s] for s in targets}, targets, resolution)
-    told = json.dumps([{"source": s, "phases": p} for s, p in phases.items()])
-    plan = spark.range(1).select(F.explode(F.from_json(F.lit(told), PHASES)).alias("p")).select("p.source", "p.phases")
-    plan = plan.withColumnRenamed("source", "_of").withColumnRenamed("phases", "_phases")
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(
-        F.col("_source").alias("_base_source"), F.col("_bucket").alias("_base_bucket"),
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"),
-    )
-    placed = rows.join(
-        bases, (rows["_source"] == bases["_base_source"]) & (rows["_bucket"] == bases["_base_bucket"])
-    ).drop("_base_source", "_base_bucket")
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id", "_size", F.xxhash64("text"))
+        targets = whole_weights({s: named[s] for s in sizes if named.get(s, 0) > 0})
+    told = json.dumps([{"of": r["of"], "buckets": -(-r["rows"] // bucket_rows), "most": blocks[r["of"]] - 1}
+                       for r in totals if r["of"] in targets])
+    sources = documents.sparkSession.range(1).select(
+        F.explode(F.from_json(F.lit(told), "array<struct<of:string,buckets:bigint,most:bigint>>")).alias("s")
+    ).select("s.*")
+    rows = rows.join(broadcast_if_small(sources, MOST_BLOCKS), "of").withColumn("bucket", F.pmod("hash", "buckets").cast("int"))
+    before = Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy("of", "bucket").agg(F.sum("size").alias("total"))
+    bases = bases.select("of", "bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("of", "bucket").orderBy("hash", "row.doc_id", "size", F.xxhash64("row.text"))
     prior = inside.rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.col("_base") + F.coalesce(F.sum("_size").over(prior), F.lit(0))
-    placed = placed.withColumn("_offset", offset).withColumn("_rank", F.row_number().over(inside).cast("long"))
-    placed = placed.join(F.broadcast(plan), F.col("_source") == F.col("_of")).drop("_of")
-    number = F.floor(F.col("_offset") / F.lit(block)).cast("long")
-    most = F.element_at(F.from_json(F.lit(json.dumps(sizes)), "map<string,bigint>"), F.col("_source"))
-    placed = placed.withColumn("_block", F.least(number, most - 1))  # an empty document at the very end
-    phase = F.element_at(F.filter("_phases", lambda p: p["first"] <= F.col("_block")), -1)
-    placed = placed.withColumn("_phase", phase).withColumn("_j", F.col("_block") - F.col("_phase.first"))
-    share, cycle, start = F.col("_phase.share"), F.col("_phase.cycle"), F.col("_phase.start")
-    turn = F.expr("_j div _phase.share") * cycle
-    at = F.element_at(F.col("_phase.places"), (F.col("_j") % share + 1).cast("int"))
-    return placed.withColumns({
-        "block": F.col("_block"),
-        "release": start + F.expr("(_j * _phase.cycle) div _phase.share"),
-        "deadline": start + F.expr("((_j + 1) * _phase.cycle + _phase.share - 1) div _phase.share"),
-        "slot": start + turn + at,
-        "place": F.struct(F.col("_bucket").alias("bucket"), F.col("_rank").alias("rank")),
-    }).select(*(c for c in documents.columns if c not in PLACED), *PLACED)
+    placed = rows.join(bases, ["of", "bucket"]).select(
+        "row", "of", "bucket", "most", F.row_number().over(inside).cast("long").alias("rank"),
+        (F.col("base") + F.coalesce(F.sum("size").over(prior), F.lit(0))).alias("offset"),
+    )
+    number = F.least(F.expr(f"offset div {block}"), F.col("most"))  # an empty document at the very end
+    table = block_table(documents, plan_phases(blocks, targets))
+    out = placed.withColumn("block", number).join(broadcast_if_small(table, MOST_BLOCKS), ["of", "block"])
+    return out.select("row.*", "block", "release", "deadline", "slot", F.struct("bucket", "rank").alias("place"))

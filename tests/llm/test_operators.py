@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -95,15 +96,46 @@ def test_decontamination_removes_documents_or_spans(spark):
 
 # ---- 2 mixing
 
-def test_pfair_windows_and_deviation():
-    parts = mixing.shares({"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}, 100)
-    places = mixing.pfair_cycle(parts)
-    assert sorted(sum(places.values(), [])) == list(range(100))
-    for s, at in places.items():
-        for j, slot in enumerate(at):
-            assert j * 100 // parts[s] <= slot < -(-(j + 1) * 100 // parts[s])
-    for t in range(101):
-        assert all(abs(sum(p < t for p in places[s]) - t * parts[s] / 100) < 1 for s in parts)
+@pytest.mark.parametrize("weights", [
+    {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}, {"a": 1, "b": 2}, {"a": 1 / 3, "b": 2 / 3}, {"a": 1e-5, "b": 1 - 1e-5},
+    {"a": 2**0.5, "b": 3**0.5, "c": 0.01, "d": Fraction(1, 7)}, {"a": 899, **{f"s{i}": 1 for i in range(899)}},
+])
+def test_pfair_windows_and_deviation(weights):
+    """Against the targets as given, not against rounded ones."""
+    whole = mixing.whole_weights(weights)
+    total, n = sum(whole.values()), 300_000 if len(weights) < 10 else 5_000
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    assert all(abs(Fraction(whole[s], total) - exact[s] / sum(exact.values())) < Fraction(1, 10**14) for s in weights)
+    slots = mixing.pfair_slots(whole, n)
+    assert sorted(sum(slots.values(), [])) == list(range(n))
+    for s, at in slots.items():
+        w = exact[s] / sum(exact.values())
+        for j, slot in enumerate(at):  # deviation is largest right before and right after a block
+            assert j * total // whole[s] <= slot < -(-(j + 1) * total // whole[s])
+            assert j - slot * w > -1 and j + 1 - (slot + 1) * w < 1
+        assert len(at) - n * w > -1
+
+
+def test_phases_by_arithmetic_equal_the_schedule_slot_by_slot():
+    rng = random.Random(21)
+    for _ in range(30):
+        weights = {s: rng.choice([1, 2, 3, 7, 50, 997]) for s in "abcd"[: rng.randrange(1, 5)]}
+        blocks = {s: rng.randrange(1, 90) for s in weights}
+        got, start = {}, 0
+        for p in mixing.plan_phases(blocks, weights):
+            for b in range(p["first"], p["last"] + 1):
+                j = b - p["first"]
+                got[(p["source"], b)] = p["start"] + j // p["share"] * p["cycle"] + p["places"][j % p["share"]]
+        want, left = {}, dict(blocks)
+        while active := {s: weights[s] for s in weights if left[s]}:  # plain: one phase after the other, slot by slot
+            slots = mixing.pfair_slots(active, sum(left.values()))
+            end = min(slots[s][left[s] - 1] for s in active if left[s] <= len(slots[s])) + 1
+            for s in active:
+                for x in [x for x in slots[s] if x < end]:
+                    want[(s, blocks[s] - left[s])] = start + x
+                    left[s] -= 1
+            start += end
+        assert got == want and sorted(got.values()) == list(range(sum(blocks.values())))
 
 
 @pytest.mark.parametrize("weights", [None, {"a": 3, "b": 1, "c": 1}])
@@ -111,7 +143,7 @@ def test_mixing_places_every_document_in_its_window(spark, weights):
     rng = random.Random(3)
     rows = [(i, "x" * rng.randrange(0, 60), "en", rng.choice("aaaaabbc"), 0) for i in range(600)]
     docs = spark.createDataFrame(rows, DOCS)
-    out = mixing.mix_sources(docs, weights, block=100, resolution=40, bucket_rows=32).collect()
+    out = mixing.mix_sources(docs, weights, block=100, parts=40, bucket_rows=32).collect()
     assert sorted(r["doc_id"] for r in out) == list(range(600))
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in out)
     blocks = {(r["source"], r["block"]): r["slot"] for r in out}
@@ -127,6 +159,20 @@ def test_mixing_places_every_document_in_its_window(spark, weights):
                 assert abs(sum(1 for (x, _), slot in blocks.items() if x == s and slot < t) - w * t) < 1 + 1e-9
 
 
+def test_mixing_keeps_columns_with_clashing_names(spark):
+    names = ["_source", "_hash", "_bucket", "of", "row", "hash", "size", "rank", "base", "offset", "most", "bucket"]
+    docs = docs_of(spark, ["x" * 50] * 20).withColumns({c: F.lit("mine") for c in names})
+    out = mixing.mix_sources(docs, block=100)
+    assert out.columns == [*docs.columns, *mixing.PLACED]
+    assert all(r[c] == "mine" for r in out.collect() for c in names)
+
+
+def test_mixing_many_sources(spark):
+    rows = [(i, "x" * 40, "en", f"s{i % 400}", 0) for i in range(1200)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, DOCS), {f"s{i}": 1 + i for i in range(400)}, block=40).collect()
+    assert sorted(r["slot"] for r in out) == list(range(1200)) and all(r["release"] <= r["slot"] < r["deadline"] for r in out)
+
+
 # ---- 3 quality
 
 def base_by_hand(text):
