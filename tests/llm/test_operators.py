@@ -361,6 +361,81 @@ def test_interleaved_partial_holders_hide_no_passage(spark, monkeypatch, local_s
     assert len(want) == 15 and covered == want
 
 
+def test_passages_do_not_depend_on_the_layout(spark, monkeypatch):
+    """One answer for any partitioning, whether seeds are shuffled by salt or not; pairs of full holders between holders
+    of halves; copies are told once."""
+    rng = random.Random(22)
+    own = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    texts = {}
+    for g in range(10):
+        first, second = own(30), own(30)
+        for d, middle in {1: first, 7: first, 2: second, 8: second, 5: first + second, 9: first + second}.items():
+            texts[100 * g + d] = " ".join(own(12) + middle + own(12))
+    common = own(60)
+    texts |= {2000 + i: " ".join(own(9) + common + own(9)) for i in range(120)}
+    texts |= {3000: texts[5], 3001: texts[5], 3002: texts[1][:60]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = [sorted(map(tuple, substring.repeated_passages(docs.repartition(n)).collect())) for n in (1, 40)]
+    monkeypatch.setattr(substring, "CROWDED", 16)
+    rows.append(sorted(map(tuple, substring.repeated_passages(docs.repartition(3)).collect())))
+    monkeypatch.setattr(substring, "LOCAL_SEEN", 1)
+    rows.append(sorted(map(tuple, substring.repeated_passages(docs.repartition(3)).collect())))
+    assert rows[0] == rows[1] == rows[2] == rows[3]
+    pairs = {(r[0], r[3]) for r in rows[0]}
+    assert pairs >= {(100 * g + 9, 100 * g + 5) for g in range(10)} | {(3000, 5), (3001, 5)}
+    assert {d for p in pairs for d in p if 2000 <= d < 2120} == set(range(2000, 2120)) and len(pairs) < 600
+
+
+def test_fuzzy_passages_against_brute_force(spark):
+    """Passages of 100 words with every tenth word changed, dropped or doubled at random, quoted in part elsewhere too."""
+    rng = random.Random(23)
+    own = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    texts, want = {}, set()
+    for g in range(40):
+        base = own(100)
+        for i in range(4):
+            words = []
+            for w in base:
+                hit = rng.random()
+                words += own(1) if hit < 0.06 else [] if hit < 0.08 else [w, w] if hit < 0.10 else [w]
+            texts[10 * g + i] = own(20) + words + own(20)
+        texts[10 * g + 4] = own(20) + base[:40] + own(20)
+        for i in range(4):
+            for j in range(i):
+                a, b = texts[10 * g + i][20:-20], texts[10 * g + j][20:-20]
+                if substring.edit_distance(a, b, 200) * 5 <= max(len(a), len(b)):
+                    want.add((10 * g + i, 10 * g + j))
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    got = substring.repeated_passages(docs).collect()
+    for r in got:  # every row is what it says
+        a, b = texts[r["doc_id"]][r["start"] : r["end"]], texts[r["other_id"]][r["other_start"] : r["other_end"]]
+        assert min(len(a), len(b)) >= 50 and substring.edit_distance(a, b, 200) <= r["edits"] <= max(len(a), len(b)) // 5
+    found = {x for r in got for x in (r["doc_id"], r["other_id"])}
+    assert len(found & {d for p in want for d in p}) >= 0.9 * len({d for p in want for d in p})
+
+
+def test_banded_edit_distance():
+    rng = random.Random(24)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i, *_next(row, x, b, i)]
+        return row[-1]
+
+    def _next(row, x, b, i):
+        out, left = [], i
+        for j, y in enumerate(b, 1):
+            left = min(row[j - 1] + (x != y), row[j] + 1, left + 1)
+            out.append(left)
+        return out
+
+    for _ in range(500):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(12))] for _ in range(2))
+        for limit in (0, 1, 2, 4, 20):
+            assert substring.edit_distance(a, b, limit) == min(plain(a, b), limit + 1)
+
+
 def test_chaining_against_brute_force():
     rng = random.Random(12)
     for _ in range(200):
