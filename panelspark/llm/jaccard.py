@@ -10,7 +10,8 @@ Copies of one set are one point. Then:
    of the point's ``n - o + 1`` first shingles, so each point is replicated to those boundary regions and no others.
    Widely held shingles come last in the order, so that boundaries avoid crowded regions.
 3. **Recursion.** Crowded regions are divided again: partners share several boundary shingles, so each point leaves its
-   most crowded ones and still meets every partner in a rarer one. Regions of one component are done; in the others
+   most crowded ones and still meets every partner in a rarer one. What stays larger than ``BLOCK`` points is cut into
+   blocks that meet in pairs, each in its own task. Regions of one component are done; in the others
    all pairs of different components that pass exact bounds are verified on the whole sets.
 
 Document pivots alone do not divide such data: almost every pair of unrelated texts is at distance 1, so all points
@@ -41,6 +42,7 @@ MOST_HOT = 1 << 21
 MOST_IDS = 1_000_000  # so many ids are broadcast at most, 8 MB; beyond, Spark shuffles the texts instead
 SKETCH = 16
 SLICES = 64
+BLOCK = 8192  # points of one region that meet in one task; larger regions are cut into blocks, of which each pair is a task's
 
 
 def document_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -204,10 +206,11 @@ def pivot_pairs(points: DataFrame, tokens: int, pivots: int) -> DataFrame:
 
 
 def _meet(percent: int):
-    """Over rows (token, doc_id, part, n, rest, full, plain, slices) sorted by token: pairs of one token from different components that
-    can reach the threshold by their sizes and by what of each the other can hold at all."""
+    """Over rows (token, doc_id, part, n, rest, full, plain, slices, side) sorted by token: pairs of one token from different
+    components, and from different sides unless that is -1, that can reach the threshold by their sizes and by what of
+    each the other can hold at all."""
 
-    def pairs_of(ids, parts, ns, rest, full, plain, slices) -> tuple[np.ndarray, np.ndarray]:
+    def pairs_of(ids, parts, ns, rest, full, plain, slices, side) -> tuple[np.ndarray, np.ndarray]:
         own, table = rest - (ns - plain), None  # own: shingles that are not widely held and may be shared
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(0, len(ids), 512):
@@ -216,6 +219,7 @@ def _meet(percent: int):
                 both = full[a][:, None] & full[b][None, :]
                 most = np.where(both, np.minimum(rest[a][:, None], rest[b][None, :]), np.minimum(ns[a][:, None], ns[b][None, :]))
                 ok = (parts[a][:, None] != parts[b][None, :]) & (ids[a][:, None] != ids[b][None, :])
+                ok &= (side[a][:, None] != side[b][None, :]) | (side[a][:, None] < 0)
                 ok &= (100 + percent) * most >= percent * (ns[a][:, None] + ns[b][None, :])
                 if i == j:
                     ok &= np.tri(len(ids[a]), k=-1, dtype=bool)
@@ -234,9 +238,9 @@ def _meet(percent: int):
         return np.concatenate(out_a), np.concatenate(out_b)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64)] * 5 + [np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, object)]
+        kept = [np.zeros(0, np.int64)] * 5 + [np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0, np.int64)]
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
             cols = [np.concatenate(x) for x in zip(kept, new, strict=True)]
             if not len(cols[0]):
                 continue
@@ -291,7 +295,15 @@ def boundary_pairs(points: DataFrame, parts: DataFrame, percent: int) -> DataFra
     ranked = ranked.join(able, ranked["doc_id"] == able["id"])
     least = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
     ranked = ranked.where(F.col("r") > fewest(least, percent) - 1)
-    ranked = ranked.select("token", "doc_id", "part", "n", "rest", "full", "plain", "slices").repartition("token").sortWithinPartitions("token", "doc_id")
+    blocks = F.ceil(F.col("crowd") / F.lit(BLOCK))
+    mine = F.pmod(F.xxhash64("doc_id"), blocks)
+    meets = F.when(blocks > 1, F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda c: F.struct(
+        F.xxhash64("token", F.least(mine, c), F.greatest(mine, c)).alias("token"), F.when(mine == c, -1).otherwise(mine).alias("side"),
+    ))).otherwise(F.array(F.struct(F.col("token").alias("token"), F.lit(-1).cast("long").alias("side"))))
+    ranked = ranked.withColumn("meet", F.explode(meets)).select(
+        F.col("meet.token").alias("token"), "doc_id", "part", "n", "rest", "full", "plain", "slices", F.col("meet.side").alias("side")
+    )
+    ranked = ranked.repartition("token").sortWithinPartitions("token", "doc_id")
     pairs = ranked.mapInArrow(_meet(percent), "a long, b long").distinct()
     x = points.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bound").alias("x"))
     y = points.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bound").alias("y"))

@@ -560,6 +560,45 @@ def test_jaccard_far_pairs_of_widely_held_sets(spark):
     assert {(r["b"], r["a"]) for r in pairs.collect()} == {(i, i + 1) for i in range(0, 26, 2)}
 
 
+@pytest.mark.parametrize("block", [8192, 24])
+def test_jaccard_boundaries_find_every_link_of_random_sets(spark, monkeypatch, block):
+    """No pivots: widely held passages, unequal sizes, supersets and decoys, against all pairs."""
+    for name, value in {"HOT_DOCS": 4, "LOCAL_SEEN": 1, "BLOCK": block}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(19)
+    own = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    pool = [own(rng.choice([12, 30, 60, 90])) for _ in range(25)]
+    texts = [own(rng.randrange(1, 60)) + p + own(rng.randrange(0, 60)) for p in pool for _ in range(6)]  # who hold them widely
+    for _ in range(130):
+        base = [w for p in rng.sample(pool, rng.choice([0, 1, 1, 2])) for w in p] + own(rng.choice([5, 10, 30, 80]))
+        texts.append(base)
+        for _ in range(rng.randrange(1, 4)):
+            copy, n = list(base), max(1, len(base) // rng.choice([4, 6, 9, 14]))
+            kind = rng.randrange(4)
+            if kind == 0:
+                copy += own(n)
+            elif kind == 1:
+                copy = own(n) + copy
+            elif kind == 2:
+                copy += rng.choice(pool)[:n]
+            else:
+                copy[rng.randrange(len(copy))] = "changed"
+            texts.append(copy)
+    texts += [[w] * 5 for p in pool for w in p[:4]]
+    texts = sorted({" ".join(t) for t in texts}, key=lambda t: hashlib.md5(t.encode()).digest())
+    docs = docs_of(spark, texts)
+    seen = jaccard.survey(docs, 5)
+    hot = jaccard.widely_held(seen.where("kind = 1"), 0)
+    assert len(hot) > 500
+    bounds = jaccard.boundaries(docs, hot, 5, 80)
+    none = spark.createDataFrame([], "id long, component long")
+    pairs = jaccard.verified(jaccard.boundary_pairs(bounds, none, 80), docs, 5, 80)
+    sets = list(jaccard.document_sets(pa.array(texts), 5))
+    sets = [set(x.tolist()) for x in sets]
+    want = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if 100 * len(x & y) >= 80 * len(x | y)}
+    assert len(want) > 100 and {(r["a"], r["b"]) for r in pairs.collect()} == want
+
+
 # ---- 10 licences
 
 def test_license_scan_inherits_from_the_nearest_directory(spark):
