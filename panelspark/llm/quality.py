@@ -1,12 +1,20 @@
 """Quality rules: fixed base rules, then robust multivariate outliers per language and source.
 
-Each document gets a vector of six transformed statistics. Per group of one language and source, the minimum covariance
-determinant estimate is found by concentration steps over *all* documents of the group: distances from the current
-estimate, the ``share`` nearest documents (to a bin of a fine histogram, so every run finds the same ones), their mean
-and covariance, and so on. A document goes if its squared Mahalanobis distance, scaled so that the group's median is
-the chi-square median, is beyond the value that a chi-square variable exceeds
-with probability ``tail``. The statistics have heavier tails than normal ones, hence a far tail: on labelled rows the
-distances of junk start at many times those of the worst good document.
+Each document gets a vector of six transformed statistics. Per group of one language and source the minimum covariance
+determinant estimate is sought, regularised so that no group is singular: of all halves (``share``) of the group's
+documents the one whose covariance, plus the squares of ``FLOORS`` on its diagonal, has the least determinant.
+
+1. **Starts.** Of a bounded sample of a group, ``SAMPLE`` documents by hash, ``TRIALS`` random subsets of one document
+   more than there are statistics, and the half nearest to the coordinates' medians, are each concentrated twice inside
+   the sample; the ``KEEP`` estimates of least determinant go on.
+2. **Concentration** over *all* documents of the group, for each of these: distances from the current estimate, the half
+   nearest by them (to a bin of a fine histogram, so every run finds the same ones), its mean and covariance, and so
+   on for ``steps`` steps; each lowers the determinant. The least one is the estimate.
+3. **Consistency.** Squared Mahalanobis distances are scaled so that the group's median is the chi-square median.
+
+A document goes if its scaled squared distance is beyond the value that a chi-square variable exceeds with probability
+``tail``. The statistics have heavier tails than normal ones, hence a far tail: on labelled rows the distances of junk
+start at many times those of the worst good document.
 
 Sources with fewer than ``min_group`` documents are pooled per language, languages that stay smaller are pooled
 together, and a pool with fewer than four documents per statistic has no outliers.
@@ -33,6 +41,7 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 VECTOR = ["v_word_length", "v_symbols", "v_upper", "v_digits", "v_marks", "v_stutter"]
 FLOORS = np.array([0.10, 0.10, 0.15, 0.20, 0.15, 0.10])  # least standard deviation of each statistic
 P = len(VECTOR)
+SAMPLE, SLICES, TRIALS, KEEP = 512, 16, 200, 3
 # Shares are taken as if each text also had this much usual text: short texts vary more, and are no outliers for that.
 PRIOR_CHARS, PRIOR_WORDS = 600, 120
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -177,54 +186,108 @@ def _distance() -> Column:
     return F.greatest(sum(terms[1:], terms[0]), F.lit(0.0))
 
 
+def _solved(mu: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, precision and log determinant of the regularised covariance, from the first and second moments."""
+    cov = second - np.outer(mu, mu) + np.diag(FLOORS**2)
+    return mu, np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
+
+
+def concentrated(x: np.ndarray, mu: np.ndarray, prec: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """One concentration step over rows in memory."""
+    diff = x - mu
+    near = x[np.argsort(np.einsum("ij,jk,ik->i", diff, prec, diff), kind="stable")[: max(1, math.ceil(share * len(x)))]]
+    return _solved(near.mean(axis=0), near.T @ near / len(near))
+
+
+def first_estimates(x: np.ndarray, share: float) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """The estimates of least determinant after two steps from many small subsets and from the medians."""
+    rng = np.random.default_rng(0)
+    starts = [(np.median(x, axis=0), np.diag(1 / FLOORS**2))]
+    for _ in range(TRIALS):
+        few = x[rng.choice(len(x), min(P + 1, len(x)), replace=False)]
+        starts.append(_solved(few.mean(axis=0), few.T @ few / len(few))[:2])
+    found = {}
+    for mu, prec in starts:
+        for _ in range(2):
+            mu, prec, logdet = concentrated(x, mu, prec, share)
+        found.setdefault(round(logdet, 9), (mu, prec, logdet))
+    return [found[x] for x in sorted(found)[:KEEP]]
+
+
+ESTIMATE = "_group string, _start int, _n long, _mu array<double>, _prec array<double>, _logdet double"
+
+
+def _starts(good: DataFrame, share: float) -> DataFrame:
+    rank = Window.partitionBy("_group", "_slice").orderBy("_h", *VECTOR)
+    keyed = good.withColumn("_h", F.xxhash64("doc_id", *VECTOR)).withColumn("_slice", F.pmod("_h", F.lit(SLICES)))
+    sample = keyed.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= SAMPLE // SLICES)
+
+    def start(rows: pd.DataFrame) -> pd.DataFrame:
+        found = first_estimates(rows.sort_values(["_h", *VECTOR])[VECTOR].to_numpy(dtype=float), share)
+        return pd.DataFrame({
+            "_group": rows["_group"].iloc[0], "_start": range(len(found)), "_n": 0, "_mu": [f[0].tolist() for f in found],
+            "_prec": [f[1].ravel().tolist() for f in found], "_logdet": [f[2] for f in found],
+        })
+
+    return sample.select("_group", "_h", *VECTOR).groupBy("_group").applyInPandas(start, ESTIMATE)
+
+
 def _estimate(rows: DataFrame) -> DataFrame:
-    """Mean, precision and count of each group's rows."""
+    """Mean, precision, log determinant and count of the rows of each group and start."""
     sums = [F.sum(c).alias(f"s_{i}") for i, c in enumerate(VECTOR)]
     sums += [F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"q_{i}_{j}") for i in range(P) for j in range(i, P)]
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            mus, precs = [], []
+            mus, precs, dets = [], [], []
             for r in rows.to_dict("records"):
-                mu = np.array([r[f"s_{i}"] for i in range(P)]) / r["n"]
-                cov = np.array([[r[f"q_{min(i, j)}_{max(i, j)}"] for j in range(P)] for i in range(P)]) / r["n"]
-                cov = cov - np.outer(mu, mu) + np.diag(FLOORS**2)
+                second = np.array([[r[f"q_{min(i, j)}_{max(i, j)}"] for j in range(P)] for i in range(P)]) / r["n"]
+                mu, prec, logdet = _solved(np.array([r[f"s_{i}"] for i in range(P)]) / r["n"], second)
                 mus.append(np.round(mu, 9).tolist())
-                precs.append(np.round(np.linalg.inv(cov), 6).ravel().tolist())
-            yield pd.DataFrame({"_group": rows["_group"], "_n": rows["n"], "_mu": mus, "_prec": precs})
+                precs.append(np.round(prec, 6).ravel().tolist())
+                dets.append(round(logdet, 9))
+            yield pd.DataFrame({
+                "_group": rows["_group"], "_start": rows["_start"], "_n": rows["n"], "_mu": mus, "_prec": precs, "_logdet": dets,
+            })
 
-    return rows.groupBy("_group").agg(F.count("*").alias("n"), *sums).mapInPandas(
-        solve, "_group string, _n long, _mu array<double>, _prec array<double>"
-    )
+    return rows.groupBy("_group", "_start").agg(F.count("*").alias("n"), *sums).mapInPandas(solve, ESTIMATE)
 
 
 def _cuts(binned: DataFrame, share: float, name: str) -> DataFrame:
-    """Per group, the first bin with ``share`` of its rows up to it."""
-    counts = binned.groupBy("_group", "_bin").agg(F.count("*").alias("_c"))
-    order = Window.partitionBy("_group").orderBy("_bin")
-    upto = F.sum("_c").over(order) / F.sum("_c").over(Window.partitionBy("_group"))
+    """Per group and start, the first bin with ``share`` of its rows up to it."""
+    counts = binned.groupBy("_group", "_start", "_bin").agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy("_group", "_start")
+    upto = F.sum("_c").over(whole.orderBy("_bin")) / F.sum("_c").over(whole)
     reached = counts.withColumn("_upto", upto).where(F.col("_upto") >= share)
-    return reached.groupBy("_group").agg(F.min("_bin").alias(name))
+    return reached.groupBy("_group", "_start").agg(F.min("_bin").alias(name))
 
 
-def outlier_distances(vectors: DataFrame, share: float, steps: int) -> DataFrame:
-    """``vectors`` with ``_distance``: the scaled squared distance from its group's estimate, null without one."""
-    good = vectors.where(~base_failed())
-    estimate = materialise(_estimate(good).where(F.col("_n") >= 4 * P), "mcd0")
+def estimates(good: DataFrame, share: float, steps: int) -> DataFrame:
+    """Per group of at least four documents per statistic: ``_group, _mu, _prec, _logdet`` of least determinant."""
+    large = good.groupBy("_group").agg(F.count("*").alias("_all")).where(F.col("_all") >= 4 * P).select("_group")
+    good = good.join(broadcast_if_small(materialise(large, "groups"), 100_000), "_group", "left_semi")
+    estimate = materialise(_starts(good, share), "mcd0")
     for step in range(1, steps + 1):
         near = good.join(broadcast_if_small(estimate, 100_000), "_group").withColumn("_bin", _bin(_distance()))
         cuts = broadcast_if_small(materialise(_cuts(near, share, "_cut"), f"cuts{step}"), 100_000)
-        estimate = materialise(_estimate(near.join(cuts, "_group").where("_bin <= _cut")), f"mcd{step}")
-    estimate = broadcast_if_small(estimate, 100_000)
+        estimate = materialise(_estimate(near.join(cuts, ["_group", "_start"]).where("_bin <= _cut")), f"mcd{step}")
+    best = F.min(F.struct("_logdet", "_start", "_mu", "_prec")).alias("b")
+    return estimate.groupBy("_group").agg(best).select("_group", "b.*")
+
+
+def outlier_distances(vectors: DataFrame, share: float, steps: int) -> DataFrame:
+    """``vectors`` with ``_distance``: the scaled squared distance from its group's estimate, null without one."""
+    good = vectors.where(~base_failed())
+    estimate = broadcast_if_small(materialise(estimates(good, share, steps), "mcd"), 100_000)
     near = good.join(estimate, "_group").withColumn("_bin", _bin(_distance()))
-    median = broadcast_if_small(materialise(_cuts(near, 0.5, "_mid"), "mid"), 100_000)
+    median = broadcast_if_small(materialise(_cuts(near, 0.5, "_mid"), "mid").drop("_start"), 100_000)
     scale = F.lit(chi2_beyond(0.5, P)) / (F.pow(F.lit(2.0), (F.col("_mid") + 1) / F.lit(64.0)) - 1)
     out = vectors.join(estimate, "_group", "left").join(median, "_group", "left")
-    return out.withColumn("_distance", F.round(_distance() * scale, 6)).drop("_mu", "_prec", "_n", "_mid")
+    return out.withColumn("_distance", F.round(_distance() * scale, 6)).drop("_mu", "_prec", "_start", "_logdet", "_mid")
 
 
 def judge(
-    documents: DataFrame, share: float = 0.5, tail: float = 1e-30, steps: int = 3, min_group: int = 100
+    documents: DataFrame, share: float = 0.5, tail: float = 1e-30, steps: int = 4, min_group: int = 100
 ) -> DataFrame:
     """``documents`` without its text, with the counts, ``base_failed``, ``distance`` and ``kept``."""
     grouped_docs = grouped(documents, min_group)

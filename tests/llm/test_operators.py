@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and on awkward input."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -205,6 +206,38 @@ def test_quality_rejects_planted_outliers_only(spark):
     assert {(r["doc_id"], r["kept"]) for r in out} == {(r["doc_id"], r["kept"]) for r in again}
 
 
+def test_quality_survives_junk_near_half(spark):
+    """Junk of 44 percent in one group does not become what is usual."""
+    rng = random.Random(25)
+    good = [prose(rng, rng.randrange(25, 400)) + ". " for _ in range(300)]
+    junk = [" ".join(w.upper() + "### $$" for w in prose(rng, rng.randrange(60, 90)).split()) for _ in range(240)]
+    out = quality.judge(docs_of(spark, good + junk), min_group=50).collect()
+    assert {r["doc_id"] for r in out if not r["kept"]} == set(range(300, 540))
+
+
+def test_least_determinant_against_brute_force(spark):
+    """As small a determinant as the best of many random subsets, each concentrated to its end over all rows."""
+    rng = np.random.default_rng(26)
+    rows, points = [], {}
+    for g, bad in enumerate((0.0, 0.2, 0.4)):
+        n = 90
+        x = rng.normal(size=(n, quality.P)) @ np.tril(rng.normal(size=(quality.P, quality.P)))
+        x[: int(bad * n)] += rng.normal(size=quality.P) * 6
+        points[f"g{g}"] = x
+        rows += [(g * n + i, f"g{g}", *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "doc_id long, _group string, " + ", ".join(f"{c} double" for c in quality.VECTOR))
+    got = {r["_group"]: r for r in quality.estimates(df, 0.5, 6).collect()}
+    for g, x in points.items():
+        best = math.inf
+        for _ in range(300):
+            few = x[rng.choice(len(x), quality.P + 1, replace=False)]
+            mu, prec, now = quality._solved(few.mean(axis=0), few.T @ few / len(few))
+            for _ in range(20):
+                mu, prec, now = quality.concentrated(x, mu, prec, 0.5)
+            best = min(best, now)
+        assert abs(got[g]["_logdet"] - best) < 0.15  # halves are taken to a bin, a row or two more
+
+
 def test_quality_tail():
     assert abs(quality.chi2_beyond(0.05, 6) - 12.591587) < 1e-5
     assert abs(quality.chi2_beyond(0.5, 6) - 5.348121) < 1e-5
