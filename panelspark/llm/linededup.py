@@ -1,15 +1,20 @@
 """Reversible incremental line dedup: sharded cuckoo filters in front of exact reference-count tables.
 
 A line's key is the line without ASCII white space at its ends, A-Z lower-cased; keys of fewer than ``min_chars`` code
-points are ignored. The state is two tables:
+points are ignored. The state (``LineState``) is two tables:
 
-* ``counts(k1, k2, n_docs, keeper, shard)``: for each 128-bit key the number of documents that hold it and the
-  largest of their ids. Exact; a deletion lowers the counts, so it undoes an insertion.
+* ``counts(k1, k2, n_docs, keeper)``: for each 128-bit key the number of documents that hold it and the largest of
+  their ids. Exact; a deletion lowers the counts, so it undoes an insertion.
 * ``filters(shard, bits)``: a cuckoo filter per shard over the keys that are to be dropped (held by ``min_docs``
   documents or more). A filter answers most lookups without touching the counts; every hit is verified against them.
 
-Keys held by a thousandth of all documents or more are at most ``1000 * keys per document`` many, whatever the
-corpus; they are joined apart, so no shard's group grows with one hot line.
+``inserted`` and ``deleted`` give the state after a batch of documents: the counts of the batch's keys change, and the
+keys that cross ``min_docs`` upwards are inserted into their shards' filters, those that cross it downwards deleted.
+Other shards' filters stay as they are. A full filter gets another table beside it; lookups ask all of its tables. A
+whole corpus is one insertion into the empty state.
+
+Keys held by a millionth of all (document, key) pairs or more are at most a million, whatever the corpus; they are joined
+apart, so no shard's group grows with one hot line.
 
 Defined cases: a null or empty text is one empty line; a null doc_id counts as one document, smaller than all others;
 rows that repeat a doc_id belong to one document, which holds a key once; empty tables give no rows.
@@ -17,20 +22,23 @@ rows that repeat a doc_id belong to one document, which holds a key once; empty
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.llm.decontaminate import broadcast_if_small
 from panelspark.llm.store import materialise
 
 BLANKS = b" \t\n\x0b\x0c\r"
 NULL_ID = -(1 << 63)
 SLOTS = 4
 KICKS = 500
-KEYS_A_SHARD = 1 << 17
+KEYS_A_SHARD = 1 << 15
+LEAST_SHARDS = 64
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -74,13 +82,32 @@ class Cuckoo:
 
     @classmethod
     def build(cls, k1: np.ndarray, k2: np.ndarray) -> "Cuckoo":
-        buckets = 1 << max(1, int(np.ceil(np.log2(max(1, len(k1)) / (SLOTS * 0.8)))))
+        buckets = 1 << max(4, int(np.ceil(np.log2(max(1, len(k1)) / (SLOTS * 0.8)))))
         while True:
             filled = cls(np.zeros((buckets, SLOTS), dtype=np.uint16))
-            if all(map(filled.insert, k1.tolist(), k2.tolist())):
+            left = filled.insert_free(k1, k2)
+            if all(map(filled.insert, k1[left].tolist(), k2[left].tolist())):
                 return filled
             buckets *= 2
 
+    def insert_free(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+        """Puts keys into free slots of their two buckets, all at once; which keys found none."""
+        left = np.arange(len(k1))
+        for second in (False, True):
+            mark, bucket = self.mark(k2[left]), self.home(k1[left])
+            bucket = self.other(bucket, mark) if second else bucket
+            self.table = -np.sort(-self.table.astype(np.int32), axis=1)  # free slots last
+            order = np.argsort(bucket, kind="stable")
+            sorted_to = bucket[order]
+            fresh = np.concatenate([[True], sorted_to[1:] != sorted_to[:-1]]) if len(order) else np.zeros(0, bool)
+            rank = np.arange(len(order)) - np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+            slot = (self.table[sorted_to] > 0).sum(axis=1) + rank
+            fits = slot < SLOTS
+            self.table[sorted_to[fits], slot[fits]] = mark[order][fits]
+            self.table = self.table.astype(np.uint16)
+            left = left[np.sort(order[~fits])]
+        return left
+
     def mark(self, k2):
         return (k2 & 0x7FFF) + 1
 
@@ -140,81 +167,114 @@ def reference_counts(keys: DataFrame) -> DataFrame:
     )
 
 
-def insert(counts: DataFrame | None, keys: DataFrame) -> DataFrame:
-    """Counts after a batch of new documents; ``keys`` are distinct and their documents are not in ``counts`` yet."""
-    new = reference_counts(keys)
-    if counts is None:
-        return new
-    return counts.select("k1", "k2", "n_docs", "keeper").unionByName(new).groupBy("k1", "k2").agg(
-        F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper")
+@dataclass
+class LineState:
+    """``counts`` and ``filters`` of a corpus; ``n_shards`` stays while it grows."""
+
+    counts: DataFrame
+    filters: DataFrame
+    n_shards: int
+    min_docs: int
+
+
+def empty_state(spark: SparkSession, expected_pairs: int, min_docs: int = 3) -> LineState:
+    """A state for about ``expected_pairs`` pairs of a document and a key; more only make its shards larger."""
+    return LineState(
+        spark.createDataFrame([], "k1 long, k2 long, n_docs long, keeper long"),
+        spark.createDataFrame([], "shard int, bits array<binary>"), max(LEAST_SHARDS, -(-expected_pairs // KEYS_A_SHARD)), min_docs,
     )
 
 
-def delete(counts: DataFrame, deleted: DataFrame, remaining: DataFrame) -> DataFrame:
-    """Counts after documents go: ``deleted`` and ``remaining`` are the ``(doc_id, k1, k2)`` of both sides.
+def _changed(state: LineState, counts: DataFrame, crossed: DataFrame) -> LineState:
+    """``crossed``: ``k1, k2, added`` for the keys whose count crosses ``min_docs``."""
+    n_shards = state.n_shards
+
+    def change(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return held[["shard", "bits"]]
+        tables = [Cuckoo.from_bytes(x) for x in held["bits"].iloc[0]] if len(held) else []
+        gone, more = rows[~rows["added"]], rows[rows["added"]]
+        for k1, k2 in zip(gone["k1"].tolist(), gone["k2"].tolist(), strict=True):
+            any(x.delete(k1, k2) for x in tables)
+        k1, k2 = more["k1"].to_numpy(), more["k2"].to_numpy()
+        for table in tables:
+            left = table.insert_free(k1, k2)
+            k1, k2 = k1[left], k2[left]
+        if len(k1):
+            tables.append(Cuckoo.build(k1, k2))
+        return pd.DataFrame({"shard": rows["shard"].iloc[:1].to_numpy(), "bits": [[x.to_bytes() for x in tables]]})
+
+    keyed = crossed.select("k1", "k2", "added", shard_of(n_shards).alias("shard"))
+    filters = keyed.groupBy("shard").cogroup(state.filters.groupBy("shard")).applyInPandas(change, "shard int, bits array<binary>")
+    return LineState(counts, materialise(filters, "filters"), n_shards, state.min_docs)
+
+
+def inserted(state: LineState, keys: DataFrame) -> LineState:
+    """After a batch of new documents; ``keys`` are its distinct ``(doc_id, k1, k2)``, of documents not in ``state`` yet."""
+    new = reference_counts(keys).select("k1", "k2", F.lit(0).cast("long").alias("before"), "n_docs", "keeper")
+    old = state.counts.select("k1", "k2", F.col("n_docs").alias("before"), "n_docs", "keeper")
+    both = old.unionByName(new).groupBy("k1", "k2").agg(
+        F.sum("before").alias("before"), F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper")
+    )
+    both = materialise(both, "linecounts")
+    crossed = both.where((F.col("before") < state.min_docs) & (F.col("n_docs") >= state.min_docs))
+    return _changed(state, both.drop("before"), crossed.select("k1", "k2", F.lit(True).alias("added")))
+
+
+def deleted(state: LineState, gone: DataFrame, remaining: DataFrame) -> LineState:
+    """After documents go: ``gone`` and ``remaining`` are the ``(doc_id, k1, k2)`` of both sides.
 
     A key whose keeper goes gets the largest remaining holder; a key without holders leaves the table."""
-    gone = deleted.groupBy("k1", "k2").agg(F.count("*").alias("gone"), F.max("doc_id").alias("largest"))
-    left = counts.select("k1", "k2", "n_docs", "keeper").join(gone, ["k1", "k2"], "left").select(
-        "k1", "k2", (F.col("n_docs") - F.coalesce("gone", F.lit(0))).alias("n_docs"), "keeper",
+    lost = gone.groupBy("k1", "k2").agg(F.count("*").alias("gone"), F.max("doc_id").alias("largest"))
+    left = state.counts.join(lost, ["k1", "k2"], "left").select(
+        "k1", "k2", F.col("n_docs").alias("before"), (F.col("n_docs") - F.coalesce("gone", F.lit(0))).alias("n_docs"), "keeper",
         F.coalesce(F.col("largest") == F.col("keeper"), F.lit(False)).alias("orphan"),
-    ).where("n_docs > 0")
-    orphans = left.where("orphan").select("k1", "k2")
+    )
+    left = materialise(left, "linecounts")
+    orphans = left.where("orphan AND n_docs > 0").select("k1", "k2")
     heirs = remaining.join(orphans, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.max("doc_id").alias("heir"))
-    return left.join(heirs, ["k1", "k2"], "left").select(
+    counts = left.where("n_docs > 0").join(heirs, ["k1", "k2"], "left").select(
         "k1", "k2", "n_docs", F.coalesce("heir", "keeper").alias("keeper")
     )
+    crossed = left.where((F.col("before") >= state.min_docs) & (F.col("n_docs") < state.min_docs))
+    return _changed(state, materialise(counts, "linecounts"), crossed.select("k1", "k2", F.lit(False).alias("added")))
 
 
 def shard_of(n_shards: int):
     return F.pmod(F.col("k1"), F.lit(n_shards)).cast("int")
 
 
-def build_filters(droppable: DataFrame, n_shards: int) -> DataFrame:
-    """``(shard, bits)``: one filter per shard, each over about ``KEYS_A_SHARD`` keys."""
-
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        filled = Cuckoo.build(rows["k1"].to_numpy(), rows["k2"].to_numpy())
-        return pd.DataFrame({"shard": rows["shard"].iloc[:1].to_numpy(), "bits": [filled.to_bytes()]})
-
-    keyed = droppable.select("k1", "k2", shard_of(n_shards).alias("shard"))
-    return keyed.groupBy("shard").applyInPandas(build, "shard int, bits binary")
-
-
-def probe(keys: DataFrame, filters: DataFrame, n_shards: int) -> DataFrame:
+def probe(keys: DataFrame, state: LineState) -> DataFrame:
     """The rows of ``(doc_id, k1, k2)`` that their shard's filter lets through."""
 
     def through(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or held.empty:
-            return rows.iloc[:0][["doc_id", "k1", "k2"]]
-        hit = Cuckoo.from_bytes(held["bits"].iloc[0]).lookup(rows["k1"].to_numpy(), rows["k2"].to_numpy())
+        hit = np.zeros(len(rows), dtype=bool)
+        for table in held["bits"].iloc[0] if len(held) else []:
+            hit |= Cuckoo.from_bytes(table).lookup(rows["k1"].to_numpy(), rows["k2"].to_numpy())
         return rows.loc[hit, ["doc_id", "k1", "k2"]]
 
-    keyed = keys.withColumn("shard", shard_of(n_shards))
-    return keyed.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(through, "doc_id long, k1 long, k2 long")
+    keyed = keys.withColumn("shard", shard_of(state.n_shards))
+    return keyed.groupBy("shard").cogroup(state.filters.groupBy("shard")).applyInPandas(through, "doc_id long, k1 long, k2 long")
 
 
-def dropped_keys(keys: DataFrame, counts: DataFrame, min_docs: int) -> DataFrame:
+def dropped_keys(keys: DataFrame, state: LineState) -> DataFrame:
     """``(doc_id, k1, k2)`` of the lines to drop: held by ``min_docs`` documents, and not in their keeper."""
-    totals = counts.agg(F.sum("n_docs").alias("pairs")).first()
-    pairs = totals["pairs"] or 0
-    n_shards = max(4, -(-pairs // KEYS_A_SHARD))
-    frequent = counts.where(F.col("n_docs") >= min_docs)
+    pairs = state.counts.agg(F.sum("n_docs").alias("pairs")).first()["pairs"] or 0
+    frequent = state.counts.where(F.col("n_docs") >= state.min_docs)
     hot_from = max(1 << 12, pairs // 1_000_000)  # at most a million keys can be held that often
-    hot = frequent.where(F.col("n_docs") >= hot_from).select("k1", "k2", "keeper")
+    hot = broadcast_if_small(frequent.where(F.col("n_docs") >= hot_from).select("k1", "k2", "keeper"), 1_000_000)
     rest = frequent.where(F.col("n_docs") < hot_from).select("k1", "k2", "keeper")
-    filters = build_filters(rest, n_shards)
-    cold = keys.join(F.broadcast(hot), ["k1", "k2"], "left_anti")
-    verified = probe(cold, filters, n_shards).join(rest, ["k1", "k2"])
-    lines = keys.join(F.broadcast(hot), ["k1", "k2"]).unionByName(verified)
+    cold = keys.join(hot, ["k1", "k2"], "left_anti")
+    verified = probe(cold, state).join(rest, ["k1", "k2"])
+    lines = keys.join(hot, ["k1", "k2"]).unionByName(verified)
     return lines.where(F.col("doc_id") != F.col("keeper")).select("doc_id", "k1", "k2")
 
 
 def drop_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``documents`` with ``_kept_text`` (null text stays null unless changed), ``_n_lines`` and ``_n_dropped``."""
     keys = materialise(document_keys(documents, min_chars).distinct(), "linekeys")
-    counts = materialise(reference_counts(keys), "linecounts")
-    return rewrite(documents, dropped_keys(keys, counts, min_docs), min_chars)
+    state = inserted(empty_state(documents.sparkSession, keys.count(), min_docs), keys)
+    return rewrite(documents, dropped_keys(keys, state), min_chars)
 
 
 def rewrite(documents: DataFrame, dropped: DataFrame, min_chars: int) -> DataFrame:

@@ -319,18 +319,31 @@ def test_line_dedup_against_brute_force(spark):
     assert got == lines_by_hand(list(enumerate(texts)))
 
 
-def test_line_counts_are_reversible(spark):
+def test_line_state_is_reversible(spark, monkeypatch):
+    """Counts, filters and what they drop after insertions and deletions are those of the documents that remain."""
+    monkeypatch.setattr(linededup, "LEAST_SHARDS", 3)
     rng = random.Random(10)
-    texts = line_texts(rng, 40)
-    one, two = docs_of(spark, texts[:20]), docs_of(spark, texts[20:], first=20)
-    keys1, keys2 = (linededup.document_keys(d, 20).distinct() for d in (one, two))
-    first = linededup.insert(None, keys1)
-    both = linededup.insert(first, keys2)
-    whole = linededup.insert(None, keys1.unionByName(keys2))
-    rows = lambda df: sorted(tuple(r) for r in df.select("k1", "k2", "n_docs", "keeper").collect())
-    assert rows(both) == rows(whole)
-    assert rows(linededup.delete(both, keys2, keys1)) == rows(first)
-    assert rows(linededup.delete(both, keys1, keys2)) == rows(linededup.insert(None, keys2))
+    texts = line_texts(rng, 60)
+    keys = linededup.document_keys(docs_of(spark, texts), 20).distinct().cache()
+    one, two, three = (keys.where(c) for c in ("doc_id < 20", "doc_id BETWEEN 20 AND 39", "doc_id >= 40"))
+    none = linededup.empty_state(spark, 0)
+    first = linededup.inserted(none, one)
+    both = linededup.inserted(first, two)
+    whole = linededup.inserted(both, three)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+
+    def held(state):  # how many fingerprints each shard's tables hold
+        return {r["shard"]: n for r in state.filters.collect() if (n := sum(int((linededup.Cuckoo.from_bytes(b).table > 0).sum()) for b in r["bits"]))}
+
+    cases = [(first, one), (both, one.unionByName(two)), (whole, keys), (linededup.deleted(whole, three, one.unionByName(two)), one.unionByName(two)),
+             (linededup.deleted(both, two, one), one), (linededup.deleted(whole, one, two.unionByName(three)), two.unionByName(three))]
+    for state, remain in cases:
+        want = linededup.inserted(none, remain)
+        assert rows(state.counts.select("k1", "k2", "n_docs", "keeper")) == rows(want.counts.select("k1", "k2", "n_docs", "keeper"))
+        assert held(state) == held(want)
+        assert rows(linededup.dropped_keys(remain, state)) == rows(linededup.dropped_keys(remain, want))
+        frequent = state.counts.where("n_docs >= 3").select(F.lit(1).cast("long").alias("doc_id"), "k1", "k2")
+        assert linededup.probe(frequent, state).count() == frequent.count()
 
 
 def test_cuckoo_filter_inserts_finds_and_deletes():
