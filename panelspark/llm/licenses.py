@@ -1,9 +1,9 @@
 """License scans: sparse TF-IDF cosines of headers and licence files to templates, then inheritance from the nearest
 ancestor directory that holds a licence file.
 
-Inverse document frequencies of the templates' words come from all files. A header is a line; a licence file is a file
-whose whole text is near a template. Words outside the templates weigh like a word that no file holds. Lines are scored
-only where they hold an *anchor* word: without one, by the Cauchy-Schwarz inequality, no line can reach the cosine
+Inverse document frequencies of the templates' words come from all files. A header is a line near a notice; a licence file
+is a file whose whole text is near a notice or a licence text. Words outside the templates weigh like a word that no file
+holds. Lines and files are scored only where they hold an *anchor* word: without one, by the Cauchy-Schwarz inequality, no line can reach the cosine
 asked for, so nothing is lost.
 
 A file's own header decides; a licence file, its own text; any other file inherits from the nearest directory above it
@@ -14,6 +14,7 @@ Defined cases: null and empty texts have no words, and may inherit; a null path
 and text get equal answers; ties go to the smallest template name; an empty table gives no rows.
 """
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,57 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
 ]
+NO_WARRANTY = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+)
+REDISTRIBUTION = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+    "the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+NO_DAMAGES = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, '
+    "BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT "
+    "SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+    "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+    "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+# Texts of common licences, for licence files only. Texts of many pages are passed as ``texts`` from files.
+LICENSE_TEXTS = [
+    ("Apache-2.0",
+     'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+     "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed "
+     'to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF '
+     "ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the "
+     "License."),
+    ("BSD-2-Clause", REDISTRIBUTION + NO_DAMAGES),
+    ("BSD-3-Clause", REDISTRIBUTION + "3. Neither the name of the copyright holder nor the names of its contributors may be used to "
+     "endorse or promote products derived from this software without specific prior written permission. " + NO_DAMAGES),
+    ("GPL-3.0",
+     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+     "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program "
+     "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+     "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have "
+     "received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("ISC",
+     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+     'that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR '
+     "DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO "
+     "EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING "
+     "FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+     "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("MIT",
+     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+     '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, '
+     "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
+     "furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included "
+     "in all copies or substantial portions of the Software. " + NO_WARRANTY + "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+     "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+     "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+]
 NOT_WORD = "[^a-z0-9]+"
 
 
@@ -91,14 +143,16 @@ def anchors(vectors: list[dict[str, float]], least: float) -> list[str]:
 
 
 def cosines(units: DataFrame, keys: list[str], least: float, names: list[str], model: tuple) -> DataFrame:
-    """The best template of each unit (``keys`` and ``unit``, a text) with at least ``least``: ``license, cosine``."""
+    """The best template of each unit (``keys`` and ``unit``, a text) with at least ``least``: ``license, cosine``. Only the
+    first ``len(names)`` templates are compared."""
     vectors, idf, rare = model
-    spark = units.sparkSession
-    rows = [(w, names[i], i, x, idf[w]) for i, v in enumerate(vectors) for w, x in sorted(v.items())]
-    told = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(["w", "license", "t", "x", "idf"], r, strict=True))) for r in rows))
-    weights = spark.range(1).select(F.explode(told).alias("r")).select("r.*")
+    told = json.dumps([
+        {"w": w, "idf": x, "ts": [{"license": n, "t": i, "x": vectors[i][w]} for i, n in enumerate(names) if w in vectors[i]]}
+        for w, x in idf.items()
+    ])
+    kind = "array<struct<w:string,idf:double,ts:array<struct<license:string,t:int,x:double>>>>"
+    known = F.broadcast(units.sparkSession.range(1).select(F.explode(F.from_json(F.lit(told), kind)).alias("r")).select("r.*"))
     terms = units.select(*keys, F.explode(words(F.col("unit"))).alias("w")).groupBy(*keys, "w").agg(F.count("*").alias("tf"))
-    known = F.broadcast(weights.groupBy("w").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("license", "t", "x")).alias("ts")))
     weighed = terms.join(known, "w", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(rare)))
     norms = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.collect_list(F.when(F.col("ts").isNotNull(), F.struct("ts", "v"))).alias("hits"))
     each = norms.select(*keys, "norm", F.explode("hits").alias("h")).select(*keys, "norm", "h.v", F.explode("h.ts").alias("t"))
@@ -113,16 +167,19 @@ def parent(path: Column) -> Column:
 
 
 def scan_licenses(
-    files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, header: float = 0.7, whole: float = 0.6
+    files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, texts: list[tuple[str, str]] = LICENSE_TEXTS,
+    header: float = 0.7, whole: float = 0.6,
 ) -> DataFrame:
     """``file_id, path, license, cosine, origin, from_dir`` for each row of ``files`` (``file_id, path, text``).
 
     ``origin`` is header, file, inherited or none; cosine and directory are those of the deciding text."""
     files = files.select("file_id", "path", "text", F.xxhash64("text").alias("key"))
-    model = template_weights(files, templates)
-    names = [n for n, _ in templates]
-    holds = "(?:^|[^a-z0-9])(?:" + "|".join(anchors(model[0], min(header, whole))) + ")(?:$|[^a-z0-9])"
-    some = files.where(F.lower("text").rlike(holds)).dropDuplicates(["file_id", "key"])
+    model = template_weights(files, templates + texts)
+    names, every = [n for n, _ in templates], [n for n, _ in templates + texts]
+    in_line, in_text = anchors(model[0][: len(names)], header), anchors(model[0], whole)
+    held = F.arrays_overlap(words(F.col("text")), F.array(*map(F.lit, sorted({*in_line, *in_text}))))
+    some = files.where(held).dropDuplicates(["file_id", "key"])
+    holds = "(?:^|[^a-z0-9])(?:" + "|".join(in_line) + ")(?:$|[^a-z0-9])"
     lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("no"), x.alias("unit"))),
                      lambda s: F.lower(s["unit"]).rlike(holds))
     headers = some.select("file_id", "key", F.explode(lines).alias("l")).select("file_id", "key", "l.no", "l.unit")
@@ -131,8 +188,8 @@ def scan_licenses(
     by_header = by_header.groupBy("file_id", "key").agg(first).select(
         "file_id", "key", F.lit("header").alias("origin"), F.col("b.l").alias("license"), (-F.col("b.c")).alias("cosine")
     )
-    texts = some.select("file_id", "key", F.col("text").alias("unit"))
-    by_text = cosines(texts, ["file_id", "key"], whole, names, model).select(
+    whole_texts = some.select("file_id", "key", F.col("text").alias("unit"))
+    by_text = cosines(whole_texts, ["file_id", "key"], whole, every, model).select(
         "file_id", "key", F.lit("file").alias("origin"), "license", "cosine"
     )
     own = by_text.unionByName(by_header)

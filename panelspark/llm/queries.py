@@ -9,7 +9,7 @@ from panelspark.llm.chat import chat_digest, format_chat
 from panelspark.llm.decontaminate import contamination, is_contaminated
 from panelspark.llm.jaccard import jaccard_components
 from panelspark.llm.langid import language_digest
-from panelspark.llm.licenses import TEMPLATES, license_digest
+from panelspark.llm.licenses import LICENSE_TEXTS, TEMPLATES, license_digest
 from panelspark.llm.linededup import line_digest
 from panelspark.llm.mixing import mix_sources
 from panelspark.llm.quality import quality_digest
@@ -133,8 +133,8 @@ FROM m GROUP BY doc_id
 
 OP10_SQL = r"""
 WITH t(i, license, t) AS (VALUES """ + ", ".join(
-    f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(TEMPLATES)
-) + r"""),
+    f"({i}, '{n}', '{t.replace(chr(39), chr(39) * 2)}')" for i, (n, t) in enumerate(TEMPLATES + LICENSE_TEXTS)
+) + rf"""),
 f AS (SELECT doc_id, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'),
         CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 10 AS VARCHAR)) AS dir, coalesce(text, '') AS text FROM documents),
 fw AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM f),
@@ -150,7 +150,7 @@ lw AS (SELECT doc_id, no, w, count(*) AS tf FROM (SELECT doc_id, no,
 lv AS (SELECT doc_id, no, w, tf * coalesce(idf, ln(1 + (SELECT count(*) FROM f)) + 1) AS y FROM lw LEFT JOIN v USING (w)),
 n AS (SELECT doc_id, no, sqrt(sum(y * y)) AS norm FROM lv GROUP BY ALL),
 c AS (SELECT doc_id, no, license, round(sum(x * y) / any_value(norm), 6) AS cosine
-      FROM lv JOIN tv USING (w) JOIN n USING (doc_id, no) GROUP BY doc_id, no, license, i),
+      FROM lv JOIN tv USING (w) JOIN n USING (doc_id, no) WHERE no < 0 OR i < {len(TEMPLATES)} GROUP BY doc_id, no, license, i),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, no < 0 ORDER BY cosine DESC, no, license) AS r
       FROM c WHERE cosine >= CASE WHEN no < 0 THEN 0.6 ELSE 0.7 END),
 own AS (SELECT doc_id, license, cosine, CASE WHEN no < 0 THEN 'file' ELSE 'header' END AS origin FROM (SELECT *,

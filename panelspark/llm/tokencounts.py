@@ -8,6 +8,7 @@ The vocabulary file's path is a parameter; every executor reads it from there.
 import base64
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
@@ -59,7 +60,8 @@ def encoded_lengths(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 def length_histogram(lengths: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Per length that occurs: ``n_tokens, n_docs``, the documents and tokens at this length or above (``docs_from``,
-    ``tokens_from``), the ``share_below`` for quantiles, and ``kept_tokens`` if texts were cut at this length.
+    ``tokens_from``), the ``share_below`` of all documents (``all_docs``), and ``kept_tokens`` if texts were cut at this
+    length.
 
     Sums run in two levels, inside stretches of ``stretch`` lengths and over the stretches."""
     counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
@@ -81,7 +83,7 @@ def length_histogram(lengths: DataFrame, stretch: int = STRETCH) -> DataFrame:
     kept = F.col("all_tokens") - F.col("tokens_from") + F.col("n_tokens") * F.col("docs_from")
     below = F.round((F.col("all_docs") - F.col("docs_from")) / F.col("all_docs"), 9)
     return sums.select(
-        "n_tokens", "n_docs", "docs_from", "tokens_from", below.alias("share_below"), kept.alias("kept_tokens")
+        "n_tokens", "n_docs", "docs_from", "tokens_from", below.alias("share_below"), kept.alias("kept_tokens"), "all_docs"
     )
 
 
@@ -91,7 +93,9 @@ def tokens_kept(histogram: DataFrame, limit: int) -> DataFrame:
     return histogram.agg(F.coalesce(total, F.lit(0)).alias("kept_tokens"))
 
 
-def length_quantile(histogram: DataFrame, q: float) -> DataFrame:
+def length_quantile(histogram: DataFrame, q: float | Fraction) -> DataFrame:
     """One row: the least length that the share ``q`` of all documents does not exceed."""
-    reached = F.col("share_below") + F.col("n_docs") / (F.col("docs_from") / F.nullif(1 - F.col("share_below"), F.lit(0)))
-    return histogram.where(F.round(reached, 9) >= q).agg(F.min("n_tokens").alias("n_tokens"))
+    share = Fraction(repr(q)) if isinstance(q, float) else Fraction(q)
+    up_to = (F.col("all_docs") - F.col("docs_from") + F.col("n_docs")).cast("decimal(38,0)")
+    reached = up_to * F.lit(share.denominator) >= F.col("all_docs").cast("decimal(38,0)") * F.lit(share.numerator)
+    return histogram.where(reached).agg(F.min("n_tokens").alias("n_tokens"))

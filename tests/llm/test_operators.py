@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelspark.llm import (
     chat, decontaminate, jaccard, langid, licenses, linededup, mixing, quality, substring, tokencounts,
@@ -518,6 +519,11 @@ def test_length_histogram_and_round_trip(spark):
             assert r["n_docs"] == want.count(n) and r["docs_from"] == sum(x >= n for x in want)
             assert r["tokens_from"] == sum(x for x in want if x >= n) and r["kept_tokens"] == sum(min(x, n) for x in want)
     assert tokencounts.tokens_kept(hist, 33).first()[0] == sum(min(x, 33) for x in want)
+    many = spark.createDataFrame([(1, 3 * 10**9 - 1), (2, 1), (3, 1)], "n_tokens long, n_docs long")
+    many = many.withColumns({"all_docs": F.lit(3 * 10**9 + 1), "docs_from": F.sum("n_docs").over(
+        Window.orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0))})
+    exact = Fraction(3 * 10**9, 3 * 10**9 + 1)
+    assert [tokencounts.length_quantile(many, q).first()[0] for q in (0.5, exact, 1.0)] == [1, 2, 3]
     assert tokencounts.length_quantile(hist, 0.5).first()[0] == sorted(want)[(len(want) + 1) // 2 - 1]
     assert tokencounts.length_histogram(tokencounts.encoded_lengths(docs_of(spark, []))).count() == 0
 
@@ -665,6 +671,20 @@ def test_license_at_the_root_of_relative_paths(spark):
     assert {r["file_id"]: r["license"] for r in out.collect()} == {1: "MIT", 2: "MIT", 3: "MIT", 4: None}
 
 
+def test_license_files_with_whole_texts(spark):
+    """Real licence files, with and without a heading, wrapped in lines; prose on licences is none."""
+    texts = dict(licenses.LICENSE_TEXTS)
+    wrap = lambda x: "\n".join(" ".join(x.split()[i : i + 11]) for i in range(0, len(x.split()), 11))
+    rows = [(1, "a/LICENSE", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + wrap(texts["MIT"])), (2, "a/x", "code"),
+            (3, "b/LICENSE", wrap(texts["MIT"])), (4, "b/c/x", "code"), (5, "c/COPYING", "Copyright 2019 A\n" + wrap(texts["BSD-3-Clause"])),
+            (6, "c/x", "code"), (7, "d/LICENSE", wrap(texts["BSD-2-Clause"])), (8, "d/x", "code"), (9, "e/COPYING", wrap(texts["ISC"])),
+            (10, "e/x", "code"), (11, "f/NOTICE", "Copyright 2018 B\n\n" + wrap(texts["Apache-2.0"])), (12, "f/x", "code"),
+            (13, "g/x", "permission to use the software may be granted by any person who has the rights to it, and so on"), (14, "g/y", "code")]
+    out = licenses.scan_licenses(spark.createDataFrame(rows, "file_id long, path string, text string"))
+    want = ["MIT", "MIT", "MIT", "MIT", "BSD-3-Clause", "BSD-3-Clause", "BSD-2-Clause", "BSD-2-Clause", "ISC", "ISC", "Apache-2.0", "Apache-2.0"]
+    assert {r["file_id"]: r["license"] for r in out.collect()} == dict(enumerate([*want, None, None], 1))
+
+
 def test_anchors_lose_nothing():
     rng = random.Random(16)
     vectors = []
