@@ -150,12 +150,16 @@ def decile_summary(df: DataFrame, y: str, score: str, by: list[str]) -> DataFram
 
 def ecdf_band(df: DataFrame, score: str, reference: DataFrame) -> DataFrame:
     """Right-inclusive percentile of each score in the reference scores, and its band. Both are counted by value first,
-    so the running sum is over distinct values."""
+    and the running sum runs in two levels, over ranges of values and over the values of a range, so no task sorts them all."""
     both = reference.select(F.col(score).alias("v"), F.lit(1).alias("c")).unionByName(df.select(F.col(score).alias("v"), F.lit(0).alias("c")))
-    counted = both.groupBy("v").agg(F.sum("c").alias("c"))
+    stretch = F.when(F.isnan("v"), F.lit(float("inf"))).otherwise(F.floor(F.col("v") * 1024).cast("double"))  # NaN is largest
+    counted = both.groupBy("v").agg(F.sum("c").alias("c")).withColumn("stretch", stretch)
     total = reference.count()
-    upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = counted.select(F.col("v").alias(score), (upto / total).alias("percentile"))
+    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counted.groupBy("stretch").agg(F.sum("c").alias("own")).select("stretch", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("stretch").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("base") + F.sum("c").over(inside)
+    placed = counted.join(bases, "stretch").select(F.col("v").alias(score), (upto / total).alias("percentile"))
     p = F.col("percentile")
     band = F.when(p >= 0.95, "P95").when(p >= 0.80, "P80").when(p >= 0.50, "P50").otherwise("BELOW")
     return df.join(placed, score).withColumn("band", band)

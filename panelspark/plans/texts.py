@@ -209,7 +209,7 @@ def c2(spark, d):
 
 @q("c14_near_dup_pairs", r""", s AS (SELECT id, list_distinct(list_transform(range(1, greatest(length(c) - 3, 1)), lambda i: substr(c, i, 5))) AS s
   FROM (SELECT id, regexp_replace(title, '\s+', '', 'g') AS c FROM news)), g AS (SELECT id, unnest(s) AS g FROM s WHERE len(s) > 0),
-r AS (SELECT g FROM g GROUP BY g HAVING count(*) BETWEEN 2 AND 100), p AS (SELECT DISTINCT a.id AS l, b.id AS r FROM g a JOIN g b USING (g) JOIN r USING (g) WHERE a.id < b.id),
+r AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1), p AS (SELECT DISTINCT a.id AS l, b.id AS r FROM g a JOIN g b USING (g) JOIN r USING (g) WHERE a.id < b.id),
 j AS (SELECT l, p.r, len(list_intersect(a.s, b.s)) AS i, len(a.s) AS m, len(b.s) AS n FROM p JOIN s a ON a.id = l JOIN s b ON b.id = p.r)
 SELECT l AS "left", r AS "right", round(i / (m + n - i), 6) AS jaccard FROM j WHERE i / (m + n - i) >= 0.7 AND i < m + n - i""")
 def c14(spark, d):
