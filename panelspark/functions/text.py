@@ -126,10 +126,14 @@ def quantised(value: Column, places: int) -> Column:
     return F.when(out == 0, F.lit(0.0)).otherwise(out)
 
 
+def runs(text: Column, k: int) -> Column:
+    """Every run of ``k`` characters, one from each place, in one pass over the text; none where it is shorter."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
+
+
 def shingles(text: Column, k: int) -> Column:
-    compact = F.regexp_replace(text, r"\s+", "")
-    many = F.transform(F.sequence(F.lit(1), F.length(compact) - k + 1), lambda i: F.substring(compact, i, F.lit(k)))
-    return F.when(F.length(compact) >= k, F.array_distinct(many)).otherwise(F.array().cast("array<string>"))
+    """The different runs of ``k`` characters of the text without white space; null text has none."""
+    return F.array_distinct(runs(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", ""), k))
 
 
 def mentions(text: Column, ticker: Column) -> Column:

@@ -91,6 +91,12 @@ def prequential_platt(df: DataFrame, p: str, y: str, folds: list[int]) -> DataFr
     return df.join(F.broadcast(models), "fold").withColumn("calibrated", 1 / (1 + F.exp(-z)))
 
 
+def adoption(calibrated: DataFrame, p: str, y: str) -> DataFrame:
+    """``adopted``: every fold's slope is positive and the pooled squared error of the calibrated forecasts is smaller."""
+    error = lambda c: F.avg((F.col(c) - F.col(y)) ** 2)
+    return calibrated.agg(((F.min("slope") > 0) & (error("calibrated") < error(p))).alias("adopted"))
+
+
 def ols_hc3(df: DataFrame, y: str, columns: list[str]) -> DataFrame:
     """Least squares with HC3 errors: one pass for the Gram matrix, one for leverages and residuals."""
     gram = unfold(moments(df, columns, F.col(y), []).first()["gram"], len(columns) + 2)

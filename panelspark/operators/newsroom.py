@@ -26,17 +26,23 @@ def split_leakage(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count_distinct("split").alias("n_splits")).where("n_splits > 1")
 
 
-def near_dup_pairs(df: DataFrame, k: int = 5, least: float = 0.7) -> DataFrame:
-    """Pairs of different texts with a shingle Jaccard of ``least``. Partners share ``least`` of either set, hence one of each
-    set's rarest shingles, as many as may be missing and one more: only these are joined. The measure is on whole sets."""
+def near_dup_pairs(df: DataFrame, k: int = 5, least: float = 0.7, apart: str | None = None) -> DataFrame:
+    """Pairs of different texts with a shingle Jaccard of ``least``, only those with different values of ``apart`` if it is
+    given. Partners share ``least`` of either set, hence one of each set's rarest shingles, as many as may be missing and
+    one more: only these are joined, and only where what stands behind the first common one can still suffice. The measure
+    is on whole sets."""
     sets = df.withColumn("s", T.shingles(F.col("text"), k)).where(F.size("s") > 0)
-    posts = sets.select("id", F.size("s").alias("m"), F.explode("s").alias("g"))
+    side = F.col(apart) if apart else F.lit(0)
+    posts = sets.select("id", side.alias("side"), F.size("s").alias("m"), F.explode(F.transform("s", lambda s: F.xxhash64(s))).alias("g"))
     counts = posts.groupBy("g").agg(F.count("*").alias("n"))
     rarest = Window.partitionBy("id").orderBy("n", "g")
     held = posts.join(counts, "g").withColumn("r", F.row_number().over(rarest))
     held = held.where((F.col("r") <= F.col("m") - F.ceil(F.col("m") * least - 1e-9) + 1) & (F.col("n") > 1))
     near = F.least("a.m", "b.m") >= F.greatest("a.m", "b.m") * least - 1e-9
-    pairs = held.alias("a").join(held.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")) & near)
+    rest = F.least(F.col("a.m") - F.col("a.r"), F.col("b.m") - F.col("b.r")) + 1
+    enough = rest * (1 + least) >= (F.col("a.m") + F.col("b.m")) * least - 1e-9
+    met = (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")) & near & enough
+    pairs = held.alias("a").join(held.alias("b"), met & (F.col("a.side") != F.col("b.side")) if apart else met)
     pairs = pairs.select(F.col("a.id").alias("left"), F.col("b.id").alias("right")).distinct()
     both = pairs.join(sets.select(F.col("id").alias("left"), F.col("s").alias("x")), "left").join(sets.select(F.col("id").alias("right"), F.col("s").alias("y")), "right")
     inter = F.size(F.array_intersect("x", "y"))
@@ -56,14 +62,34 @@ def fuzzy_dups(news: DataFrame, days: int = 2, least: float = 0.92) -> DataFrame
     return pairs.withColumn("ratio", F.round(T.sim_ratio("x", "y"), 6)).where(F.col("ratio") >= least).select("a", "b", "ratio")
 
 
-def match_entities(news: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Best tier per item and ticker: ticker in title .95, alias in title .90, ticker in summary .75, alias in summary .65.
-    ``aliases`` (ticker, alias) is a reference table: the broadcast side of a theta join."""
+def match_keys(fields: list[str], k: int) -> Column:
+    """The words of the fields and their runs of ``k`` characters, marked by kind."""
+    marked = lambda mark, found: F.transform(F.array_distinct(found), lambda w: F.concat(F.lit(mark), w))
+    text = F.concat_ws("\n", *fields)
+    return F.concat(marked("t", F.split(text, "[^A-Za-z0-9]+")), marked("a", T.runs(text, k)))
+
+
+def match_entities(news: DataFrame, aliases: DataFrame, explicit: str | None = None, most_broadcast: int = 100_000) -> DataFrame:
+    """Best tier per item and ticker: named by the item's own array column ``explicit`` 1.0, ticker in title .95, alias in
+    title .90, ticker in summary .75, alias in summary .65. Texts meet ``aliases`` (ticker, alias) by equal keys only: a
+    ticker by its first word, an alias by its first characters, as many as the shortest alias has; both are then looked up
+    in the text. Tickers hold a letter or digit and aliases a character, else they match nothing."""
+    known = aliases.where("length(alias) > 0 AND ticker IS NOT NULL")
+    size = known.agg(F.min(F.length("alias")), F.count("*")).first()
+    k = size[0] or 1
+    sides = F.array(F.concat(F.lit("t"), F.regexp_extract("ticker", "[A-Za-z0-9]+", 0)), F.concat(F.lit("a"), F.substring("alias", 1, k)))
+    keyed = known.select("ticker", "alias", F.explode(sides).alias("key")).where("length(key) > 1")
+    if size[1] <= most_broadcast:
+        keyed = F.broadcast(keyed)
+    met = news.select("id", F.explode(match_keys(["title", "summary"], k)).alias("key")).join(keyed, "key").select("id", "ticker", "alias").distinct()
     tiers = [(0.95, "ticker_title", T.mentions(F.col("title"), F.col("ticker"))), (0.90, "alias_title", F.contains("title", "alias")),
              (0.75, "ticker_summary", T.mentions(F.col("summary"), F.col("ticker"))), (0.65, "alias_summary", F.contains("summary", "alias"))]
     method = reduce(lambda c, t: c.when(t[2], F.struct(F.lit(t[0]).alias("score"), F.lit(t[1]).alias("method"))), tiers[1:],
                     F.when(tiers[0][2], F.struct(F.lit(tiers[0][0]).alias("score"), F.lit(tiers[0][1]).alias("method"))))
-    joined = news.crossJoin(F.broadcast(aliases)).withColumn("m", method).where("m IS NOT NULL")
+    joined = news.select("id", "title", "summary").join(met, "id").withColumn("m", method).where("m IS NOT NULL").select("id", "ticker", "m")
+    if explicit:
+        named = news.select("id", F.explode(explicit).alias("ticker")).join(known.select("ticker").distinct(), "ticker", "left_semi")
+        joined = joined.unionByName(named.withColumn("m", F.struct(F.lit(1.0).alias("score"), F.lit("explicit").alias("method"))))
     return joined.groupBy("id", "ticker").agg(F.max("m").alias("m")).select("id", "ticker", "m.score", "m.method")
 
 
@@ -177,14 +203,15 @@ def text_audit(df: DataFrame) -> DataFrame:
 
 def feed_coverage(df: DataFrame) -> DataFrame:
     """Per source: rows, languages, repeated titles, and the 10th and 90th length by rounded rank."""
-    n = F.count("*").over(Window.partitionBy("source"))
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.length("text"), "id"))
-    rows = df.withColumns({"_n": n, "_r": rank, "_t": F.count("*").over(Window.partitionBy("source", "title"))})
-    at = lambda q: F.max(F.when(F.col("_r") == F.bround((F.col("_n") - 1) * q) + 1, F.length("text")))
-    return rows.groupBy("source").agg(
-        F.count("*").alias("n"), F.count_distinct("lang").alias("languages"), F.count_if(F.col("_t") > 1).alias("repeated_titles"),
-        at(0.1).alias("p10"), at(0.9).alias("p90"),
-    )
+    upto = F.sum("c").over(Window.partitionBy("source").orderBy("size"))
+    sizes = df.groupBy("source", F.length("text").alias("size")).agg(F.count("*").alias("c"))
+    sizes = sizes.withColumns({"upto": upto, "n": F.sum("c").over(Window.partitionBy("source"))})
+    at = lambda q: F.min(F.when(F.col("upto") > F.bround((F.col("n") - 1) * q), F.col("size")))
+    spread = sizes.groupBy("source").agg(F.first("n").alias("n"), at(0.1).alias("p10"), at(0.9).alias("p90"))
+    titles = df.groupBy("source", "title").agg(F.count("*").alias("c")).groupBy("source").agg(
+        F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("repeated_titles"))
+    languages = df.groupBy("source").agg(F.count_distinct("lang").alias("languages"))
+    return spread.join(titles, "source").join(languages, "source").select("source", "n", "languages", "repeated_titles", "p10", "p90")
 
 
 def record_audit(df: DataFrame, fields: list[str]) -> DataFrame:

@@ -75,12 +75,18 @@ def build_corpus(records: DataFrame, train_end: str, validation_end: str) -> Dat
 
 
 def ingest_news(news: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Items once per content hash, with their canonical URL, best entity and its score."""
+    """Items once per content hash, without those whose title resembles an earlier item's of the days before, with their
+    canonical URL, best entity and its score; ``n_exact`` and ``n_fuzzy`` count what each step dropped from the run."""
     rows = news.withColumn("url", T.canonical_url(F.col("url")))
     rows = rows.withColumn("h", T.stable_id(F.lower("title"), F.col("url")))
-    first = N.dedup_first(rows, ["h"], ["published_at", "id"])
+    exact = N.dedup_first(rows, ["h"], ["published_at", "id"])
+    fuzzy = N.fuzzy_dups(exact).select(F.col("a").alias("id")).distinct()
+    first = exact.join(fuzzy, "id", "left_anti")
+    counts = [f.agg(F.count("*").alias(n)) for f, n in ((rows, "n_all"), (exact, "n_unique"), (first, "n_kept"))]
+    told = counts[0].crossJoin(counts[1]).crossJoin(counts[2]).select(
+        (F.col("n_all") - F.col("n_unique")).alias("n_exact"), (F.col("n_unique") - F.col("n_kept")).alias("n_fuzzy"))
     best = N.match_entities(first, aliases).groupBy("id").agg(F.max(F.struct("score", "ticker")).alias("b"))
-    return first.join(best, "id", "left").select("id", "url", "h", F.col("b.ticker").alias("ticker"), F.col("b.score").alias("score"))
+    return first.join(best, "id", "left").crossJoin(F.broadcast(told)).select("id", "url", "h", F.col("b.ticker").alias("ticker"), F.col("b.score").alias("score"), "n_exact", "n_fuzzy")
 
 
 def assemble_items(news: DataFrame, prefixes: tuple[str, ...], vote: Column, cues: Column) -> DataFrame:

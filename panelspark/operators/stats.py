@@ -110,33 +110,57 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: list[str]) -> DataFram
     )
 
 
+def stretch(value: str) -> Column:
+    """A number that never falls as the value rises and that values within about one percent share; null is the smallest
+    and NaN the largest, as in Spark's own order."""
+    size = F.floor(F.log2(1 + F.abs(F.col(value).cast("double")) * 1024) * 64)
+    placed = F.when(F.isnan(value), 2**62).otherwise(F.when(F.col(value) < 0, -size).otherwise(size))
+    return F.coalesce(placed, F.lit(-(2**62)))
+
+
+def stretch_bases(df: DataFrame, by: list[str], value: str, falling: bool) -> DataFrame:
+    """``by, _s``: rows of each stretch's predecessors (``_base``) and of the whole group (``_n``)."""
+    sums = df.groupBy(*by, stretch(value).alias("_s")).agg(F.count("*").alias("_own"))
+    upto = F.sum("_own").over(Window.partitionBy(*by).orderBy(F.desc("_s") if falling else F.asc("_s")))
+    return sums.select(*by, "_s", (upto - F.col("_own")).alias("_base"), F.sum("_own").over(Window.partitionBy(*by)).alias("_n"))
+
+
+def positions(df: DataFrame, by: list[str], score: str, minor: tuple[str, ...] = ("session", "ticker")) -> DataFrame:
+    """Adds ``_r``, the place of a row in its group by falling score and rising ``minor``, and ``_n``, the group's rows.
+    Stretches of scores are counted first and rows placed inside theirs, so no task sorts a whole group."""
+    inside = Window.partitionBy(*by, "_s").orderBy(F.desc(score), *minor)
+    rows = df.withColumn("_s", stretch(score)).join(stretch_bases(df, by, score, True), [*by, "_s"])
+    return rows.withColumn("_r", F.col("_base") + F.row_number().over(inside)).drop("_s", "_base")
+
+
+def average_rank(df: DataFrame, by: list[str], value: str, source: DataFrame) -> DataFrame:
+    """Adds ``_rank_<value>``; ``source`` is the frame whose rows are counted."""
+    inside = Window.partitionBy(*by, "_s").orderBy(value)
+    rows = df.withColumn("_s", stretch(value)).join(stretch_bases(source, by, value, False), [*by, "_s"])
+    same = F.count("*").over(Window.partitionBy(*by, "_s", value))
+    return rows.withColumn(f"_rank_{value}", F.col("_base") + F.rank().over(inside) + (same - 1) / 2).drop("_s", "_base", "_n")
+
+
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Correlation of average ranks; 0 and a flag where one side is constant."""
-    def ranked(c: str) -> Column:
-        return F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
-
-    rows = df.withColumns({"_x": ranked(x), "_y": ranked(y)})
+    slim = df.select(*by, x, y)
+    rows = average_rank(average_rank(slim, by, x, slim), by, y, slim)
     flat = (F.max(x) == F.min(x)) | (F.max(y) == F.min(y))
-    correlation = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))
+    correlation = F.try_divide(F.covar_pop(f"_rank_{x}", f"_rank_{y}"), F.stddev_pop(f"_rank_{x}") * F.stddev_pop(f"_rank_{y}"))
     return rows.groupBy(*by).agg(F.when(flat, 0.0).otherwise(correlation).alias("rho"), flat.alias("constant"))
 
 
-def by_score(score: str, by: list[str]) -> Window:
-    return Window.partitionBy(*by).orderBy(F.desc(score), "session", "ticker")
-
-
 def lift(df: DataFrame, y: str, score: str, q: float, by: list[str]) -> DataFrame:
     """Mean target of the top ceil(q * n) over the mean of all; null where that is 0."""
-    rows = df.withColumns({"_r": F.row_number().over(by_score(score, by)), "_n": F.count("*").over(Window.partitionBy(*by))})
+    rows = positions(df, by, score)
     top = F.when(F.col("_r") <= F.ceil(F.col("_n") * q), F.col(y))
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.try_divide(F.avg(top), F.nullif(F.avg(y), F.lit(0.0))).alias("lift"))
 
 
 def assign_deciles(df: DataFrame, score: str, by: list[str]) -> DataFrame:
     """D10 is the top; position * 10 / n, not ``ntile``, which deals remainders otherwise."""
-    rank = F.row_number().over(by_score(score, by)) - 1
-    bucket = F.least(F.floor(rank * 10 / F.count("*").over(Window.partitionBy(*by))), F.lit(9))
-    return df.withColumn("decile", (10 - bucket).cast("int"))
+    bucket = F.least(F.floor((F.col("_r") - 1) * 10 / F.col("_n")), F.lit(9))
+    return positions(df, by, score).withColumn("decile", (10 - bucket).cast("int")).drop("_r", "_n")
 
 
 def decile_summary(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
@@ -152,8 +176,7 @@ def ecdf_band(df: DataFrame, score: str, reference: DataFrame) -> DataFrame:
     """Right-inclusive percentile of each score in the reference scores, and its band. Both are counted by value first,
     and the running sum runs in two levels, over ranges of values and over the values of a range, so no task sorts them all."""
     both = reference.select(F.col(score).alias("v"), F.lit(1).alias("c")).unionByName(df.select(F.col(score).alias("v"), F.lit(0).alias("c")))
-    stretch = F.when(F.isnan("v"), F.lit(float("inf"))).otherwise(F.floor(F.col("v") * 1024).cast("double"))  # NaN is largest
-    counted = both.groupBy("v").agg(F.sum("c").alias("c")).withColumn("stretch", stretch)
+    counted = both.groupBy("v").agg(F.sum("c").alias("c")).withColumn("stretch", stretch("v"))
     total = reference.count()
     before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     bases = counted.groupBy("stretch").agg(F.sum("c").alias("own")).select("stretch", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("base"))

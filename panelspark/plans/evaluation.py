@@ -1,10 +1,14 @@
 """Queries over scored study rows: folds, metrics, rankings, thresholds, comparisons, fits and bootstrap."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.functions import aggregates as G
 from panelspark.operators import calendars, features, fitted, stats
 from panelspark.plans.market import STUDY, cal_of, r
-from panelspark.plans.registering import query
+from panelspark.plans.registering import query, stored
 from panelspark.sources import adapters as A
 
 YEARS = range(1999, 2002)
@@ -26,12 +30,20 @@ scored AS (SELECT a.*, round(pred, 9) AS score, round(1 / (1 + exp(2.2 - 0.8 * p
   FROM assigned a JOIN cuts USING (fold) WHERE role = 'evaluation')"""
 
 
+def study(spark, d):
+    return stored(spark, d, "study", lambda s, d: features.persistence(features.study_rows(A.panel(s, d), cal_of(s, d))))
+
+
 def assigned(spark, d):
-    rows = features.persistence(features.study_rows(A.panel(spark, d), cal_of(spark, d)))
+    rows = study(spark, d)
     return calendars.assign_folds(rows, calendars.yearly_folds(spark, YEARS, "1997-01-01"))
 
 
 def scored(spark, d):
+    return stored(spark, d, "scored", scored_rows)
+
+
+def scored_rows(spark, d):
     """Evaluation rows of all folds with forecast, probability, outcome and the regimes of their fold's training rows."""
     rows = assigned(spark, d).withColumnsRenamed({"volatility_log_return_20": "v20", "benchmark_volatility_log_return_20": "bv20"})
     cuts = stats.fold_tertiles(rows, ["v20", "bv20"])
@@ -304,6 +316,21 @@ def d24(spark, d):
     return stats.kappa(scored(spark, d), "stock_regime", "market_regime").select("n", r("agreement"), r("kappa"))
 
 
+LEVELS = ["LOW", "MIDDLE", "HIGH"]
+
+
+@q("k4_user_aggregates", """, c AS (SELECT fold, count(*) AS n, quantile_cont(y, 0.9) AS q, avg(CASE WHEN score <= 0.5 THEN 1.0 ELSE 0.0 END) AS e, avg((stock_regime = market_regime)::INT) AS o FROM scored GROUP BY fold),
+s AS (SELECT fold, market_regime AS l, count(*) AS k FROM scored GROUP BY 1, 2), t AS (SELECT fold, stock_regime AS l, count(*) AS k FROM scored GROUP BY 1, 2),
+h AS (SELECT fold, 0 - sum(k / n * ln(k / n)) / ln(3) AS h FROM t JOIN c USING (fold) GROUP BY fold),
+x AS (SELECT s.fold, sum(s.k * t.k / (n * n)) AS x FROM s JOIN t ON s.fold = t.fold AND s.l = t.l JOIN c ON c.fold = s.fold GROUP BY s.fold)
+SELECT fold, round(q, 6) AS quantile, round(e, 6) AS ecdf, round(h, 6) AS entropy, round((o - coalesce(x, 0)) / (1 - coalesce(x, 0)), 6) AS kappa FROM c JOIN h USING (fold) LEFT JOIN x USING (fold)""")
+def k4(spark, d):
+    out = scored(spark, d).groupBy("fold").agg(
+        G.quantile("y", 0.9).alias("quantile"), G.ecdf("score", 0.5).alias("ecdf"), G.entropy("stock_regime", LEVELS).alias("entropy"),
+        G.cohen_kappa("stock_regime", "market_regime", LEVELS).alias("kappa"))
+    return out.select("fold", *map(r, ("quantile", "ecdf", "entropy", "kappa")))
+
+
 @q("i1_fit_scaler", """SELECT fold, round(avg(v20), 8) AS mean_v20, round(stddev_pop(v20), 8) AS scale_v20, round(avg(r1), 8) AS mean_r1,
   round(stddev_pop(r1), 8) AS scale_r1 FROM assigned WHERE role = 'train' GROUP BY fold""")
 def i1(spark, d):
@@ -337,7 +364,7 @@ ALPHAS = [0.1, 1.0, 10.0, 100.0]
 def i7(spark, d):
     """All features, every fold and alpha from one pass of cross products per fold; the alpha with the best rank
     correlation on the year before the evaluation year is taken."""
-    rows = assigned(spark, d).drop("prediction").withColumn("y", F.col("primary")).persist()
+    rows = assigned(spark, d).drop("prediction").withColumn("y", F.col("primary"))
     columns = [c for c in features.FEATURE_NAMES if c != "zero_volume_flag"]
     train = rows.where("role = 'train'")
     inner_year = F.year("session") == F.col("fold").cast("int") - 1
@@ -356,10 +383,11 @@ def i7(spark, d):
 def i9(spark, d):
     rows = scored(spark, d).select(F.col("fold").cast("int").alias("fold"), "ticker", "session", "p", "hit")
     out = fitted.prequential_platt(rows, "p", "hit", list(YEARS))
-    return out.groupBy("fold").agg(
+    per = out.groupBy("fold").agg(
         F.round(F.first("slope"), 6).alias("slope"), F.round(F.avg((F.col("p") - F.col("hit")) ** 2), 6).alias("brier"),
         F.round(F.avg((F.col("calibrated") - F.col("hit")) ** 2), 6).alias("brier_calibrated"),
     )
+    return per.crossJoin(F.broadcast(fitted.adoption(out, "p", "hit")))
 
 
 @q("i10_cluster_bootstrap", """, s AS (SELECT fold, session, sum(abs(pred - y)) AS e, count(*) AS c FROM scored GROUP BY 1, 2),
@@ -388,17 +416,24 @@ def i11_fe(spark, d):
     return out.select("term", *(r(c) for c in out.columns[1:]))
 
 
+def by_fold(rows, fit):
+    """The evaluation rows of every fold as told by a model that ``fit`` makes from the fold's training rows."""
+    out = []
+    for fold in map(str, YEARS):
+        part = rows.where(F.col("fold") == fold)
+        out.append(fit(part.where("role = 'train'")).transform(part.where("role = 'evaluation'")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def evaluated(spark, d, model, columns):
-    rows = assigned(spark, d).withColumn("label", (F.col("primary") >= 1.5).cast("double")).drop("prediction").where("fold = '2001'")
-    rows = fitted.ml_rows(rows, columns)
-    fit = model.fit(fitted.balanced(rows.where("role = 'train'"), "label"))
     from pyspark.ml.functions import vector_to_array
 
-    out = fit.transform(rows.where("role = 'evaluation'"))
+    rows = assigned(spark, d).withColumn("label", (F.col("primary") >= 1.5).cast("double")).drop("prediction")
+    out = by_fold(fitted.ml_rows(rows, columns), lambda train: model.fit(fitted.balanced(train, "label")))
     return out.withColumn("p", F.round(vector_to_array("probability")[1], 6)).withColumn("hit", F.col("label").cast("int"))
 
 
-ML_COLUMNS = ["volatility_log_return_20", "return_log_1", "rsi_14", "atr_14_normalized", "parkinson_mean_5", "benchmark_volatility_log_return_20"]
+ML_COLUMNS = [c for c in features.FEATURE_NAMES if c != "zero_volume_flag"]
 
 
 def classified(name, build):
@@ -436,10 +471,8 @@ classified("i5_boosted", boosted)
 def i3(spark, d):
     from pyspark.ml.regression import GBTRegressor
 
-    rows = assigned(spark, d).drop("prediction").where("fold = '2001'").withColumn("label", F.log1p("primary"))
-    rows = fitted.ml_rows(rows, ML_COLUMNS)
-    fit = GBTRegressor(maxIter=10, maxDepth=3, seed=7).fit(rows.where("role = 'train'"))
-    out = fit.transform(rows.where("role = 'evaluation'")).withColumn("guess", F.greatest(F.expm1("prediction"), F.lit(0.0)))
+    rows = fitted.ml_rows(assigned(spark, d).drop("prediction").withColumn("label", F.log1p("primary")), ML_COLUMNS)
+    out = by_fold(rows, GBTRegressor(maxIter=10, maxDepth=3, seed=7).fit).withColumn("guess", F.greatest(F.expm1("prediction"), F.lit(0.0)))
     return stats.regression_metrics(out, "primary", "guess", ["fold"]).select("fold", "n", r("mae", 4), r("rmse", 4))
 
 
@@ -449,9 +482,16 @@ def i16(spark, d):
 
 
 @q("l9_ranking_report", f""", {SPEARMAN}, k AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score DESC, session, ticker) AS rn, count(*) OVER (PARTITION BY fold) AS n0 FROM scored),
-m AS (SELECT fold, count(*) AS n, avg(abs(pred - y)) AS mae, avg(CASE WHEN rn <= ceil(n0 * 0.1) THEN y END) / avg(y) AS lift FROM k GROUP BY fold)
-SELECT fold, n, round(mae, 6) AS mae, round(rho, 6) AS rho, round(lift, 6) AS lift FROM m JOIN rho USING (fold)""")
+m AS (SELECT fold, count(*) AS n, avg(abs(pred - y)) AS mae, sqrt(avg((pred - y) ** 2)) AS rmse, avg(CASE WHEN rn <= ceil(n0 * 0.1) THEN y END) / avg(y) AS lift,
+  avg(CASE WHEN (rn - 1) * 10 // n0 = 0 THEN y END) AS d10, avg(CASE WHEN (rn - 1) * 10 // n0 = 9 THEN y END) AS d1 FROM k GROUP BY fold),
+g AS (SELECT fold, count(*) AS groups, count(*) FILTER (WHERE c >= 30) AS sufficient FROM (SELECT fold, market_regime, count(*) AS c FROM scored GROUP BY 1, 2) GROUP BY fold)
+SELECT fold, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(rho, 6) AS rho, round(lift, 6) AS lift, round(d10, 6) AS top_decile, round(d1, 6) AS bottom_decile,
+  groups, sufficient FROM m JOIN rho USING (fold) JOIN g USING (fold)""")
 def l9(spark, d):
     rows = scored(spark, d)
     out = stats.regression_metrics(rows, "y", "prediction", ["fold"]).join(stats.spearman(rows, "score", "y", ["fold"]), "fold")
-    return out.join(stats.lift(rows, "y", "score", 0.1, ["fold"]).select("fold", "lift"), "fold").select("fold", "n", r("mae"), r("rho"), r("lift"))
+    deciles = stats.assign_deciles(rows, "score", ["fold"])
+    ends = deciles.groupBy("fold").agg(*(F.avg(F.when(F.col("decile") == k, F.col("y"))).alias(n) for k, n in ((10, "top_decile"), (1, "bottom_decile"))))
+    cells = rows.groupBy("fold", "market_regime").agg(F.count("*").alias("c")).groupBy("fold").agg(F.count("*").alias("groups"), F.count_if(F.col("c") >= 30).alias("sufficient"))
+    out = out.join(stats.lift(rows, "y", "score", 0.1, ["fold"]).select("fold", "lift"), "fold").join(ends, "fold").join(cells, "fold")
+    return out.select("fold", "n", *map(r, ("mae", "rmse", "rho", "lift", "top_decile", "bottom_decile")), "groups", "sufficient")

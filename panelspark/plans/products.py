@@ -9,7 +9,7 @@ from panelspark.plans.evaluation import q as scored_query
 from panelspark.plans.events import QUOTES, ZONE
 from panelspark.plans.market import BARS, MACD, ORD, SHIFTED, SIGNAL, SPLIT_SQL, SPLITS, STUDY, cal_of, d4, fir, r, shifted, simple, wind
 from panelspark.plans.registering import ORACLES, query
-from panelspark.plans.texts import FAMILIES, NEWS, VOTES, news, votes
+from panelspark.plans.texts import FAMILIES, NEWS, VOTES, batches, news, votes
 from panelspark.plans.texts import q as news_query
 from panelspark.sources import adapters as A
 from panelspark.sources import parsers
@@ -194,8 +194,8 @@ def a8(spark, d):
     path = work_dir(spark, "a8")
     day = F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     law = F.concat(F.lit("<Law><id>"), F.col("o_orderkey").cast("string"), F.lit("</id><title>t</title><date>"), day, F.lit("</date><content>text</content></Law>"))
-    rows = A.table(spark, d, "orders").groupBy("o_orderpriority").agg(F.concat(F.lit("<Laws>"), F.array_join(F.collect_list(law), "\n"), F.lit("</Laws>")).alias("value"))
-    rows.withColumn("o_orderpriority", F.substring("o_orderpriority", 1, 1)).write.partitionBy("o_orderpriority").text(path)
+    rows = batches(A.table(spark, d, "orders"), "o_orderkey").groupBy("o_orderpriority", "batch").agg(F.concat(F.lit("<Laws>"), F.array_join(F.collect_list(law), "\n"), F.lit("</Laws>")).alias("value"))
+    rows.withColumn("o_orderpriority", F.substring("o_orderpriority", 1, 1)).write.partitionBy("o_orderpriority", "batch").text(path)
     return parsers.read_law_xml(spark, path).select("id", "published_on", "exclusion")
 
 
@@ -233,7 +233,7 @@ def l5(spark, d):
     made = F.array(*(F.struct(F.lit(t).alias("ticker"), F.lit(a).alias("alias")) for t, a in (("the", "erth"), ("and", "onnt"))))
     aliases = spark.range(1).select(F.explode(made).alias("a")).select("a.*")
     pages = A.table(spark, d, "pages").select(F.col("page_id").alias("id"), "url")
-    return products.ingest_news(news(spark, d).join(pages, "id"), aliases)
+    return products.ingest_news(news(spark, d).withColumn("summary", F.col("text")).join(pages, "id"), aliases)
 
 
 @news_query("l6_assemble_items", """, m AS (SELECT *, regexp_matches(title, 'erth|eaon') AS a, regexp_matches(title, 'thth') AS b, regexp_matches(title, 'onon|ndnd') AS c, regexp_matches(title, 'tion|ing') AS p FROM news),
@@ -270,24 +270,29 @@ def l10(spark, d):
 
 @query("l11_holdout_eval")
 def l11(spark, d):
-    """A threshold and a calibrator from the years before, applied to the last year only."""
+    """The calibrator of the first year and the threshold with the best correlation coefficient on the second, both frozen
+    and applied to the last year; with the outcome's separation by what was said."""
     rows = scored(spark, d).select(F.col("fold").cast("int").alias("fold"), "ticker", "session", "p", "hit", "next_abs")
-    out = fitted.prequential_platt(rows, "p", "hit", [1999, 2001]).where("fold = 2001").withColumn("said", (F.col("calibrated") >= 0.2).cast("int"))
-    found = stats.binary_metrics(out.withColumn("score", F.round("calibrated", 6)), "hit", "score", 0.2, ["fold"])
-    return found.select("fold", "n", r("recall"), r("precision"), r("mcc"), r("roc_auc"), r("brier"))
+    models = fitted.prequential_platt(rows, "p", "hit", [1999, 2000]).select("slope", "shift").limit(1)
+    logit = F.ln(F.col("p") / (1 - F.col("p")))
+    told = rows.where("fold > 1999").crossJoin(F.broadcast(models)).withColumn("score", F.round(1 / (1 + F.exp(-(F.col("slope") * logit + F.col("shift")))), 6))
+    table = stats.threshold_table(told.where("fold = 2000"), "hit", "score", ["fold"])
+    threshold = stats.first_by(table, [], [F.desc(F.round("mcc", 9)), F.col("threshold")]).first()["threshold"]
+    out = told.where("fold = 2001").withColumn("said", (F.col("score") >= threshold).cast("int"))
+    found = stats.binary_metrics(out, "hit", "score", threshold, ["fold"]).join(stats.separation(out, "next_abs", "said", ["fold"], 30), "fold")
+    return found.select("fold", F.lit(threshold).alias("threshold"), "n", *map(r, ("recall", "precision", "mcc", "roc_auc", "brier", "mean_high", "mean_normal", "difference")), "status")
 
 
 @query("i6_permutation_importance")
 def i6(spark, d):
-    """How much average precision a ridge score loses when one column is dealt anew by hash, per column."""
-    from pyspark.sql.window import Window
-
-    columns = ["volatility_log_return_20", "rsi_14", "atr_14_normalized"]
-    rows = assigned(spark, d).drop("prediction").where("fold = '2001'").withColumns({"y": F.col("primary"), "hit": (F.col("primary") >= 1.5).cast("int")})
+    """How much average precision a ridge score loses when one column is dealt anew by hash, per fold and column."""
+    columns = ["volatility_log_return_20", "rsi_14", "atr_14_normalized", "parkinson_mean_5", "return_log_1", "benchmark_volatility_log_return_20"]
+    rows = assigned(spark, d).drop("prediction").withColumns({"y": F.col("primary"), "hit": (F.col("primary") >= 1.5).cast("int")})
     models = fitted.fit_ridge(rows.where("role = 'train'"), columns, F.log1p("y"), [10.0], ["fold"])
     held = rows.where("role = 'evaluation'").select("fold", "ticker", "session", "hit", *columns)
-    placed = held.withColumn("at", F.row_number().over(Window.partitionBy("fold").orderBy("session", "ticker")))
-    dealt = held.withColumn("at", F.row_number().over(Window.partitionBy("fold").orderBy(F.xxhash64(F.lit(7), "session", "ticker"), "session", "ticker")))
+    number = lambda rows: stats.positions(rows, ["fold"], "order").withColumn("at", F.col("_r")).drop("_r", "_n", "order")
+    placed = number(held.withColumn("order", F.xxhash64(F.lit(3), "session", "ticker")))
+    dealt = number(held.withColumn("order", F.xxhash64(F.lit(7), "session", "ticker")))
     tried = [placed.withColumn("column", F.lit("none"))]
     for c in columns:
         other = dealt.select("fold", "at", F.col(c).alias("_v"))
@@ -296,13 +301,13 @@ def i6(spark, d):
     for t in tried[1:]:
         every = every.unionByName(t)
     out = fitted.predict_ridge(every, models, columns, ["fold"]).withColumn("score", F.round("prediction", 9))
-    return stats.ranking_metrics(out, "hit", "score", ["column"]).select("column", r("average_precision"), r("roc_auc"))
+    return stats.ranking_metrics(out, "hit", "score", ["fold", "column"]).select("fold", "column", r("average_precision"), r("roc_auc"))
 
 
 @query("f8_rank_importance")
 def f8(spark, d):
-    """Columns by how much average precision falls without them, ties by name."""
-    rows = i6(spark, d)
+    """Columns by how much average precision falls without them, in the mean over folds; ties by name."""
+    rows = i6(spark, d).groupBy("column").agg(F.avg("average_precision").alias("average_precision"))
     base = rows.where("column = 'none'").select(F.col("average_precision").alias("base"))
     drops = rows.where("column <> 'none'").crossJoin(F.broadcast(base))
     return drops.select("column", F.round(F.col("base") - F.col("average_precision"), 6).alias("importance")).orderBy(F.desc("importance"), "column")
@@ -325,7 +330,7 @@ def i8(spark, d):
     from pyspark.ml.functions import vector_to_array
 
     columns = ["volatility_log_return_20", "return_log_1", "rsi_14", "atr_14_normalized"]
-    rows = fitted.ml_rows(assigned(spark, d).withColumn("label", (F.col("primary") >= 1.5).cast("double")).drop("prediction"), columns).persist()
+    rows = fitted.ml_rows(assigned(spark, d).withColumn("label", (F.col("primary") >= 1.5).cast("double")).drop("prediction"), columns)
     model, out = LogisticRegression(weightCol="weight", regParam=1e-3), []
     for fold in ("1999", "2000", "2001"):
         part = rows.where(F.col("fold") == fold)
@@ -356,7 +361,7 @@ def i13(spark, d):
 def i14(spark, d):
     """The alpha with the least mean error over the folds, refitted on all training rows of the last one, as an artifact."""
     columns = [c for c in features.FEATURE_NAMES if c != "zero_volume_flag"]
-    rows = assigned(spark, d).drop("prediction").withColumn("y", F.col("primary")).persist()
+    rows = assigned(spark, d).drop("prediction").withColumn("y", F.col("primary"))
     models = fitted.fit_ridge(rows.where("role = 'train'"), columns, F.log1p("y"), [1.0, 10.0, 100.0], ["fold"])
     tried = fitted.predict_ridge(rows.where("role = 'evaluation'"), models, columns, ["fold"])
     errors = stats.regression_metrics(tried, "y", "prediction", ["fold", "alpha"]).groupBy("alpha").agg(F.avg("mae").alias("mae"))

@@ -2,11 +2,15 @@
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from panelspark.streaming.jobs import work_dir
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+STORED: dict[tuple[str, str, str], str] = {}
 
 # The domain frames that the driver tables stand for, as SQL for the oracles.
 BARS = """px AS (SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(date_trunc('month', l_shipdate) AS DATE) AS session,
@@ -30,3 +34,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return register
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Query) -> DataFrame:
+    """A frame that many queries share: written once per application and input, below the shared folder, and read by all
+    of them; written anew where the folder has been cleared."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in STORED:
+        try:
+            return spark.read.parquet(STORED[key])
+        except AnalysisException:
+            del STORED[key]
+    path = work_dir(spark, name)
+    build(spark, sf_dir).write.parquet(path)
+    STORED[key] = path
+    return spark.read.parquet(path)

@@ -19,6 +19,11 @@ def news(spark, d):
     return A.news(spark, d).withColumnRenamed("doc_id", "id")
 
 
+def batches(rows, key, size=10_000):
+    """Adds ``batch``, a hash bucket; the number of buckets follows that of the rows, so that none outgrows a payload."""
+    return rows.withColumn("batch", F.pmod(F.xxhash64(key), F.lit(rows.count() // size + 1)))
+
+
 def q(name, sql):
     return query(name, f"WITH {NEWS} {sql}")
 
@@ -88,9 +93,9 @@ def h9(spark, d):
     return A.table(spark, d, "labels").select("doc_id", T.row_hash("toxic", "doc_id", "quality").alias("h"))
 
 
-@q("h10_shingles", r"""SELECT id, len(list_distinct(list_transform(range(1, greatest(length(c) - 3, 1)), lambda i: substr(c, i, 5)))) AS n FROM (SELECT id, regexp_replace(title, '\s+', '', 'g') AS c FROM news)""")
+@q("h10_shingles", r"""SELECT id, len(list_distinct(list_transform(range(1, greatest(length(c) - 3, 1)), lambda i: substr(c, i, 5)))) AS n FROM (SELECT id, regexp_replace(text, '\s+', '', 'g') AS c FROM news)""")
 def h10(spark, d):
-    return news(spark, d).select("id", F.size(T.shingles(F.col("title"), 5)).cast("long").alias("n"))
+    return news(spark, d).select("id", F.size(T.shingles(F.col("text"), 5)).cast("long").alias("n"))
 
 
 @q("h12_lexicon_sentiment", """, s AS (SELECT id, (length(summary) - length(replace(summary, 'tion', ''))) / 4 AS p0, (length(summary) - length(replace(summary, 'ertion', ''))) / 6 AS p1,
@@ -208,13 +213,12 @@ def c2(spark, d):
 
 
 @q("c14_near_dup_pairs", r""", s AS (SELECT id, list_distinct(list_transform(range(1, greatest(length(c) - 3, 1)), lambda i: substr(c, i, 5))) AS s
-  FROM (SELECT id, regexp_replace(title, '\s+', '', 'g') AS c FROM news)), g AS (SELECT id, unnest(s) AS g FROM s WHERE len(s) > 0),
-r AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1), p AS (SELECT DISTINCT a.id AS l, b.id AS r FROM g a JOIN g b USING (g) JOIN r USING (g) WHERE a.id < b.id),
-j AS (SELECT l, p.r, len(list_intersect(a.s, b.s)) AS i, len(a.s) AS m, len(b.s) AS n FROM p JOIN s a ON a.id = l JOIN s b ON b.id = p.r)
+  FROM (SELECT id, regexp_replace(text, '\s+', '', 'g') AS c FROM news)), g AS (SELECT id, split, unnest(s) AS g FROM s JOIN news USING (id)),
+p AS (SELECT a.id AS l, b.id AS r, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.id < b.id AND a.split <> b.split GROUP BY 1, 2),
+j AS (SELECT l, p.r, i, len(a.s) AS m, len(b.s) AS n FROM p JOIN s a ON a.id = l JOIN s b ON b.id = p.r)
 SELECT l AS "left", r AS "right", round(i / (m + n - i), 6) AS jaccard FROM j WHERE i / (m + n - i) >= 0.7 AND i < m + n - i""")
 def c14(spark, d):
-    rows = news(spark, d).select("id", F.col("title").alias("text"))
-    return N.near_dup_pairs(rows).select("left", "right", r("jaccard"))
+    return N.near_dup_pairs(news(spark, d), apart="split").select("left", "right", r("jaccard"))
 
 
 @query("c13_fuzzy_dups")
@@ -223,13 +227,14 @@ def c13(spark, d):
 
 
 @q("c20_match_entities", """, a(ticker, alias) AS (VALUES ('the', 'erth'), ('and', 'onnt'), ('of', 'ingre')), m AS (SELECT id, ticker,
-  CASE WHEN regexp_matches(title, '(^|[^A-Za-z0-9])' || ticker || '($|[^A-Za-z0-9])') THEN 0.95 WHEN contains(title, alias) THEN 0.9
-  WHEN regexp_matches(summary, '(^|[^A-Za-z0-9])' || ticker || '($|[^A-Za-z0-9])') THEN 0.75 WHEN contains(summary, alias) THEN 0.65 END AS score FROM news, a)
-SELECT id, ticker, score FROM m WHERE score IS NOT NULL""")
+  CASE WHEN id % 50 = 0 AND ticker = 'and' THEN 1.0 WHEN regexp_matches(title, '(^|[^A-Za-z0-9])' || ticker || '($|[^A-Za-z0-9])') THEN 0.95 WHEN contains(title, alias) THEN 0.9
+  WHEN regexp_matches(text, '(^|[^A-Za-z0-9])' || ticker || '($|[^A-Za-z0-9])') THEN 0.75 WHEN contains(text, alias) THEN 0.65 END AS score FROM news, a)
+SELECT id, ticker, CAST(score AS DOUBLE) AS score FROM m WHERE score IS NOT NULL""")
 def c20(spark, d):
     made = F.array(*(F.struct(F.lit(t).alias("ticker"), F.lit(a).alias("alias")) for t, a in (("the", "erth"), ("and", "onnt"), ("of", "ingre"))))
     aliases = spark.range(1).select(F.explode(made).alias("a")).select("a.*")
-    return N.match_entities(news(spark, d), aliases).select("id", "ticker", "score")
+    rows = news(spark, d).withColumns({"summary": F.col("text"), "own": F.when(F.col("id") % 50 == 0, F.array(F.lit("and"))).otherwise(F.array().cast("array<string>"))})
+    return N.match_entities(rows, aliases, "own").select("id", "ticker", "score")
 
 
 @query("c15_compare_panels", f"""WITH {BARS}, a AS (SELECT * FROM bars WHERE ticker <> '5'), b AS (SELECT ticker, session, close + CASE WHEN volume % 4 = 0 THEN 0.5 ELSE 0 END AS close, volume FROM bars WHERE ticker <> '7'),
@@ -388,7 +393,7 @@ def a5(spark, d):
     item = F.create_map(*(x for k, v in {
         " ticker": (F.col("id") % 100).cast("string"), "date ": F.date_format("published_at", "yyyy-MM-dd"), "time": F.date_format("published_at", "HH:mm:ss"),
         "title": F.concat_ws(" ", F.col("id").cast("string"), "source"), "body": F.col("summary")}.items() for x in (F.lit(k), v)))
-    packed = news(spark, d).groupBy("source").agg(F.to_json(F.collect_list(item)).alias("payload"))
+    packed = batches(news(spark, d), "id").groupBy("source", "batch").agg(F.to_json(F.collect_list(item)).alias("payload"))
     return parsers.parse_announcements_json(packed).select("ticker", "external_id", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
@@ -399,7 +404,7 @@ def a7(spark, d):
     item = F.concat(F.lit("<item><title>n"), F.col("id").cast("string"), F.lit("</title><link>http://x.example/"), F.col("id").cast("string"), F.lit("</link><pubDate>"),
                     F.when(F.col("id") % 2 == 0, iso).otherwise(mail), F.lit("</pubDate></item>"))
     feed = F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), "\n"), F.lit("</channel></rss>"))
-    news(spark, d).groupBy("source").agg(feed.alias("value")).write.partitionBy("source").text(path)
+    batches(news(spark, d), "id").groupBy("source", "batch").agg(feed.alias("value")).write.partitionBy("source", "batch").text(path)
     return parsers.parse_rss(spark, path).select("title", "link", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from panelspark.sources.sinks import ids_digest
+
 
 def work_dir(spark: SparkSession, tag: str) -> str:
     """A fresh folder below the shared one (``spark.checkpoint.dir``), else below the warehouse."""
@@ -81,9 +83,6 @@ def sessions_of(rows: DataFrame, gap: str = "6 hours", delay: str = "1 day") ->
 
 def run_manifest(versions: DataFrame) -> DataFrame:
     """Per type: rows, first and last time, and a digest that does not depend on order."""
-    digest = F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256)
-    buckets = versions.groupBy("event_type", F.pmod("event_id", F.lit(64)).alias("b")).agg(
-        F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"),
-        F.sha2(F.array_join(F.sort_array(F.collect_list(F.col("event_id").cast("string"))), ","), 256).alias("h"),
+    return versions.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), ids_digest(F.col("event_id")).alias("digest")
     )
-    return buckets.groupBy("event_type").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), digest.alias("digest"))
