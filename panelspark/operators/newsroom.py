@@ -29,21 +29,22 @@ def split_leakage(df: DataFrame, key: str) -> DataFrame:
 def near_dup_pairs(df: DataFrame, k: int = 5, least: float = 0.7, apart: str | None = None) -> DataFrame:
     """Pairs of different texts with a shingle Jaccard of ``least``, only those with different values of ``apart`` if it is
     given. Partners share ``least`` of either set, hence one of each set's rarest shingles, as many as may be missing and
-    one more: only these are joined, and only where what stands behind the first common one can still suffice. The measure
-    is on whole sets."""
+    one more: only these are joined. All that two sets share up to the earlier end of the two is counted there, so a pair
+    goes on only if that count and what stands behind could suffice. The measure is on whole sets."""
     sets = df.withColumn("s", T.shingles(F.col("text"), k)).where(F.size("s") > 0)
     side = F.col(apart) if apart else F.lit(0)
     posts = sets.select("id", side.alias("side"), F.size("s").alias("m"), F.explode(F.transform("s", lambda s: F.xxhash64(s))).alias("g"))
     counts = posts.groupBy("g").agg(F.count("*").alias("n"))
     rarest = Window.partitionBy("id").orderBy("n", "g")
     held = posts.join(counts, "g").withColumn("r", F.row_number().over(rarest))
-    held = held.where((F.col("r") <= F.col("m") - F.ceil(F.col("m") * least - 1e-9) + 1) & (F.col("n") > 1))
+    behind = F.ceil(F.col("m") * least - 1e-9) - 1
+    held = held.withColumn("rest", behind).where((F.col("r") <= F.col("m") - behind) & (F.col("n") > 1))
     near = F.least("a.m", "b.m") >= F.greatest("a.m", "b.m") * least - 1e-9
-    rest = F.least(F.col("a.m") - F.col("a.r"), F.col("b.m") - F.col("b.r")) + 1
-    enough = rest * (1 + least) >= (F.col("a.m") + F.col("b.m")) * least - 1e-9
-    met = (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")) & near & enough
+    met = (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")) & near
     pairs = held.alias("a").join(held.alias("b"), met & (F.col("a.side") != F.col("b.side")) if apart else met)
-    pairs = pairs.select(F.col("a.id").alias("left"), F.col("b.id").alias("right")).distinct()
+    pairs = pairs.groupBy(F.col("a.id").alias("left"), F.col("b.id").alias("right")).agg(
+        F.count("*").alias("c"), F.first(F.greatest("a.rest", "b.rest")).alias("rest"), F.first(F.col("a.m") + F.col("b.m")).alias("both"))
+    pairs = pairs.where((F.col("c") + F.col("rest")) * (1 + least) >= F.col("both") * least - 1e-9).select("left", "right")
     both = pairs.join(sets.select(F.col("id").alias("left"), F.col("s").alias("x")), "left").join(sets.select(F.col("id").alias("right"), F.col("s").alias("y")), "right")
     inter = F.size(F.array_intersect("x", "y"))
     out = both.withColumn("jaccard", inter / (F.size("x") + F.size("y") - inter))

@@ -213,12 +213,13 @@ def c2(spark, d):
 
 
 @q("c14_near_dup_pairs", r""", s AS (SELECT id, list_distinct(list_transform(range(1, greatest(length(c) - 3, 1)), lambda i: substr(c, i, 5))) AS s
-  FROM (SELECT id, regexp_replace(text, '\s+', '', 'g') AS c FROM news)), g AS (SELECT id, split, unnest(s) AS g FROM s JOIN news USING (id)),
+  FROM (SELECT id, regexp_replace(title, '\s+', '', 'g') AS c FROM news)), g AS (SELECT id, split, unnest(s) AS g FROM s JOIN news USING (id)),
 p AS (SELECT a.id AS l, b.id AS r, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.id < b.id AND a.split <> b.split GROUP BY 1, 2),
 j AS (SELECT l, p.r, i, len(a.s) AS m, len(b.s) AS n FROM p JOIN s a ON a.id = l JOIN s b ON b.id = p.r)
 SELECT l AS "left", r AS "right", round(i / (m + n - i), 6) AS jaccard FROM j WHERE i / (m + n - i) >= 0.7 AND i < m + n - i""")
 def c14(spark, d):
-    return N.near_dup_pairs(news(spark, d), apart="split").select("left", "right", r("jaccard"))
+    rows = news(spark, d).select("id", "split", F.col("title").alias("text"))
+    return N.near_dup_pairs(rows, apart="split").select("left", "right", r("jaccard"))
 
 
 @query("c13_fuzzy_dups")
