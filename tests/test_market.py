@@ -205,3 +205,25 @@ def test_near_dup_pairs_of_widely_held_shingles(spark):
             if 0.7 <= len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 1}
     got = newsroom.near_dup_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()
     assert len(want) > 7000 and {(r["left"], r["right"]) for r in got} == want and len(got) == len(want)
+
+
+def test_positions_and_average_ranks(spark):
+    rng = np.random.default_rng(3)
+    values = [None, float("nan"), -2.5, 0.0, *rng.normal(0, 3, 200).round(1).tolist(), 1e12, -1e-9, *[0.5] * 40]
+    rows = [("g", v, float(i % 7), i, str(i)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "fold string, score double, y double, session int, ticker string")
+    got = {r["ticker"]: (r["_r"], r["_n"]) for r in stats.positions(df, ["fold"], "score").collect()}
+    key = lambda r: (math.inf if r[1] is None else -math.inf if math.isnan(r[1]) else -r[1] if r[1] != 1e12 else -1e12, r[3])
+    assert got == {r[4]: (n, len(rows)) for n, r in enumerate(sorted(rows, key=key), 1)}
+    plain = df.where("score IS NOT NULL AND NOT isnan(score)").toPandas()
+    want = np.corrcoef(plain["score"].rank(), plain["y"].rank())[0, 1]
+    assert math.isclose(stats.spearman(df.where("score IS NOT NULL AND NOT isnan(score)"), "score", "y", ["fold"]).first()["rho"], want, rel_tol=1e-9)
+
+
+def test_match_entities_by_keys(spark):
+    news = spark.createDataFrame([(1, "2330 up", "x", None), (2, "a12330b", "see 2330.", []), (3, "\u53f0\u7a4d\u96fb rises", None, None), (4, None, "", ["2330", "none"])],
+                                 "id int, title string, summary string, own array<string>")
+    aliases = spark.createDataFrame([("2330", "\u53f0\u7a4d\u96fb"), ("2330", "tsm"), ("17", "")], "ticker string, alias string")
+    got = {(r["id"], r["ticker"], r["score"]) for r in newsroom.match_entities(news, aliases, "own").collect()}
+    assert got == {(1, "2330", 0.95), (2, "2330", 0.75), (3, "2330", 0.9), (4, "2330", 1.0)}
+    assert newsroom.match_entities(news, aliases.limit(0), "own").count() == 0
