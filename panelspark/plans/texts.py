@@ -10,7 +10,7 @@ from panelspark.sources import adapters as A
 from panelspark.sources import parsers, sinks
 from panelspark.streaming.jobs import work_dir
 
-NEWS = """news AS (SELECT doc_id AS id, substr(text, 1, 80) AS title, substr(text, 1, 500) AS summary, text, lang, source,
+NEWS = """news AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, substr(text, length(split_part(text, chr(10), 1)) + 2) AS summary, text, lang, source,
   TIMESTAMP '2024-01-01' + doc_id * INTERVAL 7 MINUTE AS published_at,
   CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'validation' ELSE 'test' END AS split FROM documents)"""
 

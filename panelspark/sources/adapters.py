@@ -51,11 +51,13 @@ def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, title, summary, text, lang, source, published_at, split``."""
+    """``doc_id, title, summary, text, lang, source, published_at, split``; the title is the text's first line and the
+    summary all that follows it."""
     minutes = F.make_dt_interval(mins=(F.col("doc_id") * 7).cast("int"))
     part = F.pmod("doc_id", F.lit(10))
+    title = F.substring_index("text", "\n", 1)
     return table(spark, sf_dir, "documents").select(
-        "doc_id", F.substring("text", 1, 80).alias("title"), F.substring("text", 1, 500).alias("summary"), "text", "lang",
+        "doc_id", title.alias("title"), F.substr(F.col("text"), F.length(title) + 2).alias("summary"), "text", "lang",
         "source", (F.lit("2024-01-01").cast("timestamp") + minutes).alias("published_at"),
         F.when(part < 8, "train").when(part == 8, "validation").otherwise("test").alias("split"),
     )
