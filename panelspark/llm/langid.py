@@ -2,7 +2,8 @@
 one-versus-rest kernel ridge regression.
 
 For n = 1, 2, 3 bytes, ``K_n(x, z) = |G_n(x) & G_n(z)| / sqrt(|G_n(x)| |G_n(z)|)`` with the n-grams present in the
-lower-cased texts, over the n-grams that occur in the fitting sample; K is the mean of the three. With landmarks L the
+lower-cased texts, over the n-grams that at least two texts of the fitting sample hold, norms too; K is the mean of the
+three. With landmarks L the
 features are ``K(x, L) K_LL^(-1/2)``, and ridge regression on them gives a score per language. As K(x, L) is linear in
 the presence rows of x, both matrices are multiplied into one weight per n-gram and language beforehand, and a batch
 is scored as a matrix product of its presence rows with these weights.
