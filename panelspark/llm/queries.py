@@ -5,7 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.llm import pieces
 from panelspark.llm.chat import chat_digest, format_chat
+from panelspark.llm.crosstoken import alignments, scored_links
 from panelspark.llm.decontaminate import contamination, is_contaminated
 from panelspark.llm.jaccard import jaccard_components
 from panelspark.llm.langid import language_digest
@@ -74,6 +76,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+    scored = scored_links(alignments(table(spark, sf_dir, "documents"), told=digest))
+    return scored.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256")
+    )
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return pieces.decode(encoded).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(
        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -195,6 +213,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_license_scan": op10_license_scan,
+    "op11_cross_tokenizer": op11_cross_tokenizer,
+    "op12_sentencepiece": op12_sentencepiece,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
