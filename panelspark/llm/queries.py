@@ -14,6 +14,7 @@ from panelspark.llm.langid import language_digest
 from panelspark.llm.licenses import LICENSE_TEXTS, TEMPLATES, license_digest
 from panelspark.llm.linededup import line_digest
 from panelspark.llm.mixing import mix_sources
+from panelspark.llm.periodic import with_runs
 from panelspark.llm.quality import quality_digest
 from panelspark.llm.substring import repeated_passages
 from panelspark.llm.tokencounts import encoded_lengths, length_histogram
@@ -92,6 +93,38 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_planted_period(documents: DataFrame) -> DataFrame:
+    """In one of ten texts, by the id's checksum, all words from some word on repeat the first few of these."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = h % 10 == 0
+    words = F.when(chosen, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    g, n = F.floor(h / 10), F.size("words")
+    a = F.when(n > 0, g % n).cast("int")
+    period = (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int")
+    tail = F.transform(F.sequence(F.col("a"), n - 1), lambda i: F.get("words", F.col("a") + (i - F.col("a")) % F.col("p")))
+    planted = F.array_join(F.concat(F.slice("words", 1, F.col("a")), tail), " ")
+    cut = documents.withColumn("words", words).withColumn("a", a).withColumn("p", period)
+    return cut.withColumn("text", F.when(F.col("a").isNull(), F.col("text")).otherwise(planted)).drop("words", "a", "p")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_runs(with_planted_period(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
+    better = lambda r, best: best.isNull() | (
+        (r["length"] * best["period"] > best["length"] * r["period"])
+        | ((r["length"] * best["period"] == best["length"] * r["period"])
+           & ((r["start"] < best["start"]) | ((r["start"] == best["start"]) & (r["period"] < best["period"]))))
+    )
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    best = F.aggregate("runs", none, lambda best, r: F.when(better(r, best), r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    told = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(
        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -215,6 +248,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
     "op11_cross_tokenizer": op11_cross_tokenizer,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
