@@ -34,7 +34,10 @@ BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 16
 # Units that a worker remembers, and the rows of pair counts up to which that table is broadcast.
-MOST_UNITS = 1 << 19
+MOST_UNITS = 1 << 18
+# New units that are worked out at once, and words that are put together for the one tokenizer.
+AT_ONCE = 1 << 14
+WORDS = 256
 BROADCAST_ROWS = 1_000_000
 # Links of a group up to which its pairs are listed one by one; ids of larger groups are counted first.
 PLAIN_LINKS = 4096
@@ -136,18 +139,19 @@ class Aligner:
         self.index: dict[str, int] = {}
         self.groups: list[str] = []
         self.true = np.zeros(0, bool)
-        self.sizes = self.n_groups = self.a_ids = self.b_ids = self.pairs = self.many = NONE
+        self.pairs = self.sizes = NONE
+        self.n_groups = self.a_ids = self.b_ids = self.many = np.zeros(0, np.int32)
         self.a_upto = self.b_upto = self.pairs_upto = np.zeros(1, np.int64)
 
     def learn(self, units: list[str]) -> None:
         """Adds units to the table: all at once by byte offsets, and those with large groups or foreign bytes singly."""
-        encoded = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        n_a = np.array([len(x) for x in encoded], dtype=np.int64)
-        a = np.fromiter((i for x in encoded for i in x), np.int64, int(n_a.sum()))
-        b, n_b = self.b.encode_inner(units)
-        b = b.astype(np.int64)
+        plain = [len(u) > 1 and u[0] == " " and not u[1].isspace() for u in units]
+        units = [u for u, p in zip(units, plain, strict=True) if p] + [u for u, p in zip(units, plain, strict=True) if not p]
         raw = [u.encode() for u in units]
         size = np.array([len(x) for x in raw], dtype=np.int64)
+        a, n_a = self.encode_a(units, size, sum(plain))
+        b, n_b = self.b.encode_inner(units)
+        b = b.astype(np.int64)
         a_upto, b_upto = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
         unit_a, unit_b = np.repeat(np.arange(len(units)), n_a), np.repeat(np.arange(len(units)), n_b)
         alike = (np.bincount(unit_a, self.a_width[a], len(units)) == size) & (np.bincount(unit_b, self.b.width[b], len(units)) == size)
@@ -168,13 +172,25 @@ class Aligner:
         first = len(self.groups)
         self.index.update(zip(units, range(first, first + len(units)), strict=True))
         self.groups += texts
-        join = np.concatenate
-        self.true, self.sizes, self.n_groups = join([self.true, alike]), join([self.sizes, size]), join([self.n_groups, groups])
-        self.a_ids, self.b_ids = join([self.a_ids, a]), join([self.b_ids, b])
+        join, small = np.concatenate, np.int32
+        self.true, self.sizes = join([self.true, alike]), join([self.sizes, size])
+        self.n_groups = join([self.n_groups, groups.astype(small)])
+        self.a_ids, self.b_ids = join([self.a_ids, a.astype(small)]), join([self.b_ids, b.astype(small)])
         self.a_upto, self.b_upto = join([self.a_upto, self.a_upto[-1] + a_upto[1:]]), join([self.b_upto, self.b_upto[-1] + b_upto[1:]])
-        self.pairs, self.many = join([self.pairs, keys]), join([self.many, many])
+        self.pairs, self.many = join([self.pairs, keys]), join([self.many, many.astype(small)])
         self.pairs_upto = join([self.pairs_upto, self.pairs_upto[-1] + np.cumsum(counts)])
 
+    def encode_a(self, units: list[str], size: np.ndarray, plain: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in a row and their number per unit. The first ``plain`` units are words after a space: these are put
+        together into longer texts, where tokens end between them, and told apart by their bytes."""
+        first = range(0, plain, WORDS)
+        texts = ["".join(units[k : min(k + WORDS, plain)]) for k in first] + units[plain:]
+        ids = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        a = np.fromiter((i for x in ids for i in x), np.int64)
+        joined = sum(map(len, ids[: len(first)]))
+        last = np.searchsorted(np.cumsum(self.a_width[a[:joined]]), np.cumsum(size[:plain]), side="right")
+        return a, np.concatenate([np.diff(last, prepend=0), np.array([len(x) for x in ids[len(first) :]], dtype=np.int64)]).astype(np.int64)
+
     def grouped(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, size: np.ndarray):
         """Of units in a row, each with equal bytes on both sides: their groups as text, numbers of groups, pairs with
         their links, and numbers of pairs."""
@@ -216,7 +232,9 @@ class Aligner:
         try:
             return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
         except KeyError:
-            self.learn([u for u in dict.fromkeys(units) if u not in self.index])
+            new = [u for u in dict.fromkeys(units) if u not in self.index]
+            for first in range(0, len(new), AT_ONCE):
+                self.learn(new[first : first + AT_ONCE])
             return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
 
     def fragments(self, texts: list[str | None], chunk: int) -> Iterator[dict[str, object]]:
@@ -245,7 +263,7 @@ class Aligner:
             yield counts | NOTHING | {
                 "chunk": 0, "n_chunks": 1, "n_groups": int(self.n_groups[own].sum()),
                 "groups": ";".join([self.groups[i] for i in own.tolist()]),
-                "keys": keys[begins], "many": np.add.reduceat(many, begins),
+                "keys": keys[begins], "many": np.add.reduceat(many.astype(np.int64), begins),
             }
 
     def ranges(self, own: np.ndarray, length: int, chunk: int) -> Iterator[dict[str, object]]:

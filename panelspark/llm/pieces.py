@@ -32,7 +32,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # Bounds of what a worker remembers: units with their ids, and compatible pairs.
 MOST_UNITS = 1 << 19
-MOST_PAIRS = 1 << 20
+MOST_PAIRS = 1 << 19
 # Text per output batch.
 PART = 1 << 21
 # A text that only an identity normaliser and byte pieces give back.
@@ -79,7 +79,7 @@ class Vocabulary:
         for p in made:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
-        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in made), "") for p in made}
+        self.prefixes = {p: (p, *(p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in made)) for p in made}
         self.units = self.unit_pattern()
         self.fit: dict[str, dict[str, bool]] = {}
         self.n_fit = 0
@@ -143,26 +143,19 @@ class Vocabulary:
         for end, piece in self.automaton.iter(unit):
             longest[end - len(piece) + 1] = piece
         longest.append("")
-        failed, shorter, none = bytearray(n + 1), self.shorter, {}
+        failed, prefixes, none = bytearray(n + 1), self.prefixes, {}
         out: list[str] = []
         place, piece = 0, longest[0]
         while place < n:
-            if out:
-                last = out[-1]
-                near = self.fit.get(last, none)
-                while piece:
-                    if not failed[place + len(piece)]:
-                        known = near.get(piece)
-                        if known or (known is None and self.fits(last, piece)):
-                            break
-                    piece = shorter.get(piece, "")
-            else:
-                while piece and failed[len(piece)]:
-                    piece = shorter.get(piece, "")
-            if piece:
-                out.append(piece)
-                place += len(piece)
-                piece = longest[place]
+            last = out[-1] if out else None
+            near = self.fit.get(last, none)
+            for shorter in prefixes.get(piece) or (piece,):
+                known = near.get(shorter) if out else True
+                if (known or (known is None and self.fits(last, shorter))) and not failed[place + len(shorter)]:
+                    out.append(shorter)
+                    place += len(shorter)
+                    piece = longest[place]
+                    break
             else:
                 failed[place] = 1
                 if not out:
@@ -172,11 +165,11 @@ class Vocabulary:
         return out
 
     def encode_unit(self, unit: str) -> list[int]:
-        ids: list[int] = []
-        for p in self.split(unit):
-            known = self.id.get(p)
-            ids += [known] if known is not None else [self.byte[b] for b in p.encode()]
-        return ids
+        found = self.split(unit)
+        try:
+            return [self.id[p] for p in found]
+        except KeyError:
+            return [i for p in found for i in ([self.id[p]] if p in self.id else [self.byte[b] for b in p.encode()])]
 
     def units_of(self, text: str) -> list[str]:
         """The units of a text, with the space that the library puts before it."""
