@@ -10,8 +10,10 @@ points are ignored. The state (``LineState``) is two tables:
 
 ``inserted`` and ``deleted`` give the state after a batch of documents: the counts of the batch's keys change, and the
 keys that cross ``min_docs`` upwards are inserted into their shards' filters, those that cross it downwards deleted.
-Other shards' filters stay as they are. A full filter gets another table beside it; lookups ask all of its tables. A
-whole corpus is one insertion into the empty state.
+Other shards' filters stay as they are. A full filter gets another table of the same size beside it; lookups ask all of
+its tables. Because the tables of a shard are of one size, two keys with one fingerprint and one pair of buckets in one
+table have them in all, so whichever of equal fingerprints a deletion takes, those that stay answer for the keys that
+stay. A whole corpus is one insertion into the empty state.
 
 Keys held by a millionth of all (document, key) pairs or more are at most a million, whatever the corpus; they are joined
 apart, so no shard's group grows with one hot line.
@@ -39,6 +41,7 @@ SLOTS = 4
 KICKS = 500
 KEYS_A_SHARD = 1 << 15
 LEAST_SHARDS = 64
+LEAST_BUCKETS = 1 << 8
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -82,14 +85,18 @@ class Cuckoo:
 
     @classmethod
     def build(cls, k1: np.ndarray, k2: np.ndarray) -> "Cuckoo":
-        buckets = 1 << max(4, int(np.ceil(np.log2(max(1, len(k1)) / (SLOTS * 0.8)))))
+        buckets = max(LEAST_BUCKETS, 1 << int(np.ceil(np.log2(max(1, len(k1)) / (SLOTS * 0.8)))))
         while True:
-            filled = cls(np.zeros((buckets, SLOTS), dtype=np.uint16))
+            filled = cls.empty(buckets)
             left = filled.insert_free(k1, k2)
             if all(map(filled.insert, k1[left].tolist(), k2[left].tolist())):
                 return filled
             buckets *= 2
 
+    @classmethod
+    def empty(cls, buckets: int) -> "Cuckoo":
+        return cls(np.zeros((buckets, SLOTS), dtype=np.uint16))
+
     def insert_free(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
         """Puts keys into free slots of their two buckets, all at once; which keys found none."""
         left = np.arange(len(k1))
@@ -159,6 +166,23 @@ class Cuckoo:
         return cls(np.frombuffer(raw, dtype=np.uint16).reshape(-1, SLOTS).copy())
 
 
+def changed_tables(tables: list[Cuckoo], gone: np.ndarray, more: np.ndarray) -> list[Cuckoo]:
+    """A shard's tables without the keys (rows of k1, k2) of ``gone``, which they hold, and with those of ``more``."""
+    for k1, k2 in gone.tolist():
+        any(x.delete(k1, k2) for x in tables)
+    k1, k2 = more[:, 0], more[:, 1]
+    if not tables and len(k1):
+        return [Cuckoo.build(k1, k2)]
+    for table in tables:
+        left = table.insert_free(k1, k2)
+        k1, k2 = k1[left], k2[left]
+    while len(k1):
+        tables = [*tables, Cuckoo.empty(len(tables[0].table))]
+        left = tables[-1].insert_free(k1, k2)
+        k1, k2 = k1[left], k2[left]
+    return tables
+
+
 def reference_counts(keys: DataFrame) -> DataFrame:
     """Exact counts of a batch's ``(doc_id, k1, k2)``; partial aggregation takes hot keys before the shuffle."""
     return keys.groupBy("k1", "k2").agg(
@@ -193,15 +217,8 @@ def _changed(state: LineState, counts: DataFrame, crossed: DataFrame) -> LineSta
         if rows.empty:
             return held[["shard", "bits"]]
         tables = [Cuckoo.from_bytes(x) for x in held["bits"].iloc[0]] if len(held) else []
-        gone, more = rows[~rows["added"]], rows[rows["added"]]
-        for k1, k2 in zip(gone["k1"].tolist(), gone["k2"].tolist(), strict=True):
-            any(x.delete(k1, k2) for x in tables)
-        k1, k2 = more["k1"].to_numpy(), more["k2"].to_numpy()
-        for table in tables:
-            left = table.insert_free(k1, k2)
-            k1, k2 = k1[left], k2[left]
-        if len(k1):
-            tables.append(Cuckoo.build(k1, k2))
+        keys, added = rows[["k1", "k2"]].to_numpy(), rows["added"].to_numpy(dtype=bool)
+        tables = changed_tables(tables, keys[~added], keys[added])
         return pd.DataFrame({"shard": rows["shard"].iloc[:1].to_numpy(), "bits": [[x.to_bytes() for x in tables]]})
 
     keyed = crossed.select("k1", "k2", "added", shard_of(n_shards).alias("shard"))
