@@ -24,7 +24,7 @@ own; equal rows get equal verdicts; a group without spread uses the floors of ``
 """
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,6 +42,7 @@ VECTOR = ["v_word_length", "v_symbols", "v_upper", "v_digits", "v_marks", "v_stu
 FLOORS = np.array([0.10, 0.10, 0.15, 0.20, 0.15, 0.10])  # least standard deviation of each statistic
 P = len(VECTOR)
 SAMPLE, SLICES, TRIALS, KEEP = 512, 16, 200, 3
+MOST_GROUPS = 30_000  # up to which tables of a row per group and start are broadcast
 # Shares are taken as if each text also had this much usual text: short texts vary more, and are no outliers for that.
 PRIOR_CHARS, PRIOR_WORDS = 600, 120
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -264,25 +265,34 @@ def _cuts(binned: DataFrame, share: float, name: str) -> DataFrame:
 
 def estimates(good: DataFrame, share: float, steps: int) -> DataFrame:
     """Per group of at least four documents per statistic: ``_group, _mu, _prec, _logdet`` of least determinant."""
-    large = good.groupBy("_group").agg(F.count("*").alias("_all")).where(F.col("_all") >= 4 * P).select("_group")
-    good = good.join(broadcast_if_small(materialise(large, "groups"), 100_000), "_group", "left_semi")
+    return hinted_estimates(good, share, steps)[0]
+
+
+def hinted_estimates(good: DataFrame, share: float, steps: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The estimates, and the hint for tables of a row per group and start: broadcast if there are few groups.
+
+    A step is one job, in which the cuts are a branch of the plan; its estimates are stored, so no step is worked out
+    twice."""
+    large = materialise(good.groupBy("_group").agg(F.count("*").alias("_all")).where(F.col("_all") >= 4 * P).select("_group"), "groups")
+    hint = F.broadcast if large.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS else lambda rows: rows
+    good = good.join(hint(large), "_group", "left_semi")
     estimate = materialise(_starts(good, share), "mcd0")
     for step in range(1, steps + 1):
-        near = good.join(broadcast_if_small(estimate, 100_000), "_group").withColumn("_bin", _bin(_distance()))
-        cuts = broadcast_if_small(materialise(_cuts(near, share, "_cut"), f"cuts{step}"), 100_000)
-        estimate = materialise(_estimate(near.join(cuts, ["_group", "_start"]).where("_bin <= _cut")), f"mcd{step}")
+        near = good.join(hint(estimate), "_group").withColumn("_bin", _bin(_distance()))
+        kept = near.join(hint(_cuts(near, share, "_cut")), ["_group", "_start"]).where("_bin <= _cut")
+        estimate = materialise(_estimate(kept), f"mcd{step}")
     best = F.min(F.struct("_logdet", "_start", "_mu", "_prec")).alias("b")
-    return estimate.groupBy("_group").agg(best).select("_group", "b.*")
+    return estimate.groupBy("_group").agg(best).select("_group", "b.*"), hint
 
 
 def outlier_distances(vectors: DataFrame, share: float, steps: int) -> DataFrame:
     """``vectors`` with ``_distance``: the scaled squared distance from its group's estimate, null without one."""
     good = vectors.where(~base_failed())
-    estimate = broadcast_if_small(materialise(estimates(good, share, steps), "mcd"), 100_000)
-    near = good.join(estimate, "_group").withColumn("_bin", _bin(_distance()))
-    median = broadcast_if_small(materialise(_cuts(near, 0.5, "_mid"), "mid").drop("_start"), 100_000)
+    estimate, hint = hinted_estimates(good, share, steps)
+    near = good.join(hint(estimate), "_group").withColumn("_bin", _bin(_distance()))
+    scaled = materialise(estimate.join(hint(_cuts(near, 0.5, "_mid").drop("_start")), "_group"), "mcd")
     scale = F.lit(chi2_beyond(0.5, P)) / (F.pow(F.lit(2.0), (F.col("_mid") + 1) / F.lit(64.0)) - 1)
-    out = vectors.join(estimate, "_group", "left").join(median, "_group", "left")
+    out = vectors.join(hint(scaled), "_group", "left")
     return out.withColumn("_distance", F.round(_distance() * scale, 6)).drop("_mu", "_prec", "_start", "_logdet", "_mid")
 
 
