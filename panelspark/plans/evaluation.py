@@ -1,15 +1,17 @@
 """Queries over scored study rows: folds, metrics, rankings, thresholds, comparisons, fits and bootstrap."""
 
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions import aggregates as G
-from panelspark.operators import calendars, features, fitted, stats
+from panelspark.operators import calendars, features, fitted, nested, stats
 from panelspark.plans.market import STUDY, cal_of, r
-from panelspark.plans.registering import query, stored
+from panelspark.plans.registering import query, stored, written
 from panelspark.sources import adapters as A
+from panelspark.streaming.jobs import work_dir
 
 YEARS = range(1999, 2002)
 FOLDS_SQL = """folds(fold, train_start, train_end, evaluation_start, evaluation_end) AS (VALUES
@@ -360,23 +362,76 @@ def i2(spark, d):
 ALPHAS = [0.1, 1.0, 10.0, 100.0]
 
 
+NESTED_FOLDS = [nested.Fold(str(y), date(y, 1, 1), date(y, 12, 31)) for y in (2000, 2001)]
+NESTED_START = date(1997, 1, 1)
+
+
+def nested_rows(spark, d):
+    return study(spark, d).withColumns({"y": F.col("primary"), "naive": F.col("prediction")}).drop("prediction")
+
+
+def nested_study(spark, d, settings, columns):
+    """The last three half-years before each fold are its inner periods; the study has too few years for whole ones."""
+    store = lambda df, name: written(df, work_dir(spark, name))
+    rows = nested_rows(spark, d)
+    return nested.nested_evaluation(rows, NESTED_FOLDS, settings, columns, NESTED_START, store, blocks=3, months=6)
+
+
+def nested_metrics(spark, d, settings):
+    columns = [c for c in features.FEATURE_NAMES if c != "zero_volume_flag"]
+    found = nested_study(spark, d, settings, columns).metrics
+    return found.select("fold", "model", "params", "n", r("mae"), r("rmse"), r("r2"), r("rho"), "constant")
+
+
+NAIVE = nested.Setting("naive", "", 0)
+
+
 @query("i7_nested_ridge")
 def i7(spark, d):
-    """All features, every fold and alpha from one pass of cross products per fold; the alpha with the best rank
-    correlation on the year before the evaluation year is taken."""
-    rows = assigned(spark, d).drop("prediction").withColumn("y", F.col("primary"))
-    columns = [c for c in features.FEATURE_NAMES if c != "zero_volume_flag"]
-    train = rows.where("role = 'train'")
-    inner_year = F.year("session") == F.col("fold").cast("int") - 1
-    early = fitted.fit_ridge(train.where(~inner_year), columns, F.log1p("y"), ALPHAS, ["fold"])
-    tried = fitted.predict_ridge(train.where(inner_year), early, columns, ["fold"]).withColumn("score", F.round("prediction", 9))
-    evidence = stats.spearman(tried, "score", "y", ["fold", "alpha"]).join(stats.regression_metrics(tried, "y", "prediction", ["fold", "alpha"]), ["fold", "alpha"])
-    evidence = evidence.select("fold", "alpha", F.col("rho").alias("mean_rho"), "mae", F.col("rho").alias("worst_rho"), F.lit(1).alias("complexity"), F.col("alpha").cast("string").alias("params"))
-    chosen = stats.select_params(evidence, ["fold"]).select("fold", "alpha")
-    final = fitted.fit_ridge(train, columns, F.log1p("y"), ALPHAS, ["fold"]).join(chosen, ["fold", "alpha"])
-    out = fitted.predict_ridge(rows.where("role = 'evaluation'"), final, columns, ["fold"]).withColumn("score", F.round("prediction", 9))
-    metrics = stats.regression_metrics(out, "y", "prediction", ["fold", "alpha"]).join(stats.spearman(out, "score", "y", ["fold"]), "fold")
-    return metrics.select("fold", "alpha", "n", r("mae"), r("rmse"), r("r2"), r("rho"))
+    """The persistence forecast and ridge on all features: settings chosen inside, metrics of the outer rows."""
+    return nested_metrics(spark, d, [NAIVE, *nested.ridge_settings(ALPHAS)])
+
+
+@query("i7_nested_models")
+def i7_models(spark, d):
+    """With boosted trees of two depths beside them."""
+    trees = [nested.boosted_setting(ML_COLUMNS, 10, depth, 20, 0.1) for depth in (2, 3)]
+    return nested_metrics(spark, d, [NAIVE, *nested.ridge_settings(ALPHAS), *trees])
+
+
+NESTED_SQL = f"""WITH {STUDY}, outers(fold, s, e) AS (VALUES ('2000', DATE '2000-01-01', DATE '2000-12-31'), ('2001', DATE '2001-01-01', DATE '2001-12-31')),
+inners AS (SELECT fold, CAST(o.s - to_months(6 * k) AS DATE) AS s, CAST(o.s - to_months(6 * (k - 1)) - INTERVAL 1 DAY AS DATE) AS e FROM outers o, range(1, 4) t(k)),
+periods AS (SELECT s, e FROM outers UNION SELECT s, e FROM inners),
+rows0 AS (SELECT *, primary_target AS y, abs(r1) / greatest(v20, 1e-8) AS naive, ln(1 + primary_target) AS t FROM study WHERE session >= DATE '1997-01-01' AND primary_target IS NOT NULL),
+z AS (SELECT s, count(*) AS n, avg(v20) AS m1, stddev_pop(v20) AS s1, avg(rsi) AS m2, stddev_pop(rsi) AS s2, avg(t) AS t0,
+  corr(v20, rsi) AS rho, covar_pop(v20, t) AS c1, covar_pop(rsi, t) AS c2 FROM (SELECT DISTINCT s FROM periods), rows0 WHERE next_session < s GROUP BY s),
+b AS (SELECT *, ((n + al) * n * c1 / s1 - n * rho * n * c2 / s2) / ((n + al) ** 2 - (n * rho) ** 2) / s1 AS w1,
+  ((n + al) * n * c2 / s2 - n * rho * n * c1 / s1) / ((n + al) ** 2 - (n * rho) ** 2) / s2 AS w2 FROM z, (VALUES (0.1), (1.0), (10.0), (100.0)) a(al)),
+said AS (SELECT p.s, p.e, 'naive' AS model, '' AS params, 0.0 AS complexity, ticker, session, next_session, y, round(greatest(naive, 0), 12) AS prediction
+    FROM rows0 JOIN periods p ON session BETWEEN p.s AND p.e
+  UNION ALL SELECT p.s, p.e, 'ridge', 'alpha=' || CAST(CAST(al AS DOUBLE) AS VARCHAR), -al, ticker, session, next_session, y,
+    round(greatest(exp(t0 - w1 * m1 - w2 * m2 + w1 * v20 + w2 * rsi) - 1, 0), 12) FROM rows0 JOIN periods p ON session BETWEEN p.s AND p.e JOIN b ON b.s = p.s),
+rk AS (SELECT *, rank() OVER (PARTITION BY s, e, model, params ORDER BY prediction) + (count(*) OVER (PARTITION BY s, e, model, params, prediction) - 1) / 2 AS ra,
+  rank() OVER (PARTITION BY s, e, model, params ORDER BY y) + (count(*) OVER (PARTITION BY s, e, model, params, y) - 1) / 2 AS rb FROM said),
+sc AS (SELECT s, e, model, params, any_value(complexity) AS complexity, corr(ra, rb) AS rho, avg(abs(prediction - y)) AS mae FROM rk GROUP BY 1, 2, 3, 4),
+ev AS (SELECT fold, model, params, any_value(complexity) AS complexity, avg(rho) AS mean_rho, avg(mae) AS mae, min(rho) AS worst_rho FROM sc JOIN inners USING (s, e) GROUP BY 1, 2, 3),
+ch AS (SELECT *, row_number() OVER (PARTITION BY fold, model ORDER BY round(mean_rho, 9) DESC, round(mae, 9), round(worst_rho, 9) DESC, complexity, params) AS k FROM ev)"""
+
+
+@query("i7_nested_oof", f"""{NESTED_SQL} SELECT fold, model, params, ticker, session, next_session, round(y, 6) AS y, round(prediction, 6) AS prediction
+  FROM ch JOIN outers USING (fold) JOIN said USING (s, e, model, params) WHERE k = 1""")
+def i7_oof(spark, d):
+    """The outer rows of the protocol with two features, for which the ridge has a closed form."""
+    found = nested_study(spark, d, [NAIVE, *nested.ridge_settings(ALPHAS)], RIDGE_COLUMNS).oof
+    return found.select("fold", "model", "params", "ticker", "session", "next_session", r("y"), r("prediction"))
+
+
+@query("i7_nested_evidence", f"""{NESTED_SQL} SELECT fold, model, params, round(mean_rho, 6) AS mean_rho, round(mae, 6) AS mae, round(worst_rho, 6) AS worst_rho, k = 1 AS chosen FROM ch""")
+def i7_evidence(spark, d):
+    found = nested_study(spark, d, [NAIVE, *nested.ridge_settings(ALPHAS)], RIDGE_COLUMNS)
+    chosen = found.metrics.select("fold", "model", "params", F.lit(True).alias("chosen"))
+    rows = found.evidence.join(F.broadcast(chosen), ["fold", "model", "params"], "left")
+    return rows.select("fold", "model", "params", r("mean_rho"), r("mae"), r("worst_rho"), F.coalesce("chosen", F.lit(False)).alias("chosen"))
 
 
 @query("i9_prequential_platt")

@@ -49,3 +49,9 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Query) -> DataFra
     build(spark, sf_dir).write.parquet(path)
     STORED[key] = path
     return spark.read.parquet(path)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to a fresh folder and read back: worked out once, and its lineage ends there."""
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
