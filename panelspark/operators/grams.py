@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 # Memory that a task may spend on partial matrices before it hands them on.
 MOST_BYTES = 1 << 26
+AT_ONCE = 2048
 BLOCK = "block long, i int, row array<double>"
 
 
@@ -26,12 +27,35 @@ def quarter(day: Column) -> Column:
     return (F.year(day) * 4 + F.quarter(day) - 1).cast("long")
 
 
-def gram_blocks(df: DataFrame, features: list[Column], target: Column, block: Column) -> DataFrame:
-    """``block, i, row``: row ``i`` of the Gram matrix of ``[1, features..., target]`` over the rows of each block.
-    Features are numbers or arrays of numbers, of one length each."""
+def gram_blocks(
+    df: DataFrame, features: list[Column], targets: Column | list[Column], block: Column, codes: list[tuple[Column, int]] | None = None
+) -> DataFrame:
+    """``block, i, row``: row ``i`` of the Gram matrix of ``[1, features..., one-hot codes..., targets...]`` over the rows
+    of each block. Features are numbers or arrays of numbers, of one length each. ``codes`` are categories numbered from
+    0 on with how many there are; they are spread to one-hot columns inside the task, and null has none."""
+    targets = targets if isinstance(targets, list) else [targets]
+    codes = codes or []
     arrays = [F.array(f.cast("double")) if not is_array(df, f) else f.cast("array<double>") for f in features]
-    vector = F.concat(F.array(F.lit(1.0)), *arrays, F.array(target.cast("double")))
-    rows = df.select(block.cast("long").alias("block"), vector.alias("v")).where("block IS NOT NULL AND v IS NOT NULL")
+    rows = df.select(
+        block.cast("long").alias("block"), F.concat(F.array(F.lit(1.0)), *arrays).alias("v"),
+        F.array(*(F.coalesce(c.cast("int"), F.lit(-1)) for c, _ in codes)).cast("array<int>").alias("c"),
+        F.array(*(t.cast("double") for t in targets)).alias("y"),
+    ).where("block IS NOT NULL AND v IS NOT NULL")
+    levels = [n for _, n in codes]
+
+    def matrix(batch: pa.RecordBatch, name: str, width: int | None = None) -> np.ndarray:
+        flat = batch.column(name).flatten().to_numpy(zero_copy_only=False)
+        return flat.reshape(len(batch), -1 if width is None else width)
+
+    def wide(batch: pa.RecordBatch) -> np.ndarray:
+        parts = [matrix(batch, "v").astype(float)]
+        held = matrix(batch, "c", len(levels))
+        for k, n in enumerate(levels):
+            one = np.zeros((len(batch), n))
+            known = np.flatnonzero((held[:, k] >= 0) & (held[:, k] < n))
+            one[known, held[known, k]] = 1.0
+            parts.append(one)
+        return np.concatenate([*parts, matrix(batch, "y").astype(float)], axis=1)
 
     def told(held: dict[int, np.ndarray]) -> pa.RecordBatch:
         keys = [k for k, m in held.items() for _ in range(len(m))]
@@ -43,19 +67,16 @@ def gram_blocks(df: DataFrame, features: list[Column], target: Column, block: Co
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            if not len(batch):
-                continue
-            lists = batch.column("v")
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
-            x = flat.reshape(len(batch), -1)
-            keys = batch.column("block").to_numpy()
-            sound = np.isfinite(x).all(axis=1)
-            for k in np.unique(keys[sound]).tolist():
-                own = x[sound & (keys == k)]
-                held[k] = own.T @ own + held.get(k, 0.0)
-            if sum(m.nbytes for m in held.values()) > MOST_BYTES:
-                yield told(held)
-                held = {}
+            for first in range(0, len(batch), AT_ONCE):
+                part = batch.slice(first, AT_ONCE)
+                x, keys = wide(part), part.column("block").to_numpy()
+                sound = np.isfinite(x).all(axis=1)
+                for k in np.unique(keys[sound]).tolist():
+                    own = x[sound & (keys == k)]
+                    held[k] = own.T @ own + held.get(k, 0.0)
+                if sum(m.nbytes for m in held.values()) > MOST_BYTES:
+                    yield told(held)
+                    held = {}
         if held:
             yield told(held)
 
@@ -89,17 +110,33 @@ def prefix_grams(blocks: DataFrame, bounds: list[int]) -> DataFrame:
 def ridge_from_grams(grams: DataFrame, alphas: list[float], by: str = "bound") -> DataFrame:
     """``by, alpha, n, intercept, coefficients``: ridge on columns standardised by the population deviation (a constant
     column gets 0), on the raw scale. A task holds one matrix."""
+    everything = ridge_sets(grams, alphas, {"": None}, [""], by)
+    return everything.drop("features", "target")
+
+
+def ridge_sets(grams: DataFrame, alphas: list[float], sets: dict[str, list[int] | None], targets: list[str], by: str = "bound") -> DataFrame:
+    """The same for several sets of columns (numbers from 0 on, None for all) and targets, the last rows of the matrix:
+    ``by, features, target, alpha, n, intercept, coefficients``. Columns outside a set have coefficient 0."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         gram = np.stack(rows.sort_values("i")["row"].to_numpy())
-        solved = [solve_ridge(gram, a) for a in alphas]
-        return pd.DataFrame({
-            by: rows[by].iloc[0], "alpha": alphas, "n": int(round(gram[0, 0])),
-            "intercept": [s[0] for s in solved], "coefficients": [s[1] for s in solved],
-        })
+        p = len(gram) - 1 - len(targets)
+        out = []
+        for name, chosen in sets.items():
+            columns = np.arange(p) if chosen is None else np.array(chosen, dtype=int)
+            for t, target in enumerate(targets):
+                place = np.concatenate([[0], 1 + columns, [1 + p + t]])
+                for a in alphas:
+                    intercept, beta = solve_ridge(gram[np.ix_(place, place)], a)
+                    full = np.zeros(p)
+                    full[columns] = beta
+                    out.append((rows[by].iloc[0], name, target, a, int(round(gram[0, 0])), intercept, full.tolist()))
+        return pd.DataFrame(out, columns=[by, "features", "target", "alpha", "n", "intercept", "coefficients"])
 
     kind = grams.schema[by].dataType.simpleString()
-    return grams.groupBy(by).applyInPandas(solve, f"{by} {kind}, alpha double, n long, intercept double, coefficients array<double>")
+    return grams.groupBy(by).applyInPandas(
+        solve, f"{by} {kind}, features string, target string, alpha double, n long, intercept double, coefficients array<double>"
+    )
 
 
 def solve_ridge(gram: np.ndarray, alpha: float) -> tuple[float, list[float]]:
@@ -114,10 +151,3 @@ def solve_ridge(gram: np.ndarray, alpha: float) -> tuple[float, list[float]]:
     xy = np.where(flat, 0.0, (gram[1 : p + 1, -1] - n * mean * y) / scale)
     beta = np.linalg.solve(z + max(alpha, 1e-12) * np.eye(p), xy) / scale
     return float(y - beta @ mean), beta.tolist()
-
-
-def predicted(features: list[Column], df: DataFrame) -> Column:
-    """The joined ``intercept`` and ``coefficients`` applied to the features, numbers or arrays."""
-    arrays = [F.array(f.cast("double")) if not is_array(df, f) else f.cast("array<double>") for f in features]
-    terms = F.zip_with(F.concat(*arrays), F.col("coefficients"), lambda x, b: x * b)
-    return F.col("intercept") + F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)

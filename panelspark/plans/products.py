@@ -1,14 +1,15 @@
 """Queries over composed products, and over the operators that only they use."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelspark.functions import text as T
-from panelspark.operators import calendars, features, fitted, newsroom, products, reactions, stats, validate
+from panelspark.operators import calendars, features, fitted, newsroom, products, reaction_study, reactions, stats, validate
 from panelspark.plans.evaluation import assigned, scored
 from panelspark.plans.evaluation import q as scored_query
 from panelspark.plans.events import QUOTES, ZONE
 from panelspark.plans.market import BARS, MACD, ORD, SHIFTED, SIGNAL, SPLIT_SQL, SPLITS, STUDY, cal_of, d4, fir, r, shifted, simple, wind
-from panelspark.plans.registering import ORACLES, query
+from panelspark.plans.registering import ORACLES, query, stored, written
 from panelspark.plans.texts import FAMILIES, NEWS, VOTES, batches, news, votes
 from panelspark.plans.texts import q as news_query
 from panelspark.sources import adapters as A
@@ -341,20 +342,71 @@ def i8(spark, d):
     return stats.binary_metrics(scored_rows, "hit", "p", 0.5, ["fold"]).select("fold", "n", r("average_precision", 4), r("mcc", 4), r("brier", 4))
 
 
+STUDY_COLUMNS = reaction_study.Columns(["own_before", "market_before"], ["events", "confidence"], ["ticker", "event_class"], "embedding", ["event_id", "ticker"])
+STUDY_WEEKS = [2, 3, 4]
+
+
+def reaction_rows(spark, d):
+    """Events with a next-session reaction, what both prices did one session before the anchor, how many events share
+    the ticker and session, and the embedding that the event's number falls to. Weeks stand for years."""
+    prices = A.quotes(spark, d)
+    labels = reactions.reaction_labels(A.publications(spark, d), prices, {"next_session": 1}, 0.05, 0.25, ZONE, 13, 30).where("reason IS NULL")
+    bench = prices.groupBy("session").agg(F.avg("price").alias("bench"))
+    change = lambda c, w: F.col(c) / F.nullif(F.lag(c).over(w), F.lit(0.0)) - 1
+    market = bench.select(F.col("session").alias("start_session"), change("bench", Window.orderBy("session")).alias("market_before"))
+    own = prices.select("ticker", F.col("session").alias("start_session"), change("price", Window.partitionBy("ticker").orderBy("session")).alias("own_before"))
+    counts = labels.groupBy("ticker", "effective").agg(F.count("*").cast("double").alias("events"))
+    vectors = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
+    size = vectors.agg((F.max("v") + 1).alias("_size"))
+    rows = labels.join(F.broadcast(market), "start_session").join(own, ["ticker", "start_session"]).join(counts, ["ticker", "effective"])
+    rows = rows.crossJoin(F.broadcast(size)).withColumn("v", F.pmod("event_id", "_size")).join(vectors, "v")
+    week = F.floor(F.datediff("effective", F.lit("2024-01-01").cast("date")) / 7).cast("int")
+    return rows.where("own_before IS NOT NULL AND market_before IS NOT NULL").select(
+        "event_id", "ticker", "event_class", "events", "confidence", "own_before", "market_before", "embedding", week.alias("period"), F.col("abnormal").alias("y"))
+
+
+def reaction_said(spark, d):
+    return stored(spark, d, "reaction_said", lambda s, d: reaction_study.reaction_predictions(
+        written(reaction_rows(s, d), work_dir(s, "reaction_rows")), STUDY_COLUMNS, STUDY_WEEKS))
+
+
 @query("i13_reaction_study")
 def i13(spark, d):
-    """Ridge on one-hot classes and confidence for the size of the reaction, per horizon, on later events."""
-    labels = reactions.reaction_labels(A.publications(spark, d), A.quotes(spark, d), {"next_session": 1, "3d": 3}, 0.05, 0.25, ZONE, 13, 30)
-    kinds = [f"c{i}" for i in range(7)]
-    rows = labels.where("reason IS NULL").select(
-        "horizon", "ticker", F.col("effective").alias("session"), "confidence", F.abs("abnormal").alias("y"),
-        *((F.col("event_class") == k).cast("double").alias(k) for k in kinds[1:]),
-    )
-    cut = F.lit("2024-01-17").cast("date")
-    models = fitted.fit_ridge(rows.where(F.col("session") < cut), ["confidence", *kinds[1:]], F.log1p("y"), [100.0], ["horizon"])
-    out = fitted.predict_ridge(rows.where(F.col("session") >= cut), models, ["confidence", *kinds[1:]], ["horizon"]).withColumn("score", F.round("prediction", 9))
-    return stats.regression_metrics(out, "y", "prediction", ["horizon"]).join(stats.spearman(out, "score", "y", ["horizon"]), "horizon").select(
-        "horizon", "n", r("mae"), r("rmse"), r("rho"))
+    """Three sets of columns, signed reactions and their size, over all folds."""
+    out = reaction_study.aggregate(reaction_said(spark, d))
+    return out.select("features", "target", "n", *(r(c) for c in ("mae", "rmse", "r2", "rho", "top_lift")))
+
+
+@query("i13_increment_gate")
+def i13_gate(spark, d):
+    return reaction_study.increment_gate(reaction_said(spark, d)).select("check", r("found"), r("bound"), "passed")
+
+
+@query("i13_robustness")
+def i13_robustness(spark, d):
+    out = reaction_study.robustness(reaction_said(spark, d), "ticker")
+    return out.select("ticker", "n", *(r(c) for c in ("mae", "rmse", "r2", "rho")))
+
+
+@query("i13_market_only", f"""WITH {QUOTES},
+lq AS (SELECT ticker, session, price, price / nullif(lag(price) OVER (PARTITION BY ticker ORDER BY session), 0) - 1 AS own_before FROM quotes),
+ls AS (SELECT *, bench / nullif(lag(bench) OVER (ORDER BY session), 0) - 1 AS market_before FROM ses),
+rw AS (SELECT e.event_id, date_diff('day', DATE '2024-01-01', e.effective) // 7 AS period, p.own_before AS x1, a.market_before AS x2,
+    q.price / nullif(p.price, 0) - 1 AS raw, z.bench / nullif(a.bench, 0) - 1 AS market FROM eff e JOIN ses z ON z.session = e.effective
+    JOIN ls a ON a.idx = z.idx - 1 JOIN lq p ON p.ticker = e.ticker AND p.session = a.session JOIN quotes q ON q.ticker = e.ticker AND q.session = z.session),
+ok AS (SELECT *, raw - market AS y FROM rw WHERE abs(raw) <= 0.25 AND x1 IS NOT NULL AND x2 IS NOT NULL AND raw - market IS NOT NULL),
+tt AS (SELECT event_id, period, x1, x2, 'signed' AS target, y FROM ok UNION ALL SELECT event_id, period, x1, x2, 'size', abs(y) FROM ok),
+z AS (SELECT f.period, target, count(*) AS n, avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2, avg(y) AS t0, corr(x1, x2) AS rho,
+    covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM (VALUES (2), (3), (4)) f(period) JOIN tt ON tt.period < f.period GROUP BY 1, 2),
+b AS (SELECT *, ((n + 100) * n * c1 / s1 - n * rho * n * c2 / s2) / ((n + 100) ** 2 - (n * rho) ** 2) / s1 AS w1,
+  ((n + 100) * n * c2 / s2 - n * rho * n * c1 / s1) / ((n + 100) ** 2 - (n * rho) ** 2) / s2 AS w2 FROM z),
+sd AS (SELECT t.period, t.target, y, round(t0 - w1 * m1 - w2 * m2 + w1 * x1 + w2 * x2, 12) AS p FROM tt t JOIN b USING (period, target)),
+cu AS (SELECT target, quantile_cont(p, 0.9) AS c FROM sd GROUP BY target)
+SELECT period, target, count(*) AS n, round(avg(abs(p - y)), 6) AS mae, round(sqrt(avg((p - y) ** 2)), 6) AS rmse FROM sd GROUP BY 1, 2""")
+def i13_market(spark, d):
+    """The folds of the set whose ridge has a closed form."""
+    said = reaction_said(spark, d).where("features = 'market_only'")
+    return reaction_study.quality(said, ["period", "target"]).select("period", "target", "n", r("mae"), r("rmse"))
 
 
 @query("i14_freeze_model")
