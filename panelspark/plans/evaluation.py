@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions import aggregates as G
-from panelspark.operators import calendars, features, fitted, nested, stats
+from panelspark.operators import bootstrap, calendars, features, fitted, nested, stats
 from panelspark.plans.market import STUDY, cal_of, r
 from panelspark.plans.registering import query, stored, written
 from panelspark.sources import adapters as A
@@ -455,6 +455,30 @@ def i10(spark, d):
     return stats.cluster_bootstrap(scored(spark, d), "y", "prediction", 200, 7).select("fold", r("mae"), r("low"), r("high"))
 
 
+REPLICATES = 200
+
+
+@q("i10_rank_bootstrap", f""", sz AS (SELECT fold, session, row_number() OVER (PARTITION BY fold ORDER BY session) - 1 AS pos, count(*) OVER (PARTITION BY fold) AS s
+  FROM (SELECT DISTINCT fold, session FROM scored)),
+dr AS (SELECT fold, rep, CAST('0x' || substr(md5('7|' || rep || '|' || fold || '|' || pos), 1, 8) AS BIGINT) % s AS pos FROM sz, range({REPLICATES}) t(rep)),
+w AS (SELECT fold, rep, session, count(*) AS w FROM dr JOIN sz USING (fold, pos) GROUP BY 1, 2, 3),
+dc AS (SELECT *, 10 - (rn - 1) * 10 // n0 AS decile FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score DESC, session, ticker) AS rn, count(*) OVER (PARTITION BY fold) AS n0 FROM scored)),
+x AS (SELECT fold, rep, w, pred, y, decile, sum(w) OVER (PARTITION BY fold, rep ORDER BY score) - sum(w) OVER (PARTITION BY fold, rep, score) / 2 + 0.5 AS a,
+  sum(w) OVER (PARTITION BY fold, rep ORDER BY y) - sum(w) OVER (PARTITION BY fold, rep, y) / 2 + 0.5 AS b,
+  sum(w) OVER (PARTITION BY fold, rep ORDER BY rn ROWS UNBOUNDED PRECEDING) - w AS before, ceil(0.1 * sum(w) OVER (PARTITION BY fold, rep)) AS k FROM dc JOIN w USING (fold, session)),
+f AS (SELECT fold, rep, sum(w * abs(pred - y)) / sum(w) AS mae, sqrt(sum(w * (pred - y) ** 2) / sum(w)) AS rmse,
+  (sum(w * a * b) - sum(w * a) * sum(w * b) / sum(w)) / sqrt((sum(w * a * a) - sum(w * a) ** 2 / sum(w)) * (sum(w * b * b) - sum(w * b) ** 2 / sum(w))) AS rho,
+  sum(y * greatest(least(w, k - before), 0)) / any_value(k) / (sum(w * y) / sum(w)) AS lift FROM x GROUP BY 1, 2),
+m AS (SELECT rep, avg(mae) AS mae, avg(rmse) AS rmse, avg(rho) AS rho, avg(lift) AS lift FROM f GROUP BY rep),
+lg AS (SELECT 'mae' AS name, mae AS v FROM m UNION ALL SELECT 'rmse', rmse FROM m UNION ALL SELECT 'rho', rho FROM m UNION ALL SELECT 'lift', lift FROM m
+  UNION ALL SELECT 'D' || decile, sum(w * y) / sum(w) FROM x GROUP BY rep, decile)
+SELECT name, count(*) AS replicates, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM lg GROUP BY name""")
+def i10_ranks(spark, d):
+    rows = scored(spark, d).select("fold", "session", "ticker", "y", "prediction", "score")
+    out = bootstrap.intervals(*bootstrap.replicates(rows, "y", "prediction", "score", REPLICATES, 7))
+    return out.select("name", "replicates", r("mean"), r("low"), r("high"))
+
+
 @q("i11_ols_hc3", """, g AS (SELECT said, count(*) AS n, avg(next_abs) AS m FROM scored GROUP BY said),
 v AS (SELECT said, sum(((next_abs - m) / (1 - 1.0 / n)) ** 2) / (any_value(n) ** 2) AS v FROM scored JOIN g USING (said) GROUP BY said)
 SELECT 'said' AS term, round((SELECT m FROM g WHERE said = 1) - (SELECT m FROM g WHERE said = 0), 6) AS coefficient, round(sqrt(sum(v)), 6) AS se FROM v""")
