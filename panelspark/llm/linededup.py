@@ -85,7 +85,7 @@ class Cuckoo:
 
     @classmethod
     def build(cls, k1: np.ndarray, k2: np.ndarray) -> "Cuckoo":
-        buckets = max(LEAST_BUCKETS, 1 << int(np.ceil(np.log2(max(1, len(k1)) / (SLOTS * 0.8)))))
+        buckets = 1 << max(int(np.log2(LEAST_BUCKETS)), int(np.ceil(np.log2(max(1, len(k1)) / (SLOTS * 0.8)))))
         while True:
             filled = cls.empty(buckets)
             left = filled.insert_free(k1, k2)

@@ -39,6 +39,13 @@ def test_no_key_is_lost_when_others_go(narrow):
     assert held(tables, stay[1000:]).all() and held(tables, come[:5000]).all()
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 900])
+def test_few_keys_make_a_table(n):
+    keys = some_keys(np.random.default_rng(n), n)
+    tables = changed_tables([], NONE, keys)
+    assert held(tables, keys).all() and not sum(int((t.table > 0).sum()) for t in changed_tables(tables, keys, NONE))
+
+
 def test_tables_are_read_back_as_they_were():
     rng = np.random.default_rng(5)
     tables = changed_tables(changed_tables([], NONE, some_keys(rng, 100)), NONE, some_keys(rng, 9000))
