@@ -1,12 +1,17 @@
 """Operators over news, annotations and snapshots: matching, dedup, votes, agreement, parity and upserts."""
 
+import math
+from difflib import SequenceMatcher
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelspark.functions import text as T
+from panelspark.operators import blockpairs
 
 
 def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -26,41 +31,146 @@ def split_leakage(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count_distinct("split").alias("n_splits")).where("n_splits > 1")
 
 
-def near_dup_pairs(df: DataFrame, k: int = 5, least: float = 0.7, apart: str | None = None) -> DataFrame:
-    """Pairs of different texts with a shingle Jaccard of ``least``, only those with different values of ``apart`` if it is
-    given. Partners share ``least`` of either set, hence one of each set's rarest shingles, as many as may be missing and
-    one more: only these are joined. All that two sets share up to the earlier end of the two is counted there, so a pair
-    goes on only if that count and what stands behind could suffice. The measure is on whole sets."""
-    sets = df.withColumn("s", T.shingles(F.col("text"), k)).where(F.size("s") > 0)
-    side = F.col(apart) if apart else F.lit(0)
-    posts = sets.select("id", side.alias("side"), F.size("s").alias("m"), F.explode(F.transform("s", lambda s: F.xxhash64(s))).alias("g"))
-    counts = posts.groupBy("g").agg(F.count("*").alias("n"))
-    rarest = Window.partitionBy("id").orderBy("n", "g")
-    held = posts.join(counts, "g").withColumn("r", F.row_number().over(rarest))
-    behind = F.ceil(F.col("m") * least - 1e-9) - 1
-    held = held.withColumn("rest", behind).where((F.col("r") <= F.col("m") - behind) & (F.col("n") > 1))
-    near = F.least("a.m", "b.m") >= F.greatest("a.m", "b.m") * least - 1e-9
-    met = (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")) & near
-    pairs = held.alias("a").join(held.alias("b"), met & (F.col("a.side") != F.col("b.side")) if apart else met)
-    pairs = pairs.groupBy(F.col("a.id").alias("left"), F.col("b.id").alias("right")).agg(
-        F.count("*").alias("c"), F.first(F.greatest("a.rest", "b.rest")).alias("rest"), F.first(F.col("a.m") + F.col("b.m")).alias("both"))
-    pairs = pairs.where((F.col("c") + F.col("rest")) * (1 + least) >= F.col("both") * least - 1e-9).select("left", "right")
-    both = pairs.join(sets.select(F.col("id").alias("left"), F.col("s").alias("x")), "left").join(sets.select(F.col("id").alias("right"), F.col("s").alias("y")), "right")
-    inter = F.size(F.array_intersect("x", "y"))
-    out = both.withColumn("jaccard", inter / (F.size("x") + F.size("y") - inter))
-    return out.where((F.col("jaccard") >= least) & (F.col("jaccard") < 1)).select("left", "right", "jaccard")
+AUDIT_CHARS, SET_CHARS, RUN = 4000, 2000, 5
+MAP_BYTES = 512
+
+
+def audit_texts(df: DataFrame, text: str, split: str) -> DataFrame:
+    """A row per distinct normalised text of 20 characters or more: ``id`` (the smallest), ``plain``, ``n_rows``,
+    ``splits`` and their bit ``mask``, and its ``runs``: the distinct runs of five characters among the first 2,000
+    letters and digits. The text itself is cut at 4,000 characters; both cuts belong to the measure."""
+    plain = F.substring(F.trim(F.regexp_replace(T.folded(F.col(text)), r"\s+", " ")), 1, AUDIT_CHARS)
+    rows = df.select("id", F.col(split).alias("split"), plain.alias("plain")).where(F.length("plain") >= 20)
+    marks = {name: 1 << k for k, name in enumerate(("train", "validation", "test"))}
+    bit = F.coalesce(*(F.when(F.col("split") == n, m) for n, m in marks.items()), F.lit(8))
+    classes = rows.groupBy("plain").agg(
+        F.min("id").alias("id"), F.count("*").alias("n_rows"), F.array_sort(F.collect_set("split")).alias("splits"), F.bit_or(bit).alias("mask"))
+    compact = F.substring(F.regexp_replace("plain", "[^0-9a-z\u3400-\u9fff]+", ""), 1, SET_CHARS)
+    return classes.withColumn("runs", run_hashes(compact))
+
+
+@F.pandas_udf("array<bigint>")
+def run_hashes(compact: pd.Series) -> pd.Series:
+    """Hashes of the distinct runs of five characters, sorted; a shorter text is one run, an empty one has none."""
+    step = np.uint64(0x9E3779B97F4A7C15)
+
+    def runs(text):
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        n = max(len(codes) - RUN + 1, min(len(codes), 1))
+        out = np.full(n, len(codes) if len(codes) < RUN else RUN, dtype=np.uint64)
+        for k in range(min(RUN, len(codes))):
+            out = (out ^ codes[k : k + n]) * step
+            out ^= out >> np.uint64(29)
+        return np.unique(out.view(np.int64))
+
+    return compact.map(runs)
+
+
+@F.pandas_udf("binary")
+def bit_map(runs: pd.Series) -> pd.Series:
+    """Which of 4,096 bits the hashes of a set fall to."""
+    def bits(found):
+        flags = np.zeros(8 * MAP_BYTES, dtype=np.uint8)
+        flags[np.asarray(found, dtype=np.int64) & (8 * MAP_BYTES - 1)] = 1
+        return np.packbits(flags).tobytes()
+
+    return runs.map(bits)
+
+
+@F.pandas_udf("binary")
+def character_counts(text: pd.Series) -> pd.Series:
+    """How often characters fall to each of 64 places, as 16-bit numbers."""
+    def counts(t):
+        codes = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
+        return np.minimum(np.bincount(codes % 64, minlength=64), (1 << 15) - 1).astype(np.int16).tobytes()
+
+    return text.map(counts)
+
+
+@F.pandas_udf("double")
+def block_ratio(left: pd.Series, right: pd.Series, least: pd.Series) -> pd.Series:
+    """The ratio of matching blocks, no character set aside for being frequent; null where cheaper bounds show that it is
+    below ``least``."""
+    out = []
+    for a, b, at_least in zip(left, right, least, strict=True):
+        match = SequenceMatcher(None, a, b, autojunk=False)
+        sure = match.real_quick_ratio() >= at_least and match.quick_ratio() >= at_least
+        out.append(match.ratio() if sure else None)
+    return pd.Series(out, dtype=float)
+
+
+def near_dup_pairs(df: DataFrame, least: float = 0.7, text: str = "text", split: str = "split") -> DataFrame:
+    """Pairs of different texts in different splits whose runs of five characters have a Jaccard index of ``least``:
+    ``left, right`` (the smallest ids of the two texts), ``jaccard``, ``a`` and ``b`` (the texts' rows). Equal texts are
+    one text with its splits, and texts of equal runs are one point with its members, so copies make no pairs of points.
+
+    The rows outside the first split are the stated query set, compared with all rows: groups are classes of set size, of
+    which near sets lie in one or in two adjacent ones."""
+    texts = audit_texts(df, text, split)
+    texts = texts.where(F.size("runs") > 0).withColumn("set_id", F.xxhash64("runs"))
+    slim = texts.select("id", "set_id", "mask", F.size("runs").alias("size"), "runs")
+    points = slim.groupBy("set_id").agg(F.min("id").alias("id"), F.bit_or("mask").alias("mask"), F.first("size").alias("size"), F.first("runs").alias("runs"))
+    level = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(least)) + 1e-9).cast("long")
+    points = points.select("set_id", F.col("id"), "mask", "size", bit_map("runs").alias("sig"), level.alias("g"))
+    asked = points.where(F.col("mask") != 1).withColumn("g", F.explode(F.array(F.col("g") - 1, F.col("g"), F.col("g") + 1)))
+    near = blockpairs.near_pairs(asked, points, blockpairs.bitmap_near(least), False)
+    near = near.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct()
+    sets = points.select("id", "set_id")
+    of = lambda side: sets.select(F.col("id").alias(side), F.col("set_id").alias(f"{side}_set"))
+    met = near.join(of("left"), "left").join(of("right"), "right").select("left_set", "right_set")
+    own = texts.groupBy("set_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("set_id").alias("left_set"), F.col("set_id").alias("right_set"))
+    member = lambda side: texts.select(F.col("set_id").alias(f"{side}_set"), F.struct("id", "plain", "splits", "mask", "runs").alias(side))
+    pairs = met.unionByName(own).join(member("left"), "left_set").join(member("right"), "right_set")
+    one_split = (F.col("left.mask") == F.col("right.mask")) & (F.bit_count("left.mask") == 1)
+    pairs = pairs.where(~one_split & ((F.col("left_set") != F.col("right_set")) | (F.col("left.id") < F.col("right.id"))))
+    inter = F.size(F.array_intersect("left.runs", "right.runs"))
+    jaccard = inter / (F.size("left.runs") + F.size("right.runs") - inter)
+    swap = F.col("left.id") > F.col("right.id")
+    slim = lambda c: F.struct(f"{c}.id", f"{c}.plain", f"{c}.splits")
+    first, second = F.when(swap, slim("right")).otherwise(slim("left")), F.when(swap, slim("left")).otherwise(slim("right"))
+    out = pairs.withColumn("jaccard", jaccard).where(F.col("jaccard") >= least).select(first.alias("a"), second.alias("b"), "jaccard")
+    return out.select(F.col("a.id").alias("left"), F.col("b.id").alias("right"), "jaccard", "a", "b")
+
+
+def audit_pairs(df: DataFrame, ratio: float = 0.92, text: str = "text", split: str = "split") -> DataFrame:
+    """The near pairs whose texts' matching blocks make up ``ratio`` of both: ``left, right, jaccard, similarity``, the
+    splits and the texts' hashes."""
+    pairs = near_dup_pairs(df, 0.7, text, split)
+    pairs = pairs.withColumn("similarity", block_ratio("a.plain", "b.plain", F.lit(ratio))).where(F.col("similarity") >= ratio)
+    return pairs.select("left", "right", "jaccard", F.round("similarity", 6).alias("similarity"), F.col("a.splits").alias("left_splits"),
+                        F.col("b.splits").alias("right_splits"), F.sha2("a.plain", 256).alias("left_sha256"), F.sha2("b.plain", 256).alias("right_sha256"))
+
+
+def title_links(news: DataFrame, days: int = 2, least: float = 0.92) -> tuple[DataFrame, DataFrame]:
+    """``classes`` (``class, day, plain, n, ids``: one per day and normalised title; ``class`` is its smallest id) and
+    ``links`` (``a, b, ratio``: classes of at most ``days`` days apart whose titles' matching blocks make up ``least``, each
+    once, equal titles of different days included). Titles without a letter or digit link with nothing.
+
+    Titles are compared in blocks by counts of characters first; only those within the bound reach the matcher. A day's
+    work is the product of its distinct titles and those of the days around it."""
+    rows = news.select("id", T.norm_title(F.col("title")).alias("plain"), F.unix_date(F.to_date("published_at")).cast("long").alias("day"))
+    classes = rows.where("plain <> '' AND day IS NOT NULL").groupBy("day", "plain").agg(
+        F.min("id").alias("class"), F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
+    point = classes.select(F.col("class").alias("id"), F.length("plain").alias("size"), F.lit(0).alias("mask"), character_counts("plain").alias("sig"), "day")
+    near = [blockpairs.near_pairs(point.withColumn("g", F.col("day")), point.withColumn("g", F.col("day")), blockpairs.counts_near(least), True)]
+    for k in range(1, days + 1):
+        near.append(blockpairs.near_pairs(point.withColumn("g", F.col("day") + k), point.withColumn("g", F.col("day")), blockpairs.counts_near(least), False))
+    pairs = reduce(DataFrame.unionByName, near).select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b"))
+    of = lambda side, name: classes.select(F.col("class").alias(side), F.col("plain").alias(name))
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
+    ratio = F.when(F.col("x") == F.col("y"), 1.0).otherwise(block_ratio("x", "y", F.lit(least)))
+    return classes, both.withColumn("ratio", ratio).where(F.col("ratio") >= least).select("a", "b", F.round("ratio", 6).alias("ratio"))
 
 
 def fuzzy_dups(news: DataFrame, days: int = 2, least: float = 0.92) -> DataFrame:
-    """Later items whose title resembles an earlier one's within some days. Items are blocked by day and by the first
-    characters of the normalised title's sorted shingle hashes, then compared exactly."""
-    rows = news.withColumns({"plain": T.norm_title(F.col("title")), "day": F.unix_date(F.to_date("published_at"))})
-    blocks = F.slice(F.array_sort(F.transform(T.shingles(F.col("plain"), 4), lambda s: F.xxhash64(s))), 1, 4)
-    rows = rows.withColumn("block", F.explode(blocks))
-    left = rows.select(F.col("id").alias("a"), F.col("plain").alias("x"), F.explode(F.sequence(F.col("day") - days, F.col("day") + days)).alias("day"), "block")
-    pairs = left.join(rows.select(F.col("id").alias("b"), F.col("plain").alias("y"), "day", "block"), ["day", "block"]).where("b < a")
-    pairs = pairs.dropDuplicates(["a", "b"]).where("4 * least(length(x), length(y)) >= 3 * greatest(length(x), length(y))")
-    return pairs.withColumn("ratio", F.round(T.sim_ratio("x", "y"), 6)).where(F.col("ratio") >= least).select("a", "b", "ratio")
+    """Items whose title resembles that of an item with a smaller id within some days: ``id, duplicate_of`` (the smallest
+    such id), ``class`` and ``n_links`` (classes that its own links with)."""
+    classes, links = title_links(news, days, least)
+    ways = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    best = ways.groupBy(F.col("a").alias("class")).agg(F.min("b").alias("other"), F.count("*").alias("n_links"))
+    rows = classes.join(best, "class", "left").select("class", "other", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.explode("ids").alias("id"))
+    first = F.least("class", F.coalesce("other", F.col("class")))
+    return rows.withColumn("duplicate_of", first).where(F.col("duplicate_of") < F.col("id")).select("id", "duplicate_of", "class", "n_links")
 
 
 def match_keys(fields: list[str], k: int) -> Column:

@@ -80,7 +80,7 @@ def ingest_news(news: DataFrame, aliases: DataFrame) -> DataFrame:
     rows = news.withColumn("url", T.canonical_url(F.col("url")))
     rows = rows.withColumn("h", T.stable_id(F.lower("title"), F.col("url")))
     exact = N.dedup_first(rows, ["h"], ["published_at", "id"])
-    fuzzy = N.fuzzy_dups(exact).select(F.col("a").alias("id")).distinct()
+    fuzzy = N.fuzzy_dups(exact).select("id").distinct()
     first = exact.join(fuzzy, "id", "left_anti")
     counts = [f.agg(F.count("*").alias(n)) for f, n in ((rows, "n_all"), (exact, "n_unique"), (first, "n_kept"))]
     told = counts[0].crossJoin(counts[1]).crossJoin(counts[2]).select(

@@ -212,14 +212,22 @@ def c2(spark, d):
     return rows.join(labels, (labels["doc_id"] == rows["id"]) & (labels["toxic"] == 0), "left").select("id", "quality")
 
 
-@q("c14_near_dup_pairs", r""", s AS (SELECT id, list_distinct(list_transform(range(1, greatest(length(c) - 3, 1)), lambda i: substr(c, i, 5))) AS s
-  FROM (SELECT id, regexp_replace(title, '\s+', '', 'g') AS c FROM news)), g AS (SELECT id, split, unnest(s) AS g FROM s JOIN news USING (id)),
-p AS (SELECT a.id AS l, b.id AS r, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.id < b.id AND a.split <> b.split GROUP BY 1, 2),
-j AS (SELECT l, p.r, i, len(a.s) AS m, len(b.s) AS n FROM p JOIN s a ON a.id = l JOIN s b ON b.id = p.r)
-SELECT l AS "left", r AS "right", round(i / (m + n - i), 6) AS jaccard FROM j WHERE i / (m + n - i) >= 0.7 AND i < m + n - i""")
+@q("c14_near_dup_pairs", r""", t AS (SELECT id, split, left(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')), 4000) AS plain FROM news),
+k AS (SELECT plain, min(id) AS id, list_sort(list(DISTINCT split)) AS splits FROM t WHERE length(plain) >= 20 GROUP BY plain),
+c AS (SELECT id, splits, left(regexp_replace(plain, '[^0-9a-z\x{3400}-\x{9fff}]+', '', 'g'), 2000) AS c FROM k),
+s AS (SELECT id, splits, list_distinct(list_transform(range(1, greatest(length(c) - 3, 2)), lambda i: substr(c, i, 5))) AS s FROM c WHERE c <> ''),
+g AS (SELECT id, splits, len(s) AS m, unnest(s) AS g FROM s),
+p AS (SELECT a.id AS l, b.id AS r, any_value(a.m) AS m, any_value(b.m) AS n, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.id < b.id
+  AND a.m >= 0.7 * b.m AND b.m >= 0.7 * a.m AND NOT (len(a.splits) = 1 AND a.splits = b.splits) GROUP BY 1, 2)
+SELECT l AS "left", r AS "right", round(i / (m + n - i), 6) AS jaccard FROM p WHERE i / (m + n - i) >= 0.7""")
 def c14(spark, d):
-    rows = news(spark, d).select("id", "split", F.col("title").alias("text"))
-    return N.near_dup_pairs(rows, apart="split").select("left", "right", r("jaccard"))
+    return N.near_dup_pairs(news(spark, d)).select("left", "right", r("jaccard"))
+
+
+@query("c14_audit_pairs")
+def c14_audit(spark, d):
+    """With the ratio of matching blocks as the last step."""
+    return N.audit_pairs(news(spark, d)).withColumn("jaccard", r("jaccard"))
 
 
 @query("c13_fuzzy_dups")
