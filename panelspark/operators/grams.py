@@ -101,7 +101,7 @@ def prefix_grams(blocks: DataFrame, bounds: list[int]) -> DataFrame:
         keys, upto = rows["block"].to_numpy(), np.cumsum(np.stack(rows["row"].to_numpy()), axis=0)
         found = [(b, int(n) - 1) for b in bounds if (n := np.searchsorted(keys, b))]
         return pd.DataFrame({
-            "bound": [b for b, _ in found], "i": rows["i"].iloc[0], "row": [upto[n].tolist() for _, n in found],
+            "bound": [b for b, _ in found], "i": [rows["i"].iloc[0]] * len(found), "row": pd.Series([upto[n].tolist() for _, n in found], dtype=object),
         })
 
     return blocks.groupBy("i").applyInPandas(sums, "bound long, i int, row array<double>")

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType
 from pyspark.sql.window import Window
 
 from panelspark.functions import text as T
@@ -31,6 +32,31 @@ def split_leakage(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count_distinct("split").alias("n_splits")).where("n_splits > 1")
 
 
+def near_dup_pairs(df: DataFrame, k: int = 5, least: float = 0.7, apart: str | None = None) -> DataFrame:
+    """Pairs of different texts with a shingle Jaccard of ``least``, only those with different values of ``apart`` if it is
+    given. Partners share ``least`` of either set, hence one of each set's rarest shingles, as many as may be missing and
+    one more: only these are joined. All that two sets share up to the earlier end of the two is counted there, so a pair
+    goes on only if that count and what stands behind could suffice. The measure is on whole sets."""
+    sets = df.withColumn("s", T.shingles(F.col("text"), k)).where(F.size("s") > 0)
+    side = F.col(apart) if apart else F.lit(0)
+    posts = sets.select("id", side.alias("side"), F.size("s").alias("m"), F.explode(F.transform("s", lambda s: F.xxhash64(s))).alias("g"))
+    counts = posts.groupBy("g").agg(F.count("*").alias("n"))
+    rarest = Window.partitionBy("id").orderBy("n", "g")
+    held = posts.join(counts, "g").withColumn("r", F.row_number().over(rarest))
+    behind = F.ceil(F.col("m") * least - 1e-9) - 1
+    held = held.withColumn("rest", behind).where((F.col("r") <= F.col("m") - behind) & (F.col("n") > 1))
+    near = F.least("a.m", "b.m") >= F.greatest("a.m", "b.m") * least - 1e-9
+    met = (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")) & near
+    pairs = held.alias("a").join(held.alias("b"), met & (F.col("a.side") != F.col("b.side")) if apart else met)
+    pairs = pairs.groupBy(F.col("a.id").alias("left"), F.col("b.id").alias("right")).agg(
+        F.count("*").alias("c"), F.first(F.greatest("a.rest", "b.rest")).alias("rest"), F.first(F.col("a.m") + F.col("b.m")).alias("both"))
+    pairs = pairs.where((F.col("c") + F.col("rest")) * (1 + least) >= F.col("both") * least - 1e-9).select("left", "right")
+    both = pairs.join(sets.select(F.col("id").alias("left"), F.col("s").alias("x")), "left").join(sets.select(F.col("id").alias("right"), F.col("s").alias("y")), "right")
+    inter = F.size(F.array_intersect("x", "y"))
+    out = both.withColumn("jaccard", inter / (F.size("x") + F.size("y") - inter))
+    return out.where((F.col("jaccard") >= least) & (F.col("jaccard") < 1)).select("left", "right", "jaccard")
+
+
 AUDIT_CHARS, SET_CHARS, RUN = 4000, 2000, 5
 MAP_BYTES = 512
 
@@ -49,7 +75,7 @@ def audit_texts(df: DataFrame, text: str, split: str) -> DataFrame:
     return classes.withColumn("runs", run_hashes(compact))
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(ArrayType(LongType()))
 def run_hashes(compact: pd.Series) -> pd.Series:
     """Hashes of the distinct runs of five characters, sorted; a shorter text is one run, an empty one has none."""
     step = np.uint64(0x9E3779B97F4A7C15)
@@ -66,7 +92,7 @@ def run_hashes(compact: pd.Series) -> pd.Series:
     return compact.map(runs)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def bit_map(runs: pd.Series) -> pd.Series:
     """Which of 4,096 bits the hashes of a set fall to."""
     def bits(found):
@@ -77,7 +103,7 @@ def bit_map(runs: pd.Series) -> pd.Series:
     return runs.map(bits)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def character_counts(text: pd.Series) -> pd.Series:
     """How often characters fall to each of 64 places, as 16-bit numbers."""
     def counts(t):
@@ -87,7 +113,7 @@ def character_counts(text: pd.Series) -> pd.Series:
     return text.map(counts)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def block_ratio(left: pd.Series, right: pd.Series, least: pd.Series) -> pd.Series:
     """The ratio of matching blocks, no character set aside for being frequent; null where cheaper bounds show that it is
     below ``least``."""
@@ -99,7 +125,7 @@ def block_ratio(left: pd.Series, right: pd.Series, least: pd.Series) -> pd.Serie
     return pd.Series(out, dtype=float)
 
 
-def near_dup_pairs(df: DataFrame, least: float = 0.7, text: str = "text", split: str = "split") -> DataFrame:
+def cross_split_pairs(df: DataFrame, least: float = 0.7, text: str = "text", split: str = "split") -> DataFrame:
     """Pairs of different texts in different splits whose runs of five characters have a Jaccard index of ``least``:
     ``left, right`` (the smallest ids of the two texts), ``jaccard``, ``a`` and ``b`` (the texts' rows). Equal texts are
     one text with its splits, and texts of equal runs are one point with its members, so copies make no pairs of points.
@@ -135,7 +161,7 @@ def near_dup_pairs(df: DataFrame, least: float = 0.7, text: str = "text", split:
 def audit_pairs(df: DataFrame, ratio: float = 0.92, text: str = "text", split: str = "split") -> DataFrame:
     """The near pairs whose texts' matching blocks make up ``ratio`` of both: ``left, right, jaccard, similarity``, the
     splits and the texts' hashes."""
-    pairs = near_dup_pairs(df, 0.7, text, split)
+    pairs = cross_split_pairs(df, 0.7, text, split)
     pairs = pairs.withColumn("similarity", block_ratio("a.plain", "b.plain", F.lit(ratio))).where(F.col("similarity") >= ratio)
     return pairs.select("left", "right", "jaccard", F.round("similarity", 6).alias("similarity"), F.col("a.splits").alias("left_splits"),
                         F.col("b.splits").alias("right_splits"), F.sha2("a.plain", 256).alias("left_sha256"), F.sha2("b.plain", 256).alias("right_sha256"))

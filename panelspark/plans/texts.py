@@ -221,7 +221,7 @@ p AS (SELECT a.id AS l, b.id AS r, any_value(a.m) AS m, any_value(b.m) AS n, cou
   AND a.m >= 0.7 * b.m AND b.m >= 0.7 * a.m AND NOT (len(a.splits) = 1 AND a.splits = b.splits) GROUP BY 1, 2)
 SELECT l AS "left", r AS "right", round(i / (m + n - i), 6) AS jaccard FROM p WHERE i / (m + n - i) >= 0.7""")
 def c14(spark, d):
-    return N.near_dup_pairs(news(spark, d)).select("left", "right", r("jaccard"))
+    return N.cross_split_pairs(news(spark, d)).select("left", "right", r("jaccard"))
 
 
 @query("c14_audit_pairs")
