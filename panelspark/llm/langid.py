@@ -16,7 +16,6 @@ a null text, do not train; without any training rows all texts are ``und``; equa
 language alone is always predicted; empty tables give no rows.
 """
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,6 @@ from pyspark.sql.window import Window
 
 NS = (1, 2, 3)
 UND = "und"
-LETTER = re.compile(r"[^\W\d_]")
 BATCH = 128
 
 
@@ -150,7 +148,7 @@ def predict_language(documents: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             said, sure = [UND] * len(texts), np.zeros(len(texts))
-            asked = [i for i, t in enumerate(texts) if model and t is not None and LETTER.search(t)]
+            asked = [i for i, t in enumerate(texts) if model and t is not None and any(map(str.isalpha, t))]
             for first in range(0, len(asked), BATCH):
                 part = asked[first : first + BATCH]
                 scores = model.scores([texts[i] for i in part], tables)

@@ -265,3 +265,14 @@ def test_op13_on_all_documents(spark):
         assert r.collapsed_sha256 == sha(" ".join(w for i, w in enumerate(words) if i not in dropped))
         with_one += bool(runs)
     assert with_one > 10
+
+
+# ---- 5: which texts have a letter
+
+def test_signs_that_are_no_letters_have_no_language(spark):
+    from panelspark.llm.langid import language_digest
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1, "½ ² Ⅷ 12", "en"), (-2, "_ 3", "en"), (-3, None, "en"), (-4, "½ the", "en")], "doc_id long, text string, lang string")
+    said = {r.doc_id: r.lang_pred for r in language_digest(docs.unionByName(odd)).where("doc_id < 0").collect()}
+    assert said[-1] == said[-2] == said[-3] == "und" and said[-4] != "und"
