@@ -63,13 +63,18 @@ def c21(spark, d):
     return products.persistence_prob(scored(spark, d), "hit").select("ticker", "session", r("persisted"))
 
 
-@scored_query("i15_baseline_report", f"""{PERSISTED} SELECT fold, round(avg((persisted - hit) ** 2), 6) AS brier_persistence, round(avg(((SELECT avg(hit) FROM scored) - hit) ** 2), 6) AS brier_prevalence FROM pr GROUP BY fold""")
+@scored_query("i15_baseline_report", f"""{PERSISTED}, prev AS (SELECT fold, avg(CASE WHEN y >= 1.5 THEN 1 ELSE 0 END) AS prevalence FROM assigned WHERE role = 'train' GROUP BY fold)
+SELECT fold, round(any_value(prevalence), 6) AS prevalence, round(avg((persisted - hit) ** 2), 6) AS brier_persistence, round(avg((prevalence - hit) ** 2), 6) AS brier_prevalence
+FROM pr JOIN prev USING (fold) GROUP BY fold""")
 def i15(spark, d):
+    """The prevalence is that of each fold's training rows, so nothing of the judged rows enters it."""
     rows = products.persistence_prob(scored(spark, d), "hit")
-    mean = rows.agg(F.avg("hit").alias("prevalence"))
-    rows = rows.crossJoin(F.broadcast(mean))
-    return rows.groupBy("fold").agg(F.round(F.avg((F.col("persisted") - F.col("hit")) ** 2), 6).alias("brier_persistence"),
-                                    F.round(F.avg((F.col("prevalence") - F.col("hit")) ** 2), 6).alias("brier_prevalence"))
+    hit = F.when(F.col("primary") >= 1.5, 1).otherwise(0)
+    known = assigned(spark, d).where("role = 'train'").groupBy("fold").agg(F.avg(hit).alias("prevalence"))
+    error = lambda c: F.round(F.avg((F.col(c) - F.col("hit")) ** 2), 6)
+    return rows.join(F.broadcast(known), "fold").groupBy("fold").agg(
+        F.round(F.first("prevalence"), 6).alias("prevalence"),
+        error("persisted").alias("brier_persistence"), error("prevalence").alias("brier_prevalence"))
 
 
 @query("d3_coverage_report", f"""WITH {BARS} SELECT {SPLIT_SQL} AS split, ticker, count(*) AS n, min(session) AS first_session, max(session) AS last_session FROM bars GROUP BY ROLLUP (1, 2)""")
