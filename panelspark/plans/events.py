@@ -6,7 +6,7 @@ from panelspark.operators import calendars, reactions
 from panelspark.plans.market import r
 from panelspark.plans.registering import query
 from panelspark.sources import adapters as A
-from panelspark.streaming import jobs
+from panelspark.streaming import commits, jobs, sessions
 
 ZONE = "Asia/Taipei"
 QUOTES = """quotes AS (SELECT event_type AS ticker, CAST(ts AS DATE) AS session, avg(value) AS price FROM events
@@ -149,10 +149,35 @@ def landed(spark, d, tag):
     return jobs.event_stream(spark, f"{path}/landed", events.schema), path
 
 
+def collected(spark, d, tag, reason=None):
+    """The events landed in files and taken in by one run; the schema and the folder for what else the log tells."""
+    stream, path = landed(spark, d, tag)
+    return commits.collect(stream, path, "run-1", ["event_id"], reason), stream.schema, path
+
+
 @query("j1_ingest_stream", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1")
 def j1(spark, d):
-    stream, path = landed(spark, d, "j1")
-    return jobs.ingest(stream, path, ["event_id"]).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+    rows, _, _ = collected(spark, d, "j1")
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
+ODD = F.when(F.col("value").isNull(), "no_value").when(F.col("value") > 150, "large_value").when(F.col("user_id") % 97 == 0, "blocked_user")
+
+
+@query("j1_quarantine", """SELECT event_type, CASE WHEN value IS NULL THEN 'no_value' WHEN value > 150 THEN 'large_value' WHEN user_id % 97 = 0 THEN 'blocked_user' ELSE 'stored' END AS reason,
+  count(*) AS n FROM events GROUP BY 1, 2""")
+def j1_quarantine(spark, d):
+    """Rejects by reason beside what was stored: together every row that came in."""
+    rows, schema, path = collected(spark, d, "j1q", ODD)
+    every = rows.select("event_type", F.lit("stored").alias("reason")).unionByName(commits.quarantined(spark, path, schema).select("event_type", "reason"))
+    return every.groupBy("event_type", "reason").agg(F.count("*").alias("n"))
+
+
+@query("j1_run_records", """SELECT 'run-1' AS run, CASE WHEN count(*) FILTER (WHERE value > 150 OR value IS NULL OR user_id % 97 = 0) > 0 THEN 'PARTIAL' ELSE 'COMPLETE' END AS status,
+  count(*) AS n_in, count(*) FILTER (WHERE value <= 150 AND user_id % 97 <> 0) AS n_fresh, count(*) FILTER (WHERE value > 150 OR value IS NULL OR user_id % 97 = 0) AS n_rejected FROM events""")
+def j1_runs(spark, d):
+    _, _, path = collected(spark, d, "j1r", ODD)
+    return commits.runs(spark, path).select("run", "status", "n_in", "n_fresh", "n_rejected")
 
 
 @query("j2_dedup_stream", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
@@ -194,9 +219,20 @@ def j5_sessions(spark, d):
     return jobs.sessions_of(A.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
 
 
+@query("j5_closed_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+n AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g), m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events),
+x AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM n GROUP BY user_id, s)
+SELECT user_id, start, "end", n FROM x, m WHERE "end" < mark""")
+def j5_closed(spark, d):
+    """The same sessions out of a stream with state and timers, as far as the watermark has closed them."""
+    stream, path = landed(spark, d, "j5c")
+    return jobs.run_to_parquet(sessions.closed_sessions(stream), path)
+
+
 @query("j7_run_manifest", """WITH b AS (SELECT event_type, ts, md5(CAST(event_id AS VARCHAR)) AS h FROM events)
 SELECT event_type, count(*) AS n, min(ts) AS first, max(ts) AS last, sha256(concat_ws('|', count(*),
   sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)), sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)))) AS digest FROM b GROUP BY 1""")
 def j7(spark, d):
-    rows = A.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return jobs.run_manifest(rows)
+    """The manifests of all committed micro-batches, rolled up."""
+    _, schema, path = collected(spark, d, "j7")
+    return commits.manifests(spark, path, schema)

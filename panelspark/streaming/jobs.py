@@ -10,7 +10,7 @@ from panelspark.sources.sinks import ids_digest
 
 
 def work_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh folder below the shared one (``spark.checkpoint.dir``), else below the warehouse."""
+    """A fresh folder below the shared one (``spark.checkpoint.dir``), else below the warehouse, which is shared on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
@@ -34,23 +34,6 @@ def run_to_parquet(stream: DataFrame, path: str, mode: str = "append") -> DataFr
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def ingest(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Appends versions that are new, once each, whatever is replayed: an anti-join against what a batch finds stored."""
-    spark = stream.sparkSession
-    schema = stream.schema
-    target = f"{path}/versions"
-    spark.createDataFrame([], schema).write.mode("append").parquet(target)
-
-    def store(batch: DataFrame, number: int) -> None:
-        stored = batch.sparkSession.read.schema(schema).parquet(target)
-        fresh = batch.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
-        fresh.write.mode("append").parquet(target)
-
-    query = stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(schema).parquet(target)
-
-
 def dedup_stream(stream: DataFrame, keys: list[str], delay: str = "2 days") -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
