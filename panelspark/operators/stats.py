@@ -118,36 +118,55 @@ def stretch(value: str) -> Column:
     return F.coalesce(placed, F.lit(-(2**62)))
 
 
-def stretch_bases(df: DataFrame, by: list[str], value: str, falling: bool) -> DataFrame:
-    """``by, _s``: rows of each stretch's predecessors (``_base``) and of the whole group (``_n``)."""
-    sums = df.groupBy(*by, stretch(value).alias("_s")).agg(F.count("*").alias("_own"))
-    upto = F.sum("_own").over(Window.partitionBy(*by).orderBy(F.desc("_s") if falling else F.asc("_s")))
-    return sums.select(*by, "_s", (upto - F.col("_own")).alias("_base"), F.sum("_own").over(Window.partitionBy(*by)).alias("_n"))
+def value_cells(df: DataFrame, by: list[str], value: str, more: tuple[str, ...], falling: bool) -> DataFrame:
+    """``by, _cell, _own, _before, _n``: the rows that share a value (and ``more``), the rows of the group before them, and
+    the group's rows. ``_cell`` is a struct, so that nulls meet in joins. Values are counted first, and the running sum
+    has two levels, stretches of values and the distinct values of a stretch; tied rows are a number there and no work."""
+    cell = F.struct(F.col(value).alias("v"), *more)
+    own = df.groupBy(*by, cell.alias("_cell")).agg(F.count("*").alias("_own")).withColumn("_v", F.col("_cell.v"))
+    own = own.withColumn("_s", stretch("_v"))
+    sums = own.groupBy(*by, "_s").agg(F.sum("_own").alias("_all"))
+    rising = lambda c: F.desc(c) if falling else F.asc(c)
+    upto = F.sum("_all").over(Window.partitionBy(*by).orderBy(rising("_s")))
+    bases = sums.select(*by, "_s", (upto - F.col("_all")).alias("_base"), F.sum("_all").over(Window.partitionBy(*by)).alias("_n"))
+    inside = Window.partitionBy(*by, "_s").orderBy(rising("_v"), *(f"_cell.{c}" for c in more)).rowsBetween(Window.unboundedPreceding, 0)
+    placed = own.join(bases, [*by, "_s"]).withColumn("_before", F.col("_base") + F.sum("_own").over(inside) - F.col("_own"))
+    return placed.select(*by, "_cell", "_own", "_before", "_n")
 
 
 def positions(df: DataFrame, by: list[str], score: str, minor: tuple[str, ...] = ("session", "ticker")) -> DataFrame:
     """Adds ``_r``, the place of a row in its group by falling score and rising ``minor``, and ``_n``, the group's rows.
-    Stretches of scores are counted first and rows placed inside theirs, so no task sorts a whole group."""
-    inside = Window.partitionBy(*by, "_s").orderBy(F.desc(score), *minor)
-    rows = df.withColumn("_s", stretch(score)).join(stretch_bases(df, by, score, True), [*by, "_s"])
-    return rows.withColumn("_r", F.col("_base") + F.row_number().over(inside)).drop("_s", "_base")
+    Rows are only ordered among those of one score and one first ``minor``, so a score that all rows hold is as many tasks
+    as there are sessions."""
+    first, *rest = minor
+    cells = value_cells(df, by, score, (first,), True)
+    rows = df.withColumn("_cell", F.struct(F.col(score).alias("v"), first)).join(cells, [*by, "_cell"])
+    order = Window.partitionBy(*by, "_cell").orderBy(*(rest or [F.lit(0)]))
+    return rows.withColumn("_r", F.col("_before") + F.row_number().over(order)).drop("_cell", "_own", "_before")
 
 
 def average_rank(df: DataFrame, by: list[str], value: str, source: DataFrame) -> DataFrame:
-    """Adds ``_rank_<value>``; ``source`` is the frame whose rows are counted."""
-    inside = Window.partitionBy(*by, "_s").orderBy(value)
-    rows = df.withColumn("_s", stretch(value)).join(stretch_bases(source, by, value, False), [*by, "_s"])
-    same = F.count("*").over(Window.partitionBy(*by, "_s", value))
-    return rows.withColumn(f"_rank_{value}", F.col("_base") + F.rank().over(inside) + (same - 1) / 2).drop("_s", "_base", "_n")
+    """Adds ``_rank_<value>``; ``source`` is the frame whose rows are counted. A rank follows from counts of distinct values;
+    rows of one value meet it in a plain join, whose hot values adaptive execution splits."""
+    cells = value_cells(source, by, value, (), False)
+    rows = df.withColumn("_cell", F.struct(F.col(value).alias("v"))).join(cells, [*by, "_cell"])
+    return rows.withColumn(f"_rank_{value}", F.col("_before") + (F.col("_own") + 1) / 2).drop("_cell", "_own", "_before", "_n")
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Correlation of average ranks; 0 and a flag where one side is constant."""
+    """Correlation of average ranks; 0 and a flag where one side is constant. Equal pairs are one weighted row."""
     slim = df.select(*by, x, y)
-    rows = average_rank(average_rank(slim, by, x, slim), by, y, slim)
-    flat = (F.max(x) == F.min(x)) | (F.max(y) == F.min(y))
-    correlation = F.try_divide(F.covar_pop(f"_rank_{x}", f"_rank_{y}"), F.stddev_pop(f"_rank_{x}") * F.stddev_pop(f"_rank_{y}"))
-    return rows.groupBy(*by).agg(F.when(flat, 0.0).otherwise(correlation).alias("rho"), flat.alias("constant"))
+    pairs = slim.groupBy(*by, x, y).agg(F.count("*").alias("_w"))
+    rows = average_rank(average_rank(pairs, by, x, slim), by, y, slim)
+    a, b, w = F.col(f"_rank_{x}"), F.col(f"_rank_{y}"), F.col("_w").cast("double")
+    half = (F.sum("_w") + 1) / 2
+    moments = rows.groupBy(*by).agg(
+        (F.max(x) == F.min(x)).alias("_fx"), (F.max(y) == F.min(y)).alias("_fy"), F.sum("_w").alias("_n"), half.alias("_m"),
+        F.sum(w * a * b).alias("_ab"), F.sum(w * a * a).alias("_aa"), F.sum(w * b * b).alias("_bb"))
+    off = F.col("_n") * F.col("_m") ** 2
+    rho = F.try_divide(F.col("_ab") - off, F.sqrt((F.col("_aa") - off) * (F.col("_bb") - off)))
+    flat = F.col("_fx") | F.col("_fy")
+    return moments.select(*by, F.when(flat, 0.0).otherwise(rho).alias("rho"), flat.alias("constant"))
 
 
 def lift(df: DataFrame, y: str, score: str, q: float, by: list[str]) -> DataFrame:

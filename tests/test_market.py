@@ -220,6 +220,21 @@ def test_positions_and_average_ranks(spark):
     assert math.isclose(stats.spearman(df.where("score IS NOT NULL AND NOT isnan(score)"), "score", "y", ["fold"]).first()["rho"], want, rel_tol=1e-9)
 
 
+def test_a_fold_with_one_score_is_ordered_session_by_session(spark):
+    rows = [("g", 1.0, float(i % 3), i % 50, f"{i // 50:03d}") for i in range(2000)] + [("h", 0.5, 1.0, None, "a"), ("h", 0.5, 2.0, 1, "b"), ("h", None, 3.0, 1, "a")]
+    df = spark.createDataFrame(rows, "fold string, score double, y double, session int, ticker string")
+    out = stats.positions(df, ["fold"], "score").collect()
+    places = {(r["fold"], r["session"], r["ticker"]): r["_r"] for r in out}
+    want = sorted((r for r in rows if r[0] == "g"), key=lambda r: (r[3], r[4]))
+    assert [places["g", r[3], r[4]] for r in want] == list(range(1, 2001)) and len(out) == len(rows)
+    assert (places["h", None, "a"], places["h", 1, "b"], places["h", 1, "a"]) == (1, 2, 3)
+    cells = stats.value_cells(df.where("fold = 'g'"), ["fold"], "score", ("session",), True)
+    assert cells.count() == 50 and cells.agg({"_own": "max"}).first()[0] == 40  # no task orders more rows than these
+    ranked = stats.average_rank(df, ["fold"], "score", df).where("fold = 'g'").select("_rank_score").distinct().collect()
+    assert [r[0] for r in ranked] == [1000.5]
+    assert [tuple(r) for r in stats.spearman(df.where("fold = 'g'"), "score", "y", ["fold"]).collect()] == [("g", 0.0, True)]
+
+
 def test_match_entities_by_keys(spark):
     news = spark.createDataFrame([(1, "2330 up", "x", None), (2, "a12330b", "see 2330.", []), (3, "\u53f0\u7a4d\u96fb rises", None, None), (4, None, "", ["2330", "none"])],
                                  "id int, title string, summary string, own array<string>")
