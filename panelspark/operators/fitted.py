@@ -8,11 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def moments(df: DataFrame, columns: list[str], target: Column, by: list[str]) -> DataFrame:
-    """Counts, sums and cross products of ``columns`` and the target per group: one pass for every later solve."""
+EXACT = "decimal(28,16)"  # of a product; Spark widens its sum to 38 digits
+
+
+def moments(df: DataFrame, columns: list[str], target: Column, by: list[str], exact: bool = False) -> DataFrame:
+    """Counts, sums and cross products of ``columns`` and the target per group: one pass for every later solve. ``exact``
+    sums are of fixed point numbers, slower and the same bit by bit in any order; a product of 10^12 or more is an error."""
     named = [F.lit(1.0), *(F.col(c).cast("double") for c in columns), target.cast("double")]
     n = len(named)
-    products = [F.sum(named[i] * named[j]) for i in range(n) for j in range(i, n)]
+    total = (lambda v: F.sum(v.cast(EXACT)).cast("double")) if exact else F.sum
+    products = [total(named[i] * named[j]) for i in range(n) for j in range(i, n)]
     return df.groupBy(*by).agg(F.array(*products).alias("gram"))
 
 
@@ -39,10 +44,10 @@ def models_table(spark, rows: list[dict], kind: str) -> DataFrame:
     return told.select("m.*")
 
 
-def fit_ridge(df: DataFrame, columns: list[str], target: Column, alphas: list[float], by: list[str]) -> DataFrame:
+def fit_ridge(df: DataFrame, columns: list[str], target: Column, alphas: list[float], by: list[str], exact: bool = False) -> DataFrame:
     """``by, alpha, intercept, coefficients`` for each group and alpha; groups are folds, tens at most."""
     rows = []
-    for r in moments(df, columns, target, by).collect():
+    for r in moments(df, columns, target, by, exact).collect():
         gram = unfold(r["gram"], len(columns) + 2)
         for alpha in alphas:
             a, b = solve_ridge(gram, alpha)

@@ -57,16 +57,6 @@ def persistence_prob(df: DataFrame, label: str) -> DataFrame:
     return rows.withColumn("persisted", F.when(follows, F.col(f"_b.{label}").cast("double")).otherwise(F.col("_prevalence"))).drop("_b", "_prevalence")
 
 
-def score_artifact(df: DataFrame, intercept: float, coefficients: dict[str, float], cuts: tuple[float, float]) -> DataFrame:
-    """A frozen linear model as a column expression, with its band."""
-    score = F.lit(intercept)
-    for name, b in coefficients.items():
-        score = score + F.lit(b) * F.col(name)
-    value = F.greatest(F.expm1(score), F.lit(0.0))
-    band = F.when(value <= cuts[0], "LOW").when(value <= cuts[1], "MIDDLE").otherwise("HIGH")
-    return df.withColumn("artifact_score", value).withColumn("artifact_band", band)
-
-
 def build_corpus(records: DataFrame, train_end: str, validation_end: str) -> DataFrame:
     """Records with content and a date, the first of each content, split by family without straddling."""
     clean = records.withColumn("norm", T.norm_text(F.coalesce("content", F.lit(""))))

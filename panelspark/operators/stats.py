@@ -191,12 +191,13 @@ def decile_summary(df: DataFrame, y: str, score: str, by: list[str]) -> DataFram
     return rows.withColumn("non_decreasing", F.col("mean_y") >= before)
 
 
-def ecdf_band(df: DataFrame, score: str, reference: DataFrame) -> DataFrame:
+def ecdf_band(df: DataFrame, score: str, reference: DataFrame, rows: str | None = None) -> DataFrame:
     """Right-inclusive percentile of each score in the reference scores, and its band. Both are counted by value first,
-    and the running sum runs in two levels, over ranges of values and over the values of a range, so no task sorts them all."""
-    both = reference.select(F.col(score).alias("v"), F.lit(1).alias("c")).unionByName(df.select(F.col(score).alias("v"), F.lit(0).alias("c")))
+    and the running sum runs in two levels, over ranges of values and over the values of a range, so no task sorts them all. ``rows`` names the reference's counts, if it has any."""
+    weight = (F.col(rows) if rows else F.lit(1)).cast("long")
+    both = reference.select(F.col(score).alias("v"), weight.alias("c")).unionByName(df.select(F.col(score).alias("v"), F.lit(0).cast("long").alias("c")))
     counted = both.groupBy("v").agg(F.sum("c").alias("c")).withColumn("stretch", stretch("v"))
-    total = reference.count()
+    total = reference.agg(F.sum(weight)).first()[0] if rows else reference.count()
     before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     bases = counted.groupBy("stretch").agg(F.sum("c").alias("own")).select("stretch", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("stretch").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelspark.functions import text as T
-from panelspark.operators import calendars, features, fitted, newsroom, products, reaction_study, reactions, stats, validate
-from panelspark.plans.evaluation import assigned, scored
+from panelspark.operators import artifact, calendars, features, fitted, newsroom, products, reaction_study, reactions, stats, validate
+from panelspark.plans.evaluation import RIDGE, RIDGE_COLUMNS, assigned, scored
 from panelspark.plans.evaluation import q as scored_query
 from panelspark.plans.events import QUOTES, ZONE
 from panelspark.plans.market import BARS, MACD, ORD, SHIFTED, SIGNAL, SPLIT_SQL, SPLITS, STUDY, cal_of, d4, fir, r, shifted, simple, wind
@@ -133,11 +133,22 @@ def f4(spark, d):
     return stats.select_model(summary).select("model", r("mae"))
 
 
-@scored_query("i12_score_artifact", """, a AS (SELECT *, greatest(exp(0.2 + 3.0 * v20 + 0.002 * rsi) - 1, 0) AS s FROM scored)
-SELECT ticker, session, round(s, 6) AS artifact_score, CASE WHEN s <= 0.8 THEN 'LOW' WHEN s <= 1.2 THEN 'MIDDLE' ELSE 'HIGH' END AS artifact_band FROM a""")
+@scored_query("i12_score_artifact", f""", {RIDGE},
+sc AS (SELECT role, ticker, session, round(greatest(exp(t0 - w1 * m1 - w2 * m2 + w1 * v20 + w2 * rsi) - 1, 0), 9) AS s FROM assigned JOIN b USING (fold) WHERE fold = '2001'),
+pc AS (SELECT *, count(*) FILTER (WHERE role = 'train') OVER (ORDER BY s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / count(*) FILTER (WHERE role = 'train') OVER () AS p FROM sc)
+SELECT ticker, session, round(s, 6) AS artifact_score, round(p, 6) AS percentile,
+  CASE WHEN p >= 0.95 THEN 'P95' WHEN p >= 0.80 THEN 'P80' WHEN p >= 0.50 THEN 'P50' ELSE 'BELOW' END AS band FROM pc WHERE role = 'evaluation'""")
 def i12(spark, d):
-    out = products.score_artifact(scored(spark, d), 0.2, {"v20": 3.0, "rsi_14": 0.002}, (0.8, 1.2))
-    return out.select("ticker", "session", r("artifact_score"), "artifact_band")
+    """The two-column ridge of the last fold, frozen with its training scores, read back and applied to the evaluation rows."""
+    rows = assigned(spark, d).drop("prediction").where("fold = '2001'")
+    train = rows.where("role = 'train'")
+    model = fitted.fit_ridge(train, RIDGE_COLUMNS, F.log1p("primary"), [100.0], ["fold"])
+    said = fitted.predict_ridge(train, model, RIDGE_COLUMNS, ["fold"])
+    path = work_dir(spark, "i12")
+    terms = written(artifact.model_terms(train, RIDGE_COLUMNS, model), f"{path}/terms")
+    digest = artifact.freeze(terms, artifact.model_head(terms, model), artifact.reference_of(said, "prediction"), f"{path}/models")
+    out = artifact.score_rows(rows.where("role = 'evaluation'"), artifact.read_artifact(spark, f"{path}/models", digest))
+    return out.select("ticker", "session", r("artifact_score"), r("percentile"), "band")
 
 
 @news_query("h11_mentions", """SELECT id, regexp_matches(summary, '(^|[^A-Za-z0-9])tion($|[^A-Za-z0-9])') AS m FROM news""")
@@ -414,16 +425,29 @@ def i13_market(spark, d):
     return reaction_study.quality(said, ["period", "target"]).select("period", "target", "n", r("mae"), r("rmse"))
 
 
-@query("i14_freeze_model")
-def i14(spark, d):
-    """The alpha with the least mean error over the folds, refitted on all training rows of the last one, as an artifact."""
+def frozen(spark, d, path, partitions=None):
+    """The alpha with the least mean error over the folds, refitted on all training rows of the last one; its reference are
+    the rows of all folds as forecast by models that had not seen them. Returns the artifact's digest."""
     columns = [c for c in features.FEATURE_NAMES if c != "zero_volume_flag"]
     rows = assigned(spark, d).drop("prediction").withColumn("y", F.col("primary"))
-    models = fitted.fit_ridge(rows.where("role = 'train'"), columns, F.log1p("y"), [1.0, 10.0, 100.0], ["fold"])
-    tried = fitted.predict_ridge(rows.where("role = 'evaluation'"), models, columns, ["fold"])
+    rows = rows.repartition(partitions) if partitions else rows
+    models = fitted.fit_ridge(rows.where("role = 'train'"), columns, F.log1p("y"), [1.0, 10.0, 100.0], ["fold"], exact=True)
+    tried = written(fitted.predict_ridge(rows.where("role = 'evaluation'"), models, columns, ["fold"]).select("fold", "alpha", "y", "prediction"), f"{path}/tried-{partitions}")
     errors = stats.regression_metrics(tried, "y", "prediction", ["fold", "alpha"]).groupBy("alpha").agg(F.avg("mae").alias("mae"))
-    chosen = stats.first_by(errors, [], [F.round("mae", 9), F.col("alpha")]).select("alpha")
+    chosen = F.broadcast(stats.first_by(errors, [], [F.round("mae", 9), F.col("alpha")]).select("alpha"))
     final = models.where("fold = '2001'").join(chosen, "alpha")
-    names = F.array(*map(F.lit, columns))
-    return final.select("alpha", r("intercept"), F.explode(F.arrays_zip(names.alias("name"), F.col("coefficients").alias("value"))).alias("c")).select(
-        "alpha", "intercept", "c.name", F.round("c.value", 8).alias("coefficient"))
+    terms = written(artifact.model_terms(rows.where("fold = '2001' AND role = 'train'"), columns, final), f"{path}/terms-{partitions}")
+    return artifact.freeze(terms, artifact.model_head(terms, final), artifact.reference_of(tried.join(chosen, "alpha"), "prediction"), f"{path}/models")
+
+
+@query("i14_freeze_model")
+def i14(spark, d):
+    """The frozen model's terms, read back, and whether a second fit of the rows in another layout has the same digest."""
+    path = work_dir(spark, "i14")
+    digest = frozen(spark, d, path)
+    again = frozen(spark, d, path, 7)
+    model = artifact.read_artifact(spark, f"{path}/models", digest)
+    terms, _, _ = artifact.parts(spark, f"{path}/models/{digest}")
+    return terms.select(F.lit(model["alpha"]).alias("alpha"), F.round(F.lit(model["intercept"]), 6).alias("intercept"), "position", "name",
+                        F.round("mean", 8).alias("mean"), F.round("scale", 8).alias("scale"), F.round("coefficient", 8).alias("coefficient"),
+                        F.lit(again == digest).alias("repeat_equal"))
