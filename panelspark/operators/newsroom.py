@@ -1,6 +1,7 @@
 """Operators over news, annotations and snapshots: matching, dedup, votes, agreement, parity and upserts."""
 
 import math
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -302,20 +303,57 @@ def pending_pairs(links: DataFrame, results: DataFrame, keys: list[str]) -> Data
     return links.join(results.select(*keys), keys, "left_anti")
 
 
+@dataclass(frozen=True)
+class LexiconScorer:
+    """The lexicon of ``functions.text.lexicon_sentiment`` as a batch scorer: calling it makes the function on lists of texts."""
+
+    positive: tuple[str, ...] = T.POSITIVE_TERMS
+    negative: tuple[str, ...] = T.NEGATIVE_TERMS
+    negations: tuple[str, ...] = T.NEGATIONS
+    version: str = "lexicon-1"
+    prefixes: tuple[str, ...] = ()
+
+    def __call__(self):
+        def weight(text: str, terms: tuple[str, ...]) -> int:
+            total = 0
+            for t in terms:
+                at = text.find(t)
+                while at >= 0:
+                    total += -1 if text.endswith(self.negations, 0, at) else 1
+                    at = text.find(t, at + len(t))
+            return total
+
+        def one(text: str) -> tuple[float, float, float]:
+            up, down = weight(text, self.positive), weight(text, self.negative)
+            middle = up + 1 if up == down else 0
+            top = max(up, middle, down)
+            parts = [math.exp(v - top) for v in (up, middle, down)]
+            return tuple(v / sum(parts) for v in parts)
+
+        return lambda texts: [one(t) for t in texts]
+
+
 def score_texts(df: DataFrame, scorer, column: str = "text") -> DataFrame:
-    """``df`` with ``pos, neu, neg`` of a batch scorer: a callable that makes a function from a list of texts to a list of
-    triples, made once per Python worker. Probabilities must sum to one."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "pos double", "neu double", "neg double"])
+    """``df`` with ``model_version, pos, neu, neg`` of a batch scorer: a callable that makes a function from a list of texts
+    to a list of triples, made once per Python worker. A scorer may name its ``version`` and the language ``prefixes``
+    that it reads (rows of other languages go). Null texts are scored as empty ones. There must be one triple a text, its
+    parts finite, not negative and with sum one."""
+    prefixes, version = getattr(scorer, "prefixes", ()), getattr(scorer, "version", None)
+    rows = df.where(T.supports_language(F.col("lang"), prefixes)) if prefixes else df
+    rows = rows.withColumn("model_version", F.lit(version).cast("string"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "pos double", "neu double", "neg double"])
 
     def read(batches):
         predict = scorer()
-        for rows in batches:
-            found = predict(rows[column].tolist())
-            if any(abs(sum(x) - 1) > 1e-6 for x in found):
-                raise ValueError("probabilities must sum to one")
-            yield rows.assign(**{n: [x[i] for x in found] for i, n in enumerate(("pos", "neu", "neg"))})
-
-    return df.mapInPandas(read, schema)
+        for batch in batches:
+            found = predict([t if isinstance(t, str) else "" for t in batch[column]])
+            if len(found) != len(batch):
+                raise ValueError("a scorer must give one triple for each text")
+            if any(not all(math.isfinite(v) and v >= 0 for v in x) or abs(sum(x) - 1) > 1e-6 for x in found):
+                raise ValueError("probabilities must be finite and sum to one")
+            yield batch.assign(**{n: [float(x[i]) for x in found] for i, n in enumerate(("pos", "neu", "neg"))})
+
+    return rows.mapInPandas(read, schema)
 
 
 def score_once(articles: DataFrame, links: DataFrame, done: DataFrame, prefixes: tuple[str, ...], score: Column) -> DataFrame:

@@ -236,13 +236,15 @@ def l1(spark, d):
     return rows.select("ticker", "session", *map(r, ["return_1", "return_5", "ma_5", "benchmark_return", "forward_return"]), "label_up")
 
 
-@news_query("l4_build_corpus", r""", x AS (SELECT min(id) AS id, sha256(text) AS h FROM news WHERE regexp_full_match(text, '[a-zA-Z., \n]*') AND text NOT LIKE '%  %' AND text NOT LIKE '% ' || chr(10) || '%' AND trim(text, chr(10) || ' ') <> '' GROUP BY text),
-f AS (SELECT n.id, source || '/' || (n.id % 40) AS family, CAST(published_at AS DATE) AS day FROM x JOIN news n USING (id)), a AS (SELECT *, max(day) OVER (PARTITION BY family) AS anchor FROM f)
-SELECT CASE WHEN anchor <= DATE '2024-01-03' THEN 'train' WHEN anchor <= DATE '2024-01-04' THEN 'validation' ELSE 'test' END AS split, count(*) AS n FROM a GROUP BY 1""")
+@news_query("l4_build_corpus", r""", c1 AS (SELECT id, source || '/' || (id % 40) AS family, CAST(published_at AS DATE) AS day,
+    regexp_replace(regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t　]+', ' ', 'g'), ' ?\n ?', chr(10), 'g') AS t FROM news),
+c2 AS (SELECT id, family, day, trim(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g'), ' ') AS norm FROM c1),
+f AS (SELECT arg_min(id, (day, id)) AS id, norm FROM c2 WHERE norm <> '' GROUP BY norm), a AS (SELECT c2.*, max(day) OVER (PARTITION BY family) AS anchor FROM f JOIN c2 USING (id))
+SELECT id, family, sha256(norm) AS h, CASE WHEN anchor <= DATE '2024-01-03' THEN 'train' WHEN anchor <= DATE '2024-01-04' THEN 'validation' ELSE 'test' END AS split FROM a""")
 def l4(spark, d):
-    plain = news(spark, d).where(r"regexp_like(text, '^[a-zA-Z., \\n]*$') AND NOT contains(text, '  ') AND NOT contains(text, ' \n')")
-    rows = plain.select("id", F.concat_ws("/", "source", (F.col("id") % 40).cast("string")).alias("family"), F.to_date("published_at").alias("day"), F.col("text").alias("content"))
-    return products.build_corpus(rows, "2024-01-03", "2024-01-04").groupBy("split").agg(F.count("*").alias("n"))
+    """Every kept record of all texts, by the digest of its normalised content, with its split."""
+    rows = news(spark, d).select("id", F.concat_ws("/", "source", (F.col("id") % 40).cast("string")).alias("family"), F.to_date("published_at").alias("day"), F.col("text").alias("content"))
+    return products.build_corpus(rows, "2024-01-03", "2024-01-04").select("id", "family", "h", "split")
 
 
 @query("l5_ingest_news")

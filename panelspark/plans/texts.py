@@ -43,9 +43,9 @@ def b9(spark, d):
     return news(spark, d).groupBy("source").agg(F.count_if(T.supports_language(F.col("lang"), ("en", "de"))).alias("supported"), F.count("*").alias("n"))
 
 
-@q("h1_norm_title", """SELECT id, sha256(regexp_replace(lower(title), '[^a-z0-9_]+', '', 'g')) AS fingerprint FROM news WHERE regexp_full_match(title, '[\\x00-\\x7F]*')""")
+@q("h1_norm_title", r"""SELECT id, sha256(regexp_replace(replace(lower(nfc_normalize(title)), 'ß', 'ss'), '[^\p{L}\p{N}\p{M}_]+', '', 'g')) AS fingerprint FROM news""")
 def h1(spark, d):
-    return news(spark, d).where(F.length("title") == F.octet_length("title")).select("id", T.fingerprint(F.col("title")).alias("fingerprint"))
+    return news(spark, d).select("id", T.fingerprint(F.col("title")).alias("fingerprint"))
 
 
 @query("h2_canonical_url", r"""WITH p AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
@@ -61,9 +61,9 @@ def h3(spark, d):
     return news(spark, d).select("id", T.stable_id(F.col("source"), F.col("lang"), F.col("title")).alias("stable_id"))
 
 
-@q("h5_norm_line", r"""SELECT id, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS h FROM news WHERE regexp_full_match(text, '[\x00-\x7F]*')""")
+@q("h5_norm_line", r"""SELECT id, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS h FROM news""")
 def h5(spark, d):
-    return news(spark, d).where(F.length("text") == F.octet_length("text")).select("id", F.sha2(T.norm_line(F.col("text")), 256).alias("h"))
+    return news(spark, d).select("id", F.sha2(T.norm_line(F.col("text")), 256).alias("h"))
 
 
 @query("h6_parse_roc_date", """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders""")
@@ -98,13 +98,17 @@ def h10(spark, d):
     return news(spark, d).select("id", F.size(T.shingles(F.col("text"), 5)).cast("long").alias("n"))
 
 
-@q("h12_lexicon_sentiment", """, s AS (SELECT id, (length(summary) - length(replace(summary, 'tion', ''))) / 4 AS p0, (length(summary) - length(replace(summary, 'ertion', ''))) / 6 AS p1,
+LEXICON = (("tion",), ("ing",), ("er",))
+LEXICON_SQL = """, s AS (SELECT id, (length(summary) - length(replace(summary, 'tion', ''))) / 4 AS p0, (length(summary) - length(replace(summary, 'ertion', ''))) / 6 AS p1,
   (length(summary) - length(replace(summary, 'ing', ''))) / 3 AS n0, (length(summary) - length(replace(summary, 'ering', ''))) / 5 AS n1 FROM news),
 x AS (SELECT id, p0 - 2 * p1 AS up, n0 - 2 * n1 AS dn, CASE WHEN p0 - 2 * p1 = n0 - 2 * n1 THEN p0 - 2 * p1 + 1 ELSE 0 END AS mid FROM s),
-y AS (SELECT id, exp(up - greatest(up, mid, dn)) AS a, exp(mid - greatest(up, mid, dn)) AS b, exp(dn - greatest(up, mid, dn)) AS c FROM x)
-SELECT id, round(a / (a + b + c), 6) AS pos, round(b / (a + b + c), 6) AS neu, round(c / (a + b + c), 6) AS neg FROM y""")
+y AS (SELECT id, exp(up - greatest(up, mid, dn)) AS a, exp(mid - greatest(up, mid, dn)) AS b, exp(dn - greatest(up, mid, dn)) AS c FROM x),
+lex AS (SELECT id, round(a / (a + b + c), 6) AS pos, round(b / (a + b + c), 6) AS neu, round(c / (a + b + c), 6) AS neg FROM y)"""
+
+
+@q("h12_lexicon_sentiment", f"{LEXICON_SQL} SELECT * FROM lex")
 def h12(spark, d):
-    s = T.lexicon_sentiment(F.col("summary"), ("tion",), ("ing",), ("er",))
+    s = T.lexicon_sentiment(F.col("summary"), *LEXICON)
     return news(spark, d).select("id", s.alias("s")).select("id", *(F.round(f"s.{c}", 6).alias(c) for c in ("pos", "neu", "neg")))
 
 
@@ -341,24 +345,23 @@ def d28(spark, d):
     return N.record_audit(news(spark, d), ["title", "lang", "text"])
 
 
-@q("k2_score_once", """, x AS (SELECT id AS article_id, id % 3 AS t, lang, length(summary) AS n FROM news)
-SELECT article_id, CAST(t AS VARCHAR) AS ticker, round(n / 1000.0, 6) AS score FROM x WHERE lang IN ('en', 'fr') AND article_id NOT IN (SELECT doc_id FROM labels)""")
+@q("k2_score_once", f"""{LEXICON_SQL} SELECT id AS article_id, CAST(id % 3 AS VARCHAR) AS ticker, pos, neu, neg FROM news JOIN lex USING (id)
+WHERE lang IN ('en', 'fr') AND id NOT IN (SELECT doc_id FROM labels)""")
 def k2(spark, d):
     rows = news(spark, d)
     articles = rows.select(F.col("id").alias("article_id"), "lang", "summary")
     links = articles.select("article_id", (F.col("article_id") % 3).cast("string").alias("ticker"))
     done = links.join(A.table(spark, d, "labels").select(F.col("doc_id").alias("article_id")), "article_id", "left_semi")
-    score = F.struct(F.round(F.length("summary") / 1000, 6).alias("score"))
-    return N.score_once(articles, links, done, ("en", "fr"), score)
+    out = N.score_once(articles, links, done, ("en", "fr"), T.lexicon_sentiment(F.col("summary"), *LEXICON))
+    return out.select("article_id", "ticker", r("pos"), r("neu"), r("neg"))
 
 
-@query("k1_score_texts")
+@q("k1_score_texts", f"{LEXICON_SQL} SELECT id, 'suffixes-1' AS model_version, pos, neu, neg FROM lex JOIN news USING (id) WHERE lang IN ('en', 'fr', 'de')")
 def k1(spark, d):
-    def scorer():
-        return lambda texts: [((p := min(len(t), 400) / 1000), 0.5, 0.5 - p) for t in texts]
-
-    out = N.score_texts(news(spark, d).select("id", "summary"), scorer, "summary")
-    return out.select("id", r("pos"), r("neu"), r("neg"))
+    """The lexicon as a batch scorer behind the hook that any other model takes: whole texts, once per worker made."""
+    scorer = N.LexiconScorer(*LEXICON, version="suffixes-1", prefixes=("en", "fr", "de"))
+    out = N.score_texts(news(spark, d).select("id", "lang", "summary"), scorer, "summary")
+    return out.select("id", "model_version", r("pos"), r("neu"), r("neg"))
 
 
 @query("a2_read_table", "SELECT * FROM labels")

@@ -235,6 +235,19 @@ def test_a_fold_with_one_score_is_ordered_session_by_session(spark):
     assert [tuple(r) for r in stats.spearman(df.where("fold = 'g'"), "score", "y", ["fold"]).collect()] == [("g", 0.0, True)]
 
 
+def test_lexicon_scorer_equals_the_column_function(spark):
+    texts = ["", "營收成長", "並未成長，不會虧損", "下修 下修 上調", None, "沒有改善也未改善", "獲利獲利" * 300]
+    df = spark.createDataFrame([(i, "zh-TW" if i % 2 else "zh", t) for i, t in enumerate(texts)], "id int, lang string, text string")
+    out = {r["id"]: r for r in newsroom.score_texts(df, newsroom.LexiconScorer(prefixes=("zh",))).collect()}
+    want = df.fillna("", ["text"]).select("id", T.lexicon_sentiment(F.col("text")).alias("s")).collect()
+    assert len(out) == len(texts) and {r["model_version"] for r in out.values()} == {"lexicon-1"}
+    for r in want:
+        assert np.allclose([out[r["id"]][c] for c in ("pos", "neu", "neg")], list(r["s"]))
+    for wrong in ([(0.5, 0.6, 0.1)], [(-0.5, 1.0, 0.5)], [(float("nan"), 0.5, 0.5)]):
+        with pytest.raises(Exception, match="probabilities"):
+            newsroom.score_texts(df.limit(1), lambda: lambda texts: wrong).collect()  # noqa: B023
+
+
 def test_match_entities_by_keys(spark):
     news = spark.createDataFrame([(1, "2330 up", "x", None), (2, "a12330b", "see 2330.", []), (3, "\u53f0\u7a4d\u96fb rises", None, None), (4, None, "", ["2330", "none"])],
                                  "id int, title string, summary string, own array<string>")
