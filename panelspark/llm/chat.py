@@ -1,5 +1,5 @@
-"""Chat formatting by relational means: window functions order the turns, adjacent turns of one role share a
-block, and the blocks are concatenated with array expressions.
+"""Chat formatting by relational means: the turns of a conversation are collected as structs and sorted, adjacent turns
+of one role are merged into blocks by array expressions, and the blocks are concatenated.
 
 Template::
 
@@ -15,9 +15,9 @@ an empty table gives no rows; other columns of the input are ignored.
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 START, END, SEP, NEWLINE = "<|im_start|>", "<|im_end|>\n", "<|im_sep|>", "<|im_nl|>"
+STRETCH = 512  # array elements summed at once
 END_RE, SEP_RE = r"<\|im_end\|>\n", r"<\|im_sep\|>"
 
 
@@ -29,43 +29,47 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
+def starts_of(sizes: Column) -> Column:
+    """The sums of all elements before each one. Sums of stretches of ``STRETCH`` come first, so that a very long array takes
+    no quadratic time."""
+    stretches = F.sequence(F.lit(0), F.greatest(F.floor((F.size(sizes) - 1) / STRETCH), F.lit(0)).cast("int"))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)
+    before = lambda x: F.transform(x, lambda _, i: total(F.slice(x, F.lit(1), i)))
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  a lambda's variable is worked out once
+    parts = F.transform(stretches, lambda c: F.slice(sizes, c * STRETCH + 1, STRETCH))
+    add = lambda part, base: F.transform(before(part), lambda v: base + v)
+    return once(parts, lambda ps: F.flatten(F.zip_with(ps, once(F.transform(ps, total), before), add)))
+
+
 def format_chat(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per conversation: ``conv_id, formatted, loss_spans, n_blocks``.
 
     ``loss_spans`` are (start, length) in code points of ``formatted``, from 0, one for each text of a loss role.
-    One shuffle, by conversation, serves the windows and the aggregation."""
-    rows = turns.select(
-        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    name = F.replace(escape(F.col("role")), F.lit("\n"), F.lit(NEWLINE))
-    rows = rows.select(
-        "conv_id",
-        F.row_number().over(order).alias("pos"),
-        F.lag("role").over(order).alias("previous"),
-        F.col("role").isin(*loss_roles).alias("in_loss"),
-        "role",
-        name.alias("name"),
-        escape(F.col("text")).alias("body"),
-    )
-    opens = F.col("previous").isNull() | (F.col("previous") != F.col("role"))
-    head = F.when(F.col("previous").isNull(), F.concat(F.lit(START), "name", F.lit("\n")))
-    head = head.when(opens, F.concat(F.lit(END + START), "name", F.lit("\n"))).otherwise(F.lit(SEP))
-    rows = rows.select("conv_id", "pos", "in_loss", "body", head.alias("head"), opens.cast("int").alias("opens"))
-    size = F.length("head") + F.length("body")
-    by_pos = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(size.cast("long")).over(by_pos), F.lit(0)) + F.length("head")
-    span = F.struct(start.cast("long").alias("start"), F.length("body").cast("long").alias("length"))
-    rows = rows.select("conv_id", "opens", F.struct("pos", "head", "body", "in_loss", span.alias("span")).alias("turn"))
-    grouped = rows.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list("turn")).alias("turns"), F.sum("opens").alias("n_blocks")
-    )
-    text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"])), "")
-    spans = F.transform(F.filter("turns", lambda t: t["in_loss"]), lambda t: t["span"])
-    return grouped.select(
-        "conv_id", F.concat(text, F.lit(END)).alias("formatted"), spans.alias("loss_spans"), "n_blocks"
-    )
+    One shuffle, by conversation, and one aggregation; all else are expressions on the sorted array of its turns. A
+    conversation is one row of the result, so its turns meet in one task whatever the way."""
+    said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = turns.select("conv_id", said.alias("said")).groupBy("conv_id").agg(F.array_sort(F.collect_list("said")).alias("turns"))
+
+    def piece(turn: Column, at: Column) -> Column:
+        """What a turn adds: the end of the block before it and the head of its own where the role changes, else a separator."""
+        before = F.get(F.col("turns"), at - 1)["role"]
+        name = F.replace(escape(turn["role"]), F.lit("\n"), F.lit(NEWLINE))
+        opens = F.when(at == 0, True).otherwise(before != turn["role"])
+        head = F.when(at == 0, F.concat(F.lit(START), name, F.lit("\n"))).when(opens, F.concat(F.lit(END + START), name, F.lit("\n")))
+        return F.struct(
+            F.coalesce(head, F.lit(SEP)).alias("head"), escape(turn["text"]).alias("body"), turn["role"].isin(*loss_roles).alias("in_loss"), opens.alias("opens"))
+
+    rows = rows.select("conv_id", F.transform("turns", piece).alias("pieces"))
+    sizes = F.transform("pieces", lambda p: (F.length(p["head"]) + F.length(p["body"])).cast("long"))
+    rows = rows.select("conv_id", "pieces", sizes.alias("sizes")).select("conv_id", "pieces", starts_of(F.col("sizes")).alias("starts"))
+    span = lambda p, start: F.struct(
+        p["in_loss"].alias("in_loss"), (start + F.length(p["head"])).alias("start"), F.length(p["body"]).cast("long").alias("length"))
+    spans = F.filter(F.zip_with("pieces", "starts", span), lambda s: s["in_loss"])
+    text = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), "")
+    return rows.select(
+        "conv_id", F.concat(text, F.lit(END)).alias("formatted"),
+        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))).alias("loss_spans"),
+        F.size(F.filter("pieces", lambda p: p["opens"])).cast("long").alias("n_blocks"))
 
 
 def read_turns(formatted: Column) -> Column:

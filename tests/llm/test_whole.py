@@ -126,3 +126,14 @@ def test_chat_long_texts_null_conversation_and_empty_table(spark):
     assert out[None]["loss"] == long * 2
     assert [tuple(x) for x in out[1]["read"]] == [("assistant", ""), ("", "")] and out[1]["loss"] == ""
     assert chat.chat_digest(chat.format_chat(df.limit(0))).count() == 0
+
+
+def test_chat_of_many_turns_has_its_spans_in_place(spark):
+    rows = [("c", i, ("user", "assistant", "assistant")[i % 3], f"<|t{i}|>" * (i % 5)) for i in range(1700)]
+    made = chat.format_chat(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").repartition(5)).first()
+    want = [chat_text for _, _, role, chat_text in rows if role == "assistant"]
+    got = [made["formatted"][s["start"] : s["start"] + s["length"]].replace("<\\|", "<|") for s in made["loss_spans"]]
+    assert got == want and made["n_blocks"] == 1134
+    sizes = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 511, 512, 513, 1500)], "v array<bigint>")
+    for r in sizes.select("v", chat.starts_of(F.col("v")).alias("s")).collect():
+        assert r["s"] == [sum(r["v"][:i]) for i in range(len(r["v"]))]
