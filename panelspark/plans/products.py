@@ -114,23 +114,45 @@ simple("e11_bar_shape", f"SELECT ticker, session, round(ln(open / lag(close) OVE
                           F.round(F.ln(F.col("high") / F.col("low")), 6).alias("range"), (F.col("volume") == 0).cast("int").alias("zero")))
 
 
-@scored_query("f3_select_params", """, e AS (SELECT fold, alpha, avg(abs(pred * alpha - y)) AS mae FROM scored, (VALUES (0.5), (1.0), (1.5)) a(alpha) GROUP BY 1, 2)
-SELECT fold, CAST(alpha AS DOUBLE) AS alpha FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(mae, 9), alpha) AS k FROM e) WHERE k = 1""")
+FORECASTS = (("half", F.col("prediction") / 2, 2), ("naive", F.col("prediction"), 2), ("volatility", F.col("v20"), 1))
+
+
+def evidence(spark, d, by, cell):
+    """Per ``by`` and forecast: error, rank correlation and the worst of it, over the values of ``cell``."""
+    made = F.array(*(F.struct(F.lit(n).alias("model"), F.round(g, 9).alias("guess"), F.lit(c).alias("complexity")) for n, g, c in FORECASTS))
+    rows = scored(spark, d).select(*by, cell, "y", F.explode(made).alias("g")).select(*by, cell, "y", "g.*")
+    keys = [*by, "model", "complexity", cell]
+    each = stats.regression_metrics(rows, "y", "guess", keys).join(stats.spearman(rows, "guess", "y", keys), keys)
+    return each.groupBy(*by, "model", "complexity").agg(F.avg("mae").alias("mae"), F.avg("rho").alias("mean_rho"), F.min("rho").alias("worst_rho"))
+
+
+def evidence_sql(by, cell):
+    whole = f"{by}{cell}, model"
+    return f""", gs AS (SELECT {by}{cell}, y, model, c AS complexity, round(CASE model WHEN 'half' THEN pred / 2 WHEN 'naive' THEN pred ELSE v20 END, 9) AS g
+  FROM scored, (VALUES ('half', 2), ('naive', 2), ('volatility', 1)) f(model, c)),
+rg AS (SELECT *, rank() OVER (PARTITION BY {whole} ORDER BY g) + (count(*) OVER (PARTITION BY {whole}, g) - 1) / 2 AS a,
+  rank() OVER (PARTITION BY {whole} ORDER BY y) + (count(*) OVER (PARTITION BY {whole}, y) - 1) / 2 AS b FROM gs),
+pe AS (SELECT {whole}, complexity, avg(abs(g - y)) AS mae, corr(a, b) AS rho FROM rg GROUP BY {whole}, complexity),
+ev AS (SELECT {by}model, complexity, avg(mae) AS mae, avg(rho) AS mean_rho, min(rho) AS worst_rho FROM pe GROUP BY {by}model, complexity)"""
+
+
+TOLD = "model, complexity, round(mae, 6) AS mae, round(mean_rho, 6) AS mean_rho, round(worst_rho, 6) AS worst_rho"
+
+
+@scored_query("f3_select_params", f"""{evidence_sql("fold, ", "stock_regime")} SELECT fold, {TOLD} FROM (SELECT *, row_number() OVER (PARTITION BY fold
+  ORDER BY round(mean_rho, 9) DESC, round(mae, 9), round(worst_rho, 9) DESC, complexity, model) AS k FROM ev) WHERE k = 1""")
 def f3(spark, d):
-    rows = scored(spark, d).withColumn("alpha", F.explode(F.array(F.lit(0.5), F.lit(1.0), F.lit(1.5)))).withColumn("guess", F.col("prediction") * F.col("alpha"))
-    evidence = stats.regression_metrics(rows, "y", "guess", ["fold", "alpha"]).select(
-        "fold", "alpha", "mae", F.lit(0.0).alias("mean_rho"), F.lit(0.0).alias("worst_rho"), F.lit(1).alias("complexity"), F.col("alpha").cast("string").alias("params"))
-    return stats.select_params(evidence, ["fold"]).select("fold", "alpha")
+    """Each fold's forecast by its evidence over regimes; two forecasts of one order tie in correlation, so their error decides."""
+    out = stats.select_params(evidence(spark, d, ["fold"], "stock_regime").withColumn("params", F.col("model")), ["fold"])
+    return out.select("fold", "model", "complexity", r("mae"), r("mean_rho"), r("worst_rho"))
 
 
-@scored_query("f4_select_model", """, m AS (SELECT 'naive' AS model, avg(abs(pred - y)) AS mae FROM scored UNION ALL SELECT 'half', avg(abs(pred / 2 - y)) FROM scored UNION ALL SELECT 'one', avg(abs(1 - y)) FROM scored)
-SELECT model, round(mae, 6) AS mae FROM m ORDER BY round(m.mae, 9), model LIMIT 1""")
+@scored_query("f4_select_model", f"""{evidence_sql("", "fold")} SELECT {TOLD} FROM ev WHERE mean_rho >= (SELECT max(mean_rho) FROM ev) - 0.01
+  ORDER BY round(ev.mae, 9), round(ev.worst_rho, 9) DESC, complexity, model LIMIT 1""")
 def f4(spark, d):
-    rows = scored(spark, d)
-    guesses = F.array(*(F.struct(F.lit(n).alias("model"), g.alias("guess")) for n, g in (("naive", F.col("prediction")), ("half", F.col("prediction") / 2), ("one", F.lit(1.0)))))
-    each = rows.select("y", F.explode(guesses).alias("g")).select("y", "g.*")
-    summary = stats.regression_metrics(each, "y", "guess", ["model"]).select("model", "mae", F.lit(0.2).alias("mean_rho"), F.lit(0.1).alias("worst_rho"), F.lit(1).alias("complexity"))
-    return stats.select_model(summary).select("model", r("mae"))
+    """The forecast of all folds, by error among those within the margin of the best correlation."""
+    out = stats.select_model(evidence(spark, d, [], "fold"))
+    return out.select("model", "complexity", r("mae"), r("mean_rho"), r("worst_rho"))
 
 
 @scored_query("i12_score_artifact", f""", {RIDGE},
