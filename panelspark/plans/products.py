@@ -277,13 +277,18 @@ def l5(spark, d):
     return products.ingest_news(news(spark, d).withColumn("summary", F.col("text")).join(pages, "id"), aliases)
 
 
-@news_query("l6_assemble_items", """, m AS (SELECT *, regexp_matches(title, 'erth|eaon') AS a, regexp_matches(title, 'thth') AS b, regexp_matches(title, 'onon|ndnd') AS c, regexp_matches(title, 'tion|ing') AS p FROM news),
-v AS (SELECT *, (a::INT + b::INT + c::INT = 1) OR p AS signal, lower(lang) IN ('en', 'fr') AS known FROM m)
-SELECT CASE WHEN known AND signal THEN 'SCORED' WHEN known THEN 'ELIGIBLE_NOT_SCORED' ELSE 'ABSTAIN' END AS status, count(*) AS n FROM v GROUP BY 1""")
+@news_query("l6_assemble_items", """, m AS (SELECT *, regexp_matches(title, 'erth|eaon') AS a, regexp_matches(title, 'thth') AS b, regexp_matches(title, 'onon|ndnd') AS c,
+  regexp_matches(title, 'tion') AS p, regexp_matches(title, 'ing') AS n, lower(lang) IN ('en', 'fr') OR lower(lang) LIKE 'en-%' OR lower(lang) LIKE 'fr-%' AS known FROM news),
+v AS (SELECT *, CASE WHEN a::INT + b::INT + c::INT = 1 THEN CASE WHEN a THEN 'A' WHEN b THEN 'B' ELSE 'C' END END AS event_type,
+  CASE WHEN p AND n THEN 'AMBIGUOUS' WHEN p THEN 'POSITIVE' WHEN n THEN 'NEGATIVE' END AS impact FROM m)
+SELECT id, CASE WHEN known AND (event_type IS NOT NULL OR impact IS NOT NULL) THEN 'SCORED' WHEN known THEN 'ELIGIBLE_NOT_SCORED' ELSE 'ABSTAIN' END AS status,
+  CASE WHEN known THEN event_type END AS event_type, CASE WHEN known THEN impact END AS impact, array_to_string(list_filter(['and', 'tion'], lambda t: contains(title, t)), ',') AS cues,
+  sha256(substr(summary, 1, 120)) AS excerpt, source, sha256(source || chr(31) || title) AS input_hash FROM v""")
 def l6(spark, d):
+    """Every assembled record with its event, cues, excerpt and lineage."""
     vote = T.rule_vote(F.col("title"), FAMILIES, ("tion",), ("ing",))
     items = products.assemble_items(news(spark, d), ("en", "fr"), vote, T.cue_terms(F.col("title"), ("tion", "and")))
-    return items.groupBy("status").agg(F.count("*").alias("n"))
+    return items.select("id", "status", "event.event_type", "event.impact", F.array_join("cues", ",").alias("cues"), F.sha2("excerpt", 256).alias("excerpt"), "lineage.source", "lineage.input_hash")
 
 
 @news_query("l8_to_documents", """SELECT id, sha256(source || chr(31) || id) AS document_id, sha256(sha256(source || chr(31) || id) || chr(31) || sha256(text)) AS version_id,
@@ -293,13 +298,14 @@ def l8(spark, d):
     return rows.select("id", "document_id", "version_id", "tier", F.length("permitted_text").cast("long").alias("n"))
 
 
-@query("l7_assemble_reaction", f"""WITH {QUOTES}, s AS (SELECT event_id, confidence AS score, effective FROM eff)
-SELECT CASE WHEN effective IS NULL THEN 'ABSTAIN_NO_SESSION' WHEN score >= 0.5 THEN 'HIGH' ELSE 'LOW' END AS status, count(*) AS n FROM s GROUP BY 1""")
+@query("l7_assemble_reaction", f"""WITH {QUOTES} SELECT event_id, effective, round(confidence, 6) AS score,
+  CASE WHEN effective IS NULL THEN 'ABSTAIN_NO_SESSION' WHEN confidence >= 0.5 THEN 'HIGH' ELSE 'LOW' END AS status FROM eff""")
 def l7(spark, d):
+    """Every event's record: its session, its score and the band or why there is none."""
     rows = calendars.assign_sessions(A.publications(spark, d), A.quotes(spark, d).select("session").distinct(), ZONE, 13, 30)
     rows = reactions.gate_signal(rows.select("event_id", "published_at", F.col("published_at").alias("available_at"), F.col("confidence").alias("score"), "effective"), F.lit("2100-01-01").cast("timestamp"), 0.5, 0.5)
     status = F.when(F.col("effective").isNull(), "ABSTAIN_NO_SESSION").otherwise(F.col("band"))
-    return rows.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    return rows.select("event_id", "effective", r("score"), status.alias("status"))
 
 
 @scored_query("l10_conditional_report", """, c AS (SELECT stock_regime, count(*) AS n, avg(next_abs) FILTER (WHERE said = 1) AS h, avg(next_abs) FILTER (WHERE said = 0) AS o FROM scored GROUP BY 1)
