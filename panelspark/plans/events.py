@@ -161,14 +161,16 @@ def j1(spark, d):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
-ODD = F.when(F.col("value").isNull(), "no_value").when(F.col("value") > 150, "large_value").when(F.col("user_id") % 97 == 0, "blocked_user")
+def odd():
+    """The reason to reject an event; made when a query runs, as a registry is read without a session."""
+    return F.when(F.col("value").isNull(), "no_value").when(F.col("value") > 150, "large_value").when(F.col("user_id") % 97 == 0, "blocked_user")
 
 
 @query("j1_quarantine", """SELECT event_type, CASE WHEN value IS NULL THEN 'no_value' WHEN value > 150 THEN 'large_value' WHEN user_id % 97 = 0 THEN 'blocked_user' ELSE 'stored' END AS reason,
   count(*) AS n FROM events GROUP BY 1, 2""")
 def j1_quarantine(spark, d):
     """Rejects by reason beside what was stored: together every row that came in."""
-    rows, schema, path = collected(spark, d, "j1q", ODD)
+    rows, schema, path = collected(spark, d, "j1q", odd())
     every = rows.select("event_type", F.lit("stored").alias("reason")).unionByName(commits.quarantined(spark, path, schema).select("event_type", "reason"))
     return every.groupBy("event_type", "reason").agg(F.count("*").alias("n"))
 
@@ -176,7 +178,7 @@ def j1_quarantine(spark, d):
 @query("j1_run_records", """SELECT 'run-1' AS run, CASE WHEN count(*) FILTER (WHERE value > 150 OR value IS NULL OR user_id % 97 = 0) > 0 THEN 'PARTIAL' ELSE 'COMPLETE' END AS status,
   count(*) AS n_in, count(*) FILTER (WHERE value <= 150 AND user_id % 97 <> 0) AS n_fresh, count(*) FILTER (WHERE value > 150 OR value IS NULL OR user_id % 97 = 0) AS n_rejected FROM events""")
 def j1_runs(spark, d):
-    _, _, path = collected(spark, d, "j1r", ODD)
+    _, _, path = collected(spark, d, "j1r", odd())
     return commits.runs(spark, path).select("run", "status", "n_in", "n_fresh", "n_rejected")
 
 

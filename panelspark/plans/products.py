@@ -114,12 +114,14 @@ simple("e11_bar_shape", f"SELECT ticker, session, round(ln(open / lag(close) OVE
                           F.round(F.ln(F.col("high") / F.col("low")), 6).alias("range"), (F.col("volume") == 0).cast("int").alias("zero")))
 
 
-FORECASTS = (("half", F.col("prediction") / 2, 2), ("naive", F.col("prediction"), 2), ("volatility", F.col("v20"), 1))
+def forecasts():
+    """Name, guess and complexity; made when a query runs, as a registry is read without a session."""
+    return ("half", F.col("prediction") / 2, 2), ("naive", F.col("prediction"), 2), ("volatility", F.col("v20"), 1)
 
 
 def evidence(spark, d, by, cell):
     """Per ``by`` and forecast: error, rank correlation and the worst of it, over the values of ``cell``."""
-    made = F.array(*(F.struct(F.lit(n).alias("model"), F.round(g, 9).alias("guess"), F.lit(c).alias("complexity")) for n, g, c in FORECASTS))
+    made = F.array(*(F.struct(F.lit(n).alias("model"), F.round(g, 9).alias("guess"), F.lit(c).alias("complexity")) for n, g, c in forecasts()))
     rows = scored(spark, d).select(*by, cell, "y", F.explode(made).alias("g")).select(*by, cell, "y", "g.*")
     keys = [*by, "model", "complexity", cell]
     each = stats.regression_metrics(rows, "y", "guess", keys).join(stats.spearman(rows, "guess", "y", keys), keys)
