@@ -243,6 +243,22 @@ def test_audit_pairs_equal_all_pairs(spark, texts, monkeypatch):
     assert N.cross_split_pairs(df.where("false")).count() == 0
 
 
+def test_pairs_of_blocks_are_rows_of_their_own(spark, monkeypatch):
+    """The pairs of one group's blocks are not one task's work."""
+    monkeypatch.setattr(blockpairs, "BLOCK", 16)
+    points = spark.range(400).select("id", F.lit(1).alias("g"), F.lit(8).alias("size"), F.lit(0).alias("mask"), F.lit(bytes(512)).alias("sig"))
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in own.items():
+        spark.conf.set(key, value)
+    try:
+        pairs = blockpairs.near_pairs(points, points, blockpairs.bitmap_near(0.7), False)
+        tasks = pairs.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for key in own:
+            spark.conf.unset(key)
+    assert sum(r["count"] for r in tasks) == 400 * 399 and len(tasks) > 1
+
+
 def test_title_duplicates_equal_all_pairs(spark, texts, monkeypatch):
     """Recall 1 within the days around, and none beside; equal titles are one class a day."""
     monkeypatch.setattr(blockpairs, "BLOCK", 16)
