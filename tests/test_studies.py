@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import unicodedata
 from datetime import date, timedelta
 from difflib import SequenceMatcher
@@ -243,6 +244,32 @@ def test_audit_pairs_equal_all_pairs(spark, texts, monkeypatch):
     assert N.cross_split_pairs(df.where("false")).count() == 0
 
 
+def test_matching_ratio_is_difflibs():
+    rng = random.Random(3)
+    for _ in range(300):
+        letters = rng.choice(["ab", "abcdefgh ", "abcdefghijklmnop 中é"])
+        a = "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 40, 90, 300])))
+        b = list(a)
+        for _ in range(rng.randrange(len(a) // 8 + 1)):
+            b[rng.randrange(len(b))] = rng.choice(["", rng.choice(letters), rng.choice(letters) * 2])
+        b = "".join(b)
+        ratio = SequenceMatcher(None, a, b, autojunk=False).ratio()
+        for least in (0.0, 0.7, 0.92):
+            assert N.matching_ratio(a, b, least) == (ratio if ratio >= least else None)
+
+
+def test_long_titles_are_matched_soon():
+    """All pairs of equal characters of such titles are a thousand million; difflib took minutes."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    a = [rng.choice(words) for _ in range(12000)]
+    b = [rng.choice(words) if k % 40 == 7 else w for k, w in enumerate(a)]
+    start = time.process_time()
+    assert N.matching_ratio(" ".join(a), " ".join(b), 0.92) > 0.95
+    assert N.matching_ratio(" ".join(a), " ".join(rng.sample(a, len(a))), 0.92) is None
+    assert time.process_time() - start < 20
+
+
 def test_pairs_of_blocks_are_rows_of_their_own(spark, monkeypatch):
     """The pairs of one group's blocks are not one task's work."""
     monkeypatch.setattr(blockpairs, "BLOCK", 16)
