@@ -461,6 +461,49 @@ def test_fuzzy_passages_against_brute_force(spark):
     assert len(found & {d for p in want for d in p}) >= 0.9 * len({d for p in want for d in p})
 
 
+def test_fuzzy_passages_by_pairs(spark):
+    """Every two of the holders of a fuzzy passage have a row of their own, groups of four and of twelve."""
+    rng = random.Random(29)
+    own = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    texts, want = {}, set()
+    for g in range(50):
+        base, held = own(100), []
+        for i in range(12 if g < 3 else 4):
+            words = []
+            for w in base:
+                hit = rng.random()
+                words += own(1) if hit < 0.06 else [] if hit < 0.08 else [w, w] if hit < 0.10 else [w]
+            held.append(words)
+            texts[100 * g + i] = own(20) + words + own(20)
+            want |= {(100 * g + i, 100 * g + j) for j in range(i)
+                     if substring.edit_distance(words, held[j], 200) * 5 <= max(len(words), len(held[j]))}
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    found = {(r["doc_id"], r["other_id"]) for r in substring.repeated_passages(docs).collect()}
+    print("pairs found", len(found & want) / len(want))
+    assert len(found & want) >= 0.9 * len(want)
+
+
+def test_small_seeds_are_matched_whole(monkeypatch):
+    """All pairs of documents of the small seeds, each shared row marked once, in portions of any size."""
+    monkeypatch.setattr(substring, "PAIRS", 6)
+    rng = random.Random(30)
+    rows = sorted((s, d % 3, d, rng.randrange(90)) for s in range(60) for d in rng.choices(range(4), k=rng.randrange(1, 11)))
+    want, large = set(), [r for r in rows if sum(x[0] == r[0] for x in rows) > 6]
+    for i, a in enumerate(rows):
+        want |= {(a[0], a[2], a[3], b[2], b[3]) for b in rows[:i] if b[0] == a[0] and b[2] != a[2] and a not in large}
+    for step in (1, 3, 7, 1000):
+        few, links, rest = substring.Small(), [], []
+        for at in [*range(0, len(rows), step), None]:
+            part = rows[at : at + step] if at is not None else []
+            cols = [np.array([r[c] for r in part], dtype=np.int64) for c in range(4)]
+            found, more = few.feed(cols, end=at is None)
+            links += list(zip(*(x.tolist() for x in found)))
+            rest += list(zip(*(x.tolist() for x in more)))
+        assert {x[:5] for x in links} == want and rest == large
+        marked = [x[:3] for x in links if x[5] & 1] + [(x[0], *x[3:5]) for x in links if x[5] & 2]
+        assert set(marked) == {(s, *x) for s, *y in want for x in (tuple(y[:2]), tuple(y[2:]))}
+
+
 def test_banded_edit_distance():
     rng = random.Random(24)
 
