@@ -255,3 +255,11 @@ def test_match_entities_by_keys(spark):
     got = {(r["id"], r["ticker"], r["score"]) for r in newsroom.match_entities(news, aliases, "own").collect()}
     assert got == {(1, "2330", 0.95), (2, "2330", 0.75), (3, "2330", 0.9), (4, "2330", 1.0)}
     assert newsroom.match_entities(news, aliases.limit(0), "own").count() == 0
+
+
+def test_trades_are_shuffled_before_bars_sort_them(spark):
+    from panelspark.sources import adapters
+
+    plan = adapters.bars(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.rsplit("Exchange", 1)
+    assert "Aggregate" in above and "Aggregate" not in below and plan.count("Exchange") == 1
