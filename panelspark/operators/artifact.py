@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.operators.fitted import EXACT
+from panelspark.operators.fitted import exact_sums
 from panelspark.operators.stats import ecdf_band
 from panelspark.operators.validate import finite
 
@@ -26,11 +26,14 @@ def told(value: Column) -> Column:
 def model_terms(train: DataFrame, columns: list[str], model: DataFrame) -> DataFrame:
     """One row per column of a ridge's one row ``intercept, coefficients``: the mean and deviation of the training rows, and
     the coefficient of the standardised column. The table has as many rows as the model has columns."""
-    mean = lambda v: F.sum(v.cast(EXACT)).cast("double") / F.count("*")
-    scale = lambda x: F.sqrt(F.greatest(mean(x * x) - mean(x) * mean(x), F.lit(0.0)))
-    pairs = F.array(*(F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"), mean(F.col(c).cast("double")).alias("mean"),
-                               scale(F.col(c).cast("double")).alias("scale")) for i, c in enumerate(columns)))
-    rows = train.agg(pairs.alias("t")).crossJoin(model.select("coefficients")).select(F.explode("t").alias("t"), "coefficients")
+    p = len(columns)
+    squares = [(0, i) for i in range(p + 1)] + [(i, i) for i in range(1, p + 1)]
+    sums = exact_sums(train, [F.lit(1.0), *(F.col(c) for c in columns)], squares, [])
+    mean = lambda at: F.col("sums")[at] / F.col("sums")[0]
+    scale = lambda i: F.sqrt(F.greatest(mean(p + i) - mean(i) * mean(i), F.lit(0.0)))
+    pairs = F.array(*(F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"), mean(i + 1).alias("mean"), scale(i + 1).alias("scale"))
+                      for i, c in enumerate(columns)))
+    rows = sums.select(pairs.alias("t")).crossJoin(model.select("coefficients")).select(F.explode("t").alias("t"), "coefficients")
     raw = F.get("coefficients", F.col("t.position"))
     out = rows.select("t.*", (raw * F.col("t.scale")).alias("coefficient"))
     return out.select("position", "name", *(told(F.col(c)).cast("double").alias(c) for c in ("mean", "scale", "coefficient")))

@@ -2,23 +2,79 @@
 
 import json
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-EXACT = "decimal(28,16)"  # of a product; Spark widens its sum to 38 digits
+UNIT, MOST = 10**16, 1e12  # of an exact sum: parts of one, and what a product must stay below
+AT_ONCE, MOST_ROWS = 1024, 1 << 22  # rows whose parts, and whose whole numbers, surely add up in 64 bits
+
+
+def exact_sums(df: DataFrame, values: list[Column], pairs: list[tuple[int, int]], by: list[str]) -> DataFrame:
+    """``by, sums``: per group the sums of the products of ``pairs`` of values. A product is taken to 16 decimals as two whole
+    numbers, so its sum is the same bit by bit in any order; one that is null or not finite is left out, and one of 10^12
+    or more is an error. Tasks multiply columns of their batches and hand on one partial sum a group."""
+    rows = df.select(*by, *(v.cast("double").alias(f"_{i}") for i, v in enumerate(values)))
+    left, right = (np.array(side) for side in zip(*pairs))
+    kinds, width = [df.schema[c].dataType.simpleString() for c in by], len(values)
+
+    def told(held: dict[tuple, list], schema: pa.Schema) -> pa.RecordBatch:
+        keys = [pa.array([k[c] for k in held for _ in pairs], schema.field(name).type) for c, name in enumerate(by)]
+        parts = [pa.array(np.concatenate([h[i] for h in held.values()])) for i in range(3)]
+        at = pa.array(np.tile(np.arange(len(pairs), dtype=np.int32), len(held)))
+        return pa.RecordBatch.from_arrays([*keys, at, *parts], names=[*by, "_at", "_whole", "_parts", "_n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        seen, schema = 0, None
+        for batch in batches:
+            schema = batch.schema
+            x = np.column_stack([batch.column(f"_{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(width)])
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by))) if by else [()] * len(x)
+            places: dict[tuple, list[int]] = {}
+            for i, key in enumerate(keys):
+                places.setdefault(key, []).append(i)
+            for key, own in places.items():
+                for first in range(0, len(own), AT_ONCE):
+                    some = x[own[first : first + AT_ONCE]]
+                    with np.errstate(invalid="ignore", over="ignore"):
+                        product = some[:, left] * some[:, right]
+                    sound = np.isfinite(product)
+                    product[~sound] = 0.0
+                    if (np.abs(product) >= MOST).any():
+                        raise ValueError("a product of 10^12 or more has no exact sum")
+                    whole = np.rint(product)
+                    total = held.setdefault(key, [np.zeros(len(pairs), dtype=np.int64) for _ in range(3)])
+                    parts = total[1] + np.rint((product - whole) * UNIT).astype(np.int64).sum(axis=0)
+                    total[0] += whole.astype(np.int64).sum(axis=0) + parts // UNIT
+                    total[1] = parts % UNIT
+                    total[2] += sound.sum(axis=0)
+            seen += len(x)
+            if seen > MOST_ROWS:
+                yield told(held, schema)
+                held, seen = {}, 0
+        if held:
+            yield told(held, schema)
+
+    shape = ", ".join([*(f"`{c}` {k}" for c, k in zip(by, kinds)), "_at int, _whole long, _parts long, _n long"])
+    one = lambda c: F.sum(F.col(c).cast("decimal(19,0)"))
+    total = (one("_whole").cast("decimal(21,0)") * F.lit(UNIT).cast("decimal(17,0)") + one("_parts").cast("decimal(37,0)")).cast("double") / F.lit(float(UNIT))
+    cells = rows.mapInArrow(add, shape).groupBy(*by, "_at").agg(F.when(F.sum("_n") > 0, total).alias("_sum"))
+    return cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_at", "_sum"))).getField("_sum").alias("sums"))
 
 
 def moments(df: DataFrame, columns: list[str], target: Column, by: list[str], exact: bool = False) -> DataFrame:
     """Counts, sums and cross products of ``columns`` and the target per group: one pass for every later solve. ``exact``
-    sums are of fixed point numbers, slower and the same bit by bit in any order; a product of 10^12 or more is an error."""
+    sums are of fixed point numbers, the same bit by bit in any order; a product of 10^12 or more is an error."""
     named = [F.lit(1.0), *(F.col(c).cast("double") for c in columns), target.cast("double")]
     n = len(named)
-    total = (lambda v: F.sum(v.cast(EXACT)).cast("double")) if exact else F.sum
-    products = [total(named[i] * named[j]) for i in range(n) for j in range(i, n)]
-    return df.groupBy(*by).agg(F.array(*products).alias("gram"))
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    if exact:
+        return exact_sums(df, named, pairs, by).withColumnRenamed("sums", "gram")
+    return df.groupBy(*by).agg(F.array(*(F.sum(named[i] * named[j]) for i, j in pairs)).alias("gram"))
 
 
 def unfold(gram: list[float], n: int) -> np.ndarray:

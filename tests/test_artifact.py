@@ -78,3 +78,25 @@ def test_tampered_artifacts_are_refused(spark, data, tmp_path, part, change, wha
         (change(table) if name == part else table).write.parquet(f"{path}/forged/{digest}/{name}")
     with pytest.raises(ValueError, match=what):
         artifact.read_artifact(spark, f"{path}/forged", digest)
+
+
+def test_exact_sums_are_whole_numbers_multiplied_in_tasks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(5000, 2)) * [1e5, 1e-6]
+    rows = [(*map(float, r), "ab"[i % 2]) for i, r in enumerate(x)] + [(None, 1.0, "a"), (float("nan"), 2.0, "b"), (float("inf"), 4.0, "b"), (None, 1.0, None)]
+    df = spark.createDataFrame(rows, "x double, y double, k string")
+    pairs = [(0, 0), (0, 1), (1, 1), (1, 2), (2, 2)]
+    sums = lambda d: {r["k"]: r["sums"] for r in fitted.exact_sums(d, [F.lit(1.0), F.col("x"), F.col("y")], pairs, ["k"]).collect()}
+    found = sums(df)
+    assert found == sums(df.repartition(9)) == sums(df.orderBy("y"))
+    values = df.select("k", F.lit(1.0).alias("c"), "x", "y")
+    cells = [F.sum(F.when(~F.isnan(a * b) & (F.abs(a * b) < 1e300), a * b).cast("decimal(28,16)")).cast("double").alias(f"s{i}")
+             for i, (a, b) in enumerate((F.col("cxy"[m]), F.col("cxy"[n])) for m, n in pairs)]
+    want = {r["k"]: list(r[1:]) for r in values.groupBy("k").agg(*cells).collect()}
+    assert found[None] == want[None] == [1.0, None, None, None, 1.0]
+    assert all(np.allclose(found[k], want[k], rtol=1e-13, atol=1e-11) for k in "ab")
+    big = spark.createDataFrame([(1e6, 1e6, "a")], "x double, y double, k string")
+    with pytest.raises(Exception, match="10\\^12"):
+        sums(big)
+    plan = fitted.exact_sums(df, [F.col("x")], [(0, 0)], [])._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "decimal(28,16)" not in plan
