@@ -5,9 +5,12 @@ also an embedding. Each evaluation period is predicted from all periods before i
 size. All sets, targets and folds are solved from one Gram matrix per period, so the rows are multiplied once; a category
 value that the training periods lack has a constant column there and adds nothing."""
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators import grams, stats
@@ -54,23 +57,52 @@ def reaction_predictions(rows: DataFrame, columns: Columns, periods: list[int],
     sets = {"market_only": list(range(m)), "metadata_only": metadata, "text": sorted([*metadata, *range(m + k, first)])}
     blocks = grams.gram_blocks(rows, dense, [F.col("y"), F.abs("y")], F.col("period"), codes)
     models = grams.ridge_sets(grams.prefix_grams(blocks, periods), [alpha], sets, [SIGNED, SIZE])
-    told = F.struct("features", "target", "intercept", "coefficients")
-    models = models.groupBy(F.col("bound").alias("period")).agg(F.collect_list(told).alias("models"))
-    asked = rows.where(F.col("period").isin(periods)).join(F.broadcast(models), "period")  # as many rows as folds
     x = F.concat(*(F.array(F.col(c).cast("double")) for c in [*columns.market, *columns.numbers]), F.col(columns.embedding).cast("array<double>"))
-
-    def say(model):
-        own = F.slice(model["coefficients"], 1, first)
-        total = F.aggregate(F.zip_with("_x", own, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
-        at = first
-        for code, n in codes:
-            total = total + F.coalesce(F.get(model["coefficients"], code + at), F.lit(0.0))
-            at += n
-        return F.struct(model["features"].alias("features"), model["target"].alias("target"), (model["intercept"] + total).alias("prediction"))
-
-    said = asked.withColumn("_x", x).withColumn("m", F.transform("models", say)).select(*columns.keys, "period", "y", F.explode("m").alias("m"))
-    y = F.when(F.col("m.target") == SIZE, F.abs("y")).otherwise(F.col("y"))
-    return said.select(*columns.keys, "period", "m.features", "m.target", y.alias("y"), F.round("m.prediction", 12).alias("prediction"))
+    return told(rows, x, first, codes, models, columns.keys)
+
+
+def told(rows: DataFrame, x: Column, width: int, codes: list[tuple[Column, int]], models: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per row of a period with models and per model: keys, ``period, features, target, y, prediction``. The models (folds
+    times sets times targets) go to the tasks, which multiply their batches by them; a row's sum has the same order in
+    every batch. A row with a null number, or with another ``width`` of ``x``, has null predictions."""
+    held: dict[int, list] = {}
+    for m in models.orderBy("bound", "features", "target").collect():
+        held.setdefault(m["bound"], []).append(m)
+    names = [(m["features"], m["target"]) for m in next(iter(held.values()), [])]
+    intercepts = {b: np.array([m["intercept"] for m in ms]) for b, ms in held.items()}
+    coefficients = {b: np.array([m["coefficients"] for m in ms]) for b, ms in held.items()}
+    levels = [n for _, n in codes]
+    none = F.array_repeat(F.lit(None).cast("double"), width)
+    asked = rows.where(F.col("period").isin(sorted(held))).select(
+        *keys, "period", "y", F.when(F.size(x) == width, x).otherwise(none).alias("_x"),
+        F.array(*(F.coalesce(c.cast("int"), F.lit(-1)) for c, _ in codes)).cast("array<int>").alias("_c"))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            numbers, places = batch.column("_x").flatten(), batch.column("_c").flatten().to_numpy().reshape(len(batch), len(levels))
+            v = numbers.to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), width)
+            blank = numbers.is_null().to_numpy(zero_copy_only=False).reshape(len(batch), width).any(axis=1)
+            periods = batch.column("period").to_numpy()
+            out = np.empty((len(batch), len(names)))
+            for k in np.unique(periods).tolist():
+                own, c = periods == k, coefficients[k]
+                total, at = np.einsum("np,mp->nm", v[own], np.ascontiguousarray(c[:, :width])), width
+                for j, n in enumerate(levels):
+                    total += np.pad(c[:, at : at + n], ((0, 0), (0, 1))).T[places[own, j]]  # code -1, no value, adds 0
+                    at += n
+                out[own] = total + intercepts[k]
+            values = pa.array(out.ravel(), mask=np.repeat(blank, len(names)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * len(names)), values)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, "period", "y")), lists], names=[*keys, "period", "y", "_p"])
+
+    kept = asked.select(*keys, "period", "y")
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "_p array<double>"])
+    said = asked.mapInArrow(multiply, shape).select(*keys, "period", "y", F.posexplode("_p").alias("_m", "_p"))
+    name = lambda i: F.get(F.array(*(F.lit(n[i]) for n in names)).cast("array<string>"), F.col("_m"))
+    said = said.select(*keys, "period", name(0).alias("features"), name(1).alias("target"), "y", F.round("_p", 12).alias("prediction"))
+    return said.withColumn("y", F.when(F.col("target") == SIZE, F.abs("y")).otherwise(F.col("y")))
 
 
 def quality(said: DataFrame, by: list[str]) -> DataFrame:

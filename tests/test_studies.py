@@ -161,6 +161,18 @@ def test_reaction_study_equals_numpy(spark, reaction_frame):
     assert reaction_study.robustness(said, "ticker", 10_000).count() == 0
 
 
+def test_reaction_predictions_are_made_in_batches(spark, reaction_frame):
+    columns = reaction_study.Columns(["m"], ["k"], ["ticker", "kind"], "e", ["id", "ticker"])
+    rows = spark.createDataFrame(reaction_frame)
+    blank = rows.withColumns({"m": F.when(F.col("id") % 7 > 0, F.col("m")), "e": F.when(F.col("id") % 5 > 0, F.col("e")), "kind": F.when(F.col("id") % 3 > 0, F.col("kind"))})
+    said = reaction_study.reaction_predictions(blank, columns, [3, 4])
+    plan = said._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan
+    asked = blank.where("period IN (3, 4)")
+    assert said.count() == 6 * asked.count() and said.where("prediction IS NULL").count() == 6 * asked.where("m IS NULL OR e IS NULL").count()
+    assert reaction_study.reaction_predictions(blank, columns, [0]).count() == 0
+
+
 def test_bootstrap_of_ranks_equals_copies_of_rows(spark):
     """Against rows that are really copied; with ties, one score for a third of all rows, and a constant fold."""
     rng = np.random.default_rng(2)
