@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 from panelspark.functions import text as T
 from panelspark.operators import newsroom as N
 from panelspark.operators.validate import finite
+from panelspark.streaming.jobs import work_dir
 
 
 def concentration(axis: DataFrame, least_n: int, absolute: float, ratio: float) -> DataFrame:
@@ -64,13 +65,21 @@ def build_corpus(records: DataFrame, train_end: str, validation_end: str) -> Dat
     return N.family_split(N.dedup_first(kept, ["h"], ["day", "id"]), "family", "day", train_end, validation_end)
 
 
+def stored_once(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written and read back, so that those who read it do not work it out again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ingest_news(news: DataFrame, aliases: DataFrame) -> DataFrame:
     """Items once per content hash, without those whose title resembles an earlier item's of the days before, with their
-    canonical URL, best entity and its score; ``n_exact`` and ``n_fuzzy`` count what each step dropped from the run."""
+    canonical URL, best entity and its score; ``n_exact`` and ``n_fuzzy`` count what each step dropped from the run. Items
+    and the ids of those that resemble others are each worked out once and stored."""
     rows = news.withColumn("url", T.canonical_url(F.col("url")))
-    rows = rows.withColumn("h", T.stable_id(F.lower("title"), F.col("url")))
-    exact = N.dedup_first(rows, ["h"], ["published_at", "id"])
-    fuzzy = N.fuzzy_dups(exact).select("id").distinct()
+    rows = rows.withColumn("h", T.stable_id(F.lower("title"), F.col("url"))).select("id", "url", "h", "title", "summary", "published_at")
+    path = work_dir(news.sparkSession, "ingest_news")
+    exact = stored_once(N.dedup_first(rows, ["h"], ["published_at", "id"]), f"{path}/exact")
+    fuzzy = stored_once(N.fuzzy_dups(exact).select("id").distinct(), f"{path}/fuzzy")
     first = exact.join(fuzzy, "id", "left_anti")
     counts = [f.agg(F.count("*").alias(n)) for f, n in ((rows, "n_all"), (exact, "n_unique"), (first, "n_kept"))]
     told = counts[0].crossJoin(counts[1]).crossJoin(counts[2]).select(

@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators import blockpairs, bootstrap, grams, nested, reaction_study
+from panelspark.operators import blockpairs, bootstrap, grams, nested, products, reaction_study
 from panelspark.operators import newsroom as N
 
 
@@ -317,3 +317,15 @@ def test_title_duplicates_equal_all_pairs(spark, texts, monkeypatch):
     classes, links = N.title_links(df)
     assert classes.agg(F.sum("n")).first()[0] == len(items) and links.where("a >= b").count() == 0
     assert N.fuzzy_dups(df.where("false")).count() == 0
+
+
+def test_ingested_items_are_worked_out_once(spark):
+    rows = [(1, "Alpha wins the big game", "u1", 0), (2, "alpha wins the big game", "u1", 1), (3, "Alpha wins the big game!", "u3", 2),
+            (4, "Beta falls", "u4", 3), (5, None, "u5", 4), (6, "Beta falls", "u6", 9)]
+    news = spark.createDataFrame([(i, t, f"https://x.y/{u}", date(2024, 1, 1) + timedelta(days=n), "Alpha and more") for i, t, u, n in rows],
+                                 "id long, title string, url string, day date, summary string").withColumn("published_at", F.col("day").cast("timestamp")).drop("day")
+    aliases = spark.createDataFrame([("A", "Alpha"), ("B", "Beta")], "ticker string, alias string")
+    out = products.ingest_news(news, aliases)
+    found = {r["id"]: (r["ticker"], r["score"], r["n_exact"], r["n_fuzzy"]) for r in out.collect()}
+    assert found == {1: ("A", 0.9, 1, 1), 4: ("B", 0.9, 1, 1), 5: ("A", 0.65, 1, 1), 6: ("B", 0.9, 1, 1)}
+    assert "block_ratio" not in out._jdf.queryExecution().toString()
