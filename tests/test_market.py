@@ -263,3 +263,17 @@ def test_trades_are_shuffled_before_bars_sort_them(spark):
     plan = adapters.bars(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     above, below = plan.rsplit("Exchange", 1)
     assert "Aggregate" in above and "Aggregate" not in below and plan.count("Exchange") == 1
+
+
+def test_texts_are_scored_in_small_lots(spark):
+    def scorer():
+        def predict(texts):
+            assert len(texts) <= 256
+            return [(1.0, 0.0, 0.0) if "good" in t else (0.0, 1.0, 0.0) for t in texts]
+
+        return predict
+
+    df = spark.range(3000, numPartitions=1).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("good "), F.col("id").cast("string"))).alias("text"))
+    found = newsroom.score_texts(df, scorer)
+    assert found.columns == ["id", "text", "model_version", "pos", "neu", "neg"]
+    assert {r["id"]: r["pos"] for r in found.collect()} == {i: float(i % 3 > 0) for i in range(3000)}
