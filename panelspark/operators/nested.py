@@ -33,14 +33,16 @@ class Fold:
 
 @dataclass(frozen=True)
 class Setting:
-    """One setting of a model; of equally good ones the least ``complexity``, then ``params``, is taken. ``fit`` gives a
-    function from rows to rows with ``raw``; without it the model is the ridge of ``alpha`` or the column ``naive``."""
+    """One setting of a model; of equally good ones the least ``complexity``, then ``params``, is taken. ``fit`` is given rows
+    with the vector ``_x`` of ``columns`` and ``_y``, ln(1 + y), and gives a function from rows with ``_x`` to rows with ``raw``;
+    without it the model is the ridge of ``alpha`` or the column ``naive``."""
 
     model: str
     params: str
     complexity: float
     alpha: float | None = None
     fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None
+    columns: tuple[str, ...] = ()
 
 
 def ridge_settings(alphas: list[float]) -> list[Setting]:
@@ -51,16 +53,14 @@ def boosted_setting(columns: list[str], rounds: int, depth: int, least_rows: int
     """Boosted trees of bounded depth on ln(1 + y)."""
 
     def fit(train: DataFrame) -> Callable[[DataFrame], DataFrame]:
-        from pyspark.ml import Pipeline
-        from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.regression import GBTRegressor
 
         trees = GBTRegressor(maxIter=rounds, maxDepth=depth, minInstancesPerNode=least_rows, stepSize=rate, seed=seed,
                              featuresCol="_x", labelCol="_y", predictionCol="raw")
-        model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_x"), trees]).fit(train.withColumn("_y", F.log1p("y")))
-        return lambda rows: model.transform(rows).drop("_x")
+        return trees.fit(train).transform
 
-    return Setting("boosted", f"depth={depth},least={least_rows},rate={rate},rounds={rounds}", depth * 1000 - least_rows, fit=fit)
+    params = f"depth={depth},least={least_rows},rate={rate},rounds={rounds}"
+    return Setting("boosted", params, depth * 1000 - least_rows, fit=fit, columns=tuple(columns))
 
 
 def months_before(day: date, months: int) -> date:
@@ -104,15 +104,33 @@ def nested_predictions(rows: DataFrame, periods: list[Fold], settings: list[Sett
         joined = asked.join(F.broadcast(models), "start")  # beginnings times settings
         raw = sum((F.col(c).cast("double") * F.col("coefficients")[i] for i, c in enumerate(columns)), F.col("intercept"))
         parts.append(joined.withColumn("raw", raw).select(*kept))
-    for s in (s for s in settings if s.fit is not None):
-        for start in starts:
-            apply = s.fit(rows.where(F.col("next_session") < F.lit(start)))
-            own = asked.where(F.col("start") == F.lit(start)).withColumns({"model": F.lit(s.model), "params": F.lit(s.params)})
-            parts.append(apply(own).select(*kept))
+    for own in sorted({s.columns for s in settings if s.fit is not None}):
+        lasts = {s: max(p.end for p in periods if p.start == s) for s in starts}
+        parts += fitted_predictions(rows, asked, lasts, [s for s in settings if s.fit is not None and s.columns == own], kept)
     prediction = F.round(F.greatest(F.expm1("raw"), F.lit(0.0)), 12)
     return reduce(DataFrame.unionByName, parts).withColumn("prediction", prediction).drop("raw")
 
 
+def fitted_predictions(rows: DataFrame, asked: DataFrame, lasts: dict[date, date], settings: list[Setting], kept: list[str]) -> list[DataFrame]:
+    """A frame per beginning, a key of ``lasts`` with its last day, with the rows of all ``settings``, which have the same columns. Vectors are made once for the
+    fits of a beginning, whose many passes read them from the cache, and once for its predictions."""
+    from pyspark.ml.feature import VectorAssembler
+
+    vectors = VectorAssembler(inputCols=list(settings[0].columns), outputCol="_x").transform
+    out = []
+    for start, last in lasts.items():
+        train = vectors(rows.where(F.col("next_session") < F.lit(start))).select("_x", F.log1p("y").alias("_y")).persist()
+        models = [s.fit(train) for s in settings]
+        train.unpersist()
+        own = vectors(asked.where((F.col("start") == F.lit(start)) & F.col("session").between(F.lit(start), F.lit(last))))
+        for i, apply in enumerate(models):
+            own = apply(own).withColumnRenamed("raw", f"_raw_{i}")
+        told = [F.struct(F.lit(s.model).alias("model"), F.lit(s.params).alias("params"), F.col(f"_raw_{i}").alias("raw")) for i, s in enumerate(settings)]
+        plain = own.select(*(c for c in kept if c not in ("model", "params", "raw")), F.explode(F.array(*told)).alias("_m"))
+        out.append(plain.select("*", "_m.*").select(*kept))
+    return out
+
+
 @dataclass(frozen=True)
 class Nested:
     """``evidence``: per fold, model and setting; ``oof``: the outer rows as predicted by the chosen setting; ``metrics``
@@ -135,7 +153,9 @@ def nested_evaluation(
     periods = [*folds, *(i for _, i in inner)]
     said = keep(nested_predictions(rows, periods, settings, columns, train_start), "nested_predictions")
     period = ["start", "end", "model", "params"]
-    scored = stats.regression_metrics(said, "y", "prediction", period).join(stats.spearman(said, "prediction", "y", period), period)
+    one = said.where((F.col("model") == settings[0].model) & (F.col("params") == settings[0].params))
+    rho = stats.spearman(said, "prediction", "y", period, one, ["start", "end"])
+    scored = stats.regression_metrics(said, "y", "prediction", period).join(rho, period)
     scored = keep(scored, "nested_scores")
     told = constants(spark, [(s.model, s.params, float(s.complexity)) for s in settings], "model string, params string, complexity double")
     asks = constants(spark, [(name, i.start, i.end) for name, i in inner], "fold string, start date, end date")

@@ -153,11 +153,12 @@ def average_rank(df: DataFrame, by: list[str], value: str, source: DataFrame) ->
     return rows.withColumn(f"_rank_{value}", F.col("_before") + (F.col("_own") + 1) / 2).drop("_cell", "_own", "_before", "_n")
 
 
-def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Correlation of average ranks; 0 and a flag where one side is constant. Equal pairs are one weighted row."""
+def spearman(df: DataFrame, x: str, y: str, by: list[str], of_y: DataFrame | None = None, y_by: list[str] | None = None) -> DataFrame:
+    """Correlation of average ranks; 0 and a flag where one side is constant. Equal pairs are one weighted row. Where groups
+    of ``by`` have the same ``y`` in all their rows, ``of_y`` may give these once per group of ``y_by``, a part of ``by``, to be ranked once."""
     slim = df.select(*by, x, y)
     pairs = slim.groupBy(*by, x, y).agg(F.count("*").alias("_w"))
-    rows = average_rank(average_rank(pairs, by, x, slim), by, y, slim)
+    rows = average_rank(average_rank(pairs, by, x, slim), y_by or by, y, slim if of_y is None else of_y.select(*(y_by or by), y))
     a, b, w = F.col(f"_rank_{x}"), F.col(f"_rank_{y}"), F.col("_w").cast("double")
     half = (F.sum("_w") + 1) / 2
     moments = rows.groupBy(*by).agg(

@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators import blockpairs, bootstrap, grams, nested, products, reaction_study
+from panelspark.operators import blockpairs, bootstrap, grams, nested, products, reaction_study, stats
 from panelspark.operators import newsroom as N
 
 
@@ -96,6 +96,37 @@ def test_nested_refuses_short_history_and_odd_starts(spark, panel_rows):
         nested.nested_predictions(df, [nested.Fold("x", date(1999, 2, 1), date(1999, 2, 9))], nested.ridge_settings([1.0]), ["a"], date(1998, 1, 1))
 
 
+def test_nested_fits_pass_over_vectors_that_are_made_once(spark, panel_rows):
+    """However many settings and passes a beginning has; the rows of its period are told by every setting."""
+    from pyspark.ml.functions import vector_to_array
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        made.add(1)
+        return v
+
+    def fit(train):
+        assert len({(train.count(), train.agg(F.count("_x")).first()[0]) for _ in range(3)}) == 1
+        return lambda rows: rows.withColumn("raw", vector_to_array("_x")[0])
+
+    settings = [nested.Setting("own", f"k={k}", k, fit=fit, columns=("a", "b")) for k in (1, 2)]
+    period, p = nested.Fold("2001", date(2001, 1, 1), date(2001, 12, 31)), panel_rows
+    df = spark.createDataFrame(p).withColumn("a", counted("a"))
+    got = nested.nested_predictions(df, [period], settings, [], date(1998, 1, 1))
+    assert made.value == (p.next_session < period.start).sum()
+    held = p[(p.session >= period.start) & (p.session <= period.end)]
+    want = np.sort(np.maximum(np.expm1(held.a.to_numpy()), 0).round(12))
+    found = got.toPandas()
+    assert set(found.params) == {"k=1", "k=2"}
+    assert all(np.allclose(np.sort(own.prediction.to_numpy()), want) for _, own in found.groupby("params"))
+    plain = stats.spearman(got, "prediction", "y", ["start", "params"])
+    once = stats.spearman(got, "prediction", "y", ["start", "params"], got.where("params = 'k=1'"), ["start"])
+    assert sorted(r.params for r in plain.collect()) == ["k=1", "k=2"]
+    assert all(math.isclose(a.rho, b.rho, rel_tol=1e-12) for a, b in zip(*(x.orderBy("params").collect() for x in (plain, once)), strict=True))
+
+
 def test_inner_periods_end_where_the_fold_begins():
     inner = nested.inner_folds(nested.Fold("f", date(2019, 1, 1), date(2020, 12, 31)), 3, 12)
     assert [(i.start, i.end) for i in inner] == [(date(y, 1, 1), date(y, 12, 31)) for y in (2016, 2017, 2018)]
