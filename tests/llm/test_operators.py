@@ -347,6 +347,18 @@ def test_line_state_is_reversible(spark, monkeypatch):
         assert linededup.probe(frequent, state).count() == frequent.count()
 
 
+def test_numbers_of_words_agree_with_their_lower_cased_bytes():
+    """On both sides of a batch, also of a part of it; only A-Z are folded."""
+    one = [["Ab", "aB", "ÄB", "äb", ""], [], ["K", "\u212a", "k", "x"]]
+    two = [["ab", "Äb", "y"], ["X", "\u0130", "i"], []]
+    arrays = [pa.array([["skipped"], *side], pa.list_(pa.string())).slice(1) for side in (one, two)]
+    got = substring.numbered(*arrays)
+    assert [[len(row) for row in side] for side in got] == [[len(row) for row in side] for side in (one, two)]
+    pairs = {(w.encode().lower(), n) for side, own in zip((one, two), got) for row, held in zip(side, own) for w, n in zip(row, held)}
+    assert len({w for w, _ in pairs}) == len({n for _, n in pairs}) == len(pairs)
+    assert substring.numbered(*(a.slice(0, 0) for a in arrays)) == [[], []]
+
+
 def test_cuckoo_filter_inserts_finds_and_deletes():
     rng = np.random.default_rng(1)
     k1, k2 = rng.integers(-(1 << 62), 1 << 62, (2, 5000))
