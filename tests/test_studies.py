@@ -287,6 +287,40 @@ def test_audit_pairs_equal_all_pairs(spark, texts, monkeypatch):
     assert N.cross_split_pairs(df.where("false")).count() == 0
 
 
+def test_audit_pairs_read_whole_texts(spark):
+    """Texts that differ behind their first 4,000 characters are not equal, and those that differ too much there are no pair."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
+    told = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    head, tail, letters = told(900), told(900), told(2500)
+    texts = [(1, head + " " + tail, "train"), (2, head + " " + told(40) + " " + tail, "test"), (3, head + " " + told(900), "test"), (4, letters, "train"),
+             (5, letters[:-30] + told(5), "validation")]
+    assert len(head) > 4000
+    found = {(r.left, r.right): r.similarity for r in N.audit_pairs(spark.createDataFrame(texts, "id long, text string, split string")).collect()}
+    plain = {i: plain_all(t) for i, t, _ in texts}
+    assert found == {k: round(SequenceMatcher(None, plain[k[0]], plain[k[1]], autojunk=False).ratio(), 6) for k in ((1, 2), (4, 5))}
+    assert all(x < 1 for x in found.values())
+
+
+def plain_all(t):
+    return " ".join(unicodedata.normalize("NFKC", t).casefold().split())
+
+
+def test_stored_blocks_grow_with_points(spark, tmp_path, monkeypatch):
+    """A group of many blocks is stored once, not once per block of the other side, and no pair is lost or doubled."""
+    monkeypatch.setattr(blockpairs, "BLOCK", 4)
+    monkeypatch.setattr(blockpairs, "PART_BYTES", 4096)
+    sig = F.sha2(F.col("id").cast("string"), 512).cast("binary")
+    points = spark.range(200).select("id", (F.col("id") % 2).alias("g"), F.lit(8).alias("size"), F.lit(0).alias("mask"), sig.alias("sig"))
+    pairs = blockpairs.product_pairs(points.where("id < 50"), points, lambda sizes, sigs: lambda size, sig: np.arange(len(sizes)), str(tmp_path))
+    found = [(r.left, r.right) for r in pairs.collect()]
+    assert sorted(found) == sorted((a, b) for a in range(50) for b in range(200) if a != b and a % 2 == b % 2)
+    stored = [spark.read.parquet(f"{tmp_path}/blocks_{x}") for x in "ab"]
+    assert [x.agg(F.sum(F.length("ids"))).first()[0] for x in stored] == [50 * 8, 200 * 8] and stored[1].count() > 12
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
 def test_matching_ratio_is_difflibs():
     rng = random.Random(3)
     for _ in range(300):
