@@ -162,6 +162,21 @@ def reaction_frame():
     return pd.DataFrame({"id": range(n), "ticker": ticker, "kind": kind, "m": rng.normal(size=n), "k": rng.normal(size=n), "e": e.tolist(), "period": period, "y": y})
 
 
+def test_linear_quantile_holds_no_map_of_values(spark):
+    """Equal to ``percentile`` and NumPy, with ties, nulls, NaN, one row and groups of nulls, but no task holds a group's values."""
+    rng = random.Random(2)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(501)] + [("b", rng.choice([-2.0, 0.0, 0.5, 1e9])) for _ in range(60)] + [("b", None), ("c", 7.5), ("d", None)]
+    rows += [(None, float(x)) for x in range(10)] + [("e", 1.0), ("e", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for q in (0.0, 0.25, 0.5, 0.9, 0.999, 1.0):
+        out = stats.linear_quantile(df, "v", q, ["g"])
+        want = {r.g: r.p for r in df.groupBy("g").agg(F.percentile("v", F.lit(q)).alias("p")).collect()}
+        got = {r.g: r.quantile for r in out.collect()}
+        assert str(sorted(got.items(), key=str)) == str(sorted(want.items(), key=str))
+        assert got["a"] == pytest.approx(np.quantile([v for g, v in rows if g == "a"], q), rel=1e-12)
+    assert "ObjectHashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_reaction_study_equals_numpy(spark, reaction_frame):
     p = reaction_frame
     columns = reaction_study.Columns(["m"], ["k"], ["ticker", "kind"], "e", ["id", "ticker"])
