@@ -495,6 +495,23 @@ def test_fuzzy_passages_by_pairs(spark):
     assert len(found & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("crowded", [1 << 16, 8])
+def test_holders_of_a_passage_of_frequent_seeds_by_pairs(spark, monkeypatch, crowded):
+    """Halves of a passage that many documents quote hide no pair of the documents that hold all of it; nor does a word
+    that is repeated all over."""
+    monkeypatch.setattr(substring, "CROWDED", crowded)
+    rng = random.Random(31)
+    own = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    first, second = own(30), own(30)
+    texts = {i: own(12) + (first + second if i < 10 else first if i < 65 else second) + own(12) for i in range(120)}
+    texts |= {200 + i: own(12) + ["the"] * (60 + 9 * i) + own(5) for i in range(8)}
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    got = substring.repeated_passages(docs).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in got} == {(i, j) for ids in (range(10), range(200, 208)) for i in ids for j in ids if j < i}
+    assert all(r["edits"] == 0 and r["end"] - r["start"] >= 50 for r in got)
+    assert all((r["start"], r["end"]) == (12, 72) for r in got if r["doc_id"] < 10)
+
+
 def test_small_seeds_are_matched_whole(monkeypatch):
     """All pairs of documents of the small seeds, each shared row marked once, in portions of any size."""
     monkeypatch.setattr(substring, "PAIRS", 6)
